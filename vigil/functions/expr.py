@@ -32,16 +32,25 @@ def align_to_unified(df: DataFrame, fill_defaults: bool = True) -> DataFrame:
     return df.select(*cols)
 
 
+# Presentation rounding for oracle comparison: 6 decimals below 1e3, 9
+# significant digits from 1e3 to 1e12, unchanged above.  Written as a CASE
+# ladder over literal powers of ten so that the DuckDB twin
+# (``sql_fragments.r6``) performs the very same IEEE operations.
+ROUND_LADDER = [(1e3, 1e6, True), (1e4, 1e5, True), (1e5, 1e4, True), (1e6, 1e3, True),
+                (1e7, 1e2, True), (1e8, 1e1, True), (1e9, 1.0, True), (1e10, 1e1, False),
+                (1e11, 1e2, False), (1e12, 1e3, False)]
+
+
 def round6(c: Column, digits: int = 6) -> Column:
-    """floor(x·10^d + ½) / 10^d in IEEE double arithmetic.
-
-    Used only to present results for comparison: the same formula is written
-    in the oracle SQL, so equal inputs always round alike (engine ``round``
-    functions break decimal ties differently).  Huge magnitudes pass through.
-    """
-    scale = float(10 ** digits)
-    return (F.when(F.abs(c) < F.lit(1e12), F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
-             .otherwise(c.cast("double")))
+    """Deterministic rounding used only to present results for comparison."""
+    ax = F.abs(c)
+    expr = None
+    for bound, p, mul in ROUND_LADDER:
+        val = (F.floor(c * F.lit(p) + F.lit(0.5)) / F.lit(p)) if mul else \
+              (F.floor(c / F.lit(p) + F.lit(0.5)) * F.lit(p))
+        expr = F.when(ax < F.lit(bound), val.cast("double")) if expr is None else \
+            expr.when(ax < F.lit(bound), val.cast("double"))
+    return expr.otherwise(c.cast("double"))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

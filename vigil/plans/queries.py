@@ -51,3 +51,56 @@ def q_session_matrix_gap480(spark, sf_dir):
 def q_session_matrix_gap10(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
     return round_doubles(session_feature_matrix(ev, gap_minutes=10, peers=None))
+
+
+# ---------------------------------------------------------------- LOF
+from vigil.functions.expr import round6  # noqa: E402
+from vigil.operators import lof as L  # noqa: E402
+from vigil.operators.knn import knn, to_vectors  # noqa: E402
+from vigil.sources.tables import read_table  # noqa: E402
+
+EMB_K, EMB_C = 30, 0.10
+
+
+@register("lof_embeddings", "WITH " + S.knn_lof_sql(S.EMB_PTS, EMB_K, EMB_C) + f"""
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id, e.label,
+       {S.r6('s.lof')} AS anomaly_score, {S.r6('s.lrd')} AS lrd, s.is_outlier,
+       CASE WHEN s.is_outlier THEN -1 ELSE 1 END AS lof_factor,
+       {S.r6('1.0 / (s.lof + 1e-10)')} AS local_density
+FROM scored s JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = s.id""")
+def q_lof_embeddings(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    pts = to_vectors(emb, "vec_id", vector_col="embedding")
+    n = emb.count()
+    sc = L.label_outliers(L.lof_from_neighbours(knn(pts, EMB_K, n=n), min(EMB_K, n - 1)), EMB_C)
+    out = (emb.select(F.col("vec_id").cast("string").alias("id"), "vec_id", "label")
+              .join(sc, "id")
+              .select("vec_id", "label", F.col("lof").alias("anomaly_score"), "lrd", "is_outlier",
+                      F.when(F.col("is_outlier"), -1).otherwise(1).alias("lof_factor"),
+                      (F.lit(1.0) / (F.col("lof") + F.lit(L.LRD_EPS))).alias("local_density")))
+    return round_doubles(out)
+
+
+# Parameters of the outlier runs over the stand-in events.
+GAP, RARE, UNUSUAL, DBLOF_K, DBLOF_C = 480, 0.04, 0.04, 30, 0.10
+
+
+def session_matrix(spark, sf_dir):
+    """Shared F1–F13 plan for every session-level query (unrounded)."""
+    ev = activity_events(spark, sf_dir)
+    return session_feature_matrix(ev, gap_minutes=GAP, rare_hour_threshold=RARE,
+                                  unusual_threshold=UNUSUAL, peers=_role_peers(spark, sf_dir))
+
+
+def dblof(spark, sf_dir):
+    return L.dblof_scores(session_matrix(spark, sf_dir), contamination=DBLOF_C, k=DBLOF_K)
+
+
+DBLOF_CTE = S.dblof_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, DBLOF_K, DBLOF_C)
+
+
+@register("dblof_scores", f"""WITH {DBLOF_CTE}
+SELECT user_id, session_id, lof_factor, is_outlier, {S.r6('anomaly_score')} AS anomaly_score,
+       {S.r6('local_density')} AS local_density FROM dblof""")
+def q_dblof_scores(spark, sf_dir):
+    return round_doubles(dblof(spark, sf_dir))

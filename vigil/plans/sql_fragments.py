@@ -6,9 +6,13 @@ reference uses, so they also check the Spark side's skew-avoiding rewrites.
 """
 
 def r6(x: str, digits: int = 6) -> str:
-    """Same rounding formula as ``vigil.functions.expr.round6``."""
-    sc = f"{float(10 ** digits)!r}"
-    return f"(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * {sc} + 0.5) / {sc} ELSE CAST({x} AS DOUBLE) END)"
+    """Same rounding ladder as ``vigil.functions.expr.round6``."""
+    from vigil.functions.expr import ROUND_LADDER
+    arms = []
+    for bound, p, mul in ROUND_LADDER:
+        val = f"floor(({x}) * {p!r} + 0.5) / {p!r}" if mul else f"floor(({x}) / {p!r} + 0.5) * {p!r}"
+        arms.append(f"WHEN abs({x}) < {bound!r} THEN CAST({val} AS DOUBLE)")
+    return f"(CASE {' '.join(arms)} ELSE CAST({x} AS DOUBLE) END)"
 
 
 EV = """
@@ -64,8 +68,10 @@ sess AS (
   FROM sc)"""
 
 
-def matrix_sql(gap_minutes: float, rare: float, unusual: float, peer_sql: str | None) -> str:
+def matrix_sql(gap_minutes: float, rare: float, unusual: float, peer_sql: str | None,
+               rounded: bool = True) -> str:
     """F1–F13 session matrix; ``peer_sql`` is a CTE body giving (user_id, peer_group)."""
+    r6_ = r6 if rounded else (lambda x: f"({x})")
     z_cols = ["session_duration_s", "file_rate", "logon_rate", "device_rate", "http_rate"]
     peer_cte = ""
     z_select = ""
@@ -81,7 +87,7 @@ ev_rows AS (
   LEFT JOIN peers p ON p.user_id = s.user_id),
 pstats AS (SELECT peer_group, {stats} FROM ev_rows e WHERE peer_group IS NOT NULL GROUP BY peer_group)"""
         z_select = "," + ",".join(
-            f"\n  {r6(f'coalesce((a.{c} - ps.m_{c}) / ps.s_{c}, 0)')} AS {c}_z_peer" for c in z_cols)
+            f"\n  {r6_(f'coalesce((a.{c} - ps.m_{c}) / ps.s_{c}, 0)')} AS {c}_z_peer" for c in z_cols)
         z_join = "LEFT JOIN peers p ON p.user_id = a.user_id LEFT JOIN pstats ps ON ps.peer_group = p.peer_group"
     return f"""
 WITH {EV},{DIM},{sessions_sql(gap_minutes)},
@@ -132,13 +138,69 @@ seq AS (
          count(*) FILTER (WHERE a1 IS NOT NULL AND coalesce(t.prob, 0) < {unusual}) AS unusual
   FROM seq0 LEFT JOIN trans t USING (a0, a1) GROUP BY user_id, day){peer_cte}
 SELECT a.user_id, a.session_id, a.session_start, a.session_end,
-       {r6('coalesce(a.session_duration_s, 0)')} AS session_duration_s, a.event_cnt,
-       {r6('coalesce(a.file_rate, 0)')} AS file_rate, {r6('coalesce(a.logon_rate, 0)')} AS logon_rate,
-       {r6('coalesce(a.device_rate, 0)')} AS device_rate, {r6('coalesce(a.http_rate, 0)')} AS http_rate,
-       {r6('coalesce(a.interarrival_mean_s, 0)')} AS interarrival_mean_s,
-       {r6('coalesce(a.interarrival_std_s, 0)')} AS interarrival_std_s,
+       {r6_('coalesce(a.session_duration_s, 0)')} AS session_duration_s, a.event_cnt,
+       {r6_('coalesce(a.file_rate, 0)')} AS file_rate, {r6_('coalesce(a.logon_rate, 0)')} AS logon_rate,
+       {r6_('coalesce(a.device_rate, 0)')} AS device_rate, {r6_('coalesce(a.http_rate, 0)')} AS http_rate,
+       {r6_('coalesce(a.interarrival_mean_s, 0)')} AS interarrival_mean_s,
+       {r6_('coalesce(a.interarrival_std_s, 0)')} AS interarrival_std_s,
        a.rare_logon_hour, a.file_burst,
        CAST(coalesce(q.g2, 0) AS DOUBLE) AS "2gram_diversity", CAST(coalesce(q.g3, 0) AS DOUBLE) AS "3gram_diversity",
        CAST(coalesce(q.unusual, 0) AS DOUBLE) AS unusual_transitions{z_select}
 FROM agg a LEFT JOIN seq q ON q.user_id = a.user_id AND q.day = a.day
 {z_join}"""
+
+
+def knn_lof_sql(points_cte: str, k: int, contamination: float) -> str:
+    """Exact kNN (ties by neighbour id) + LOF + contamination label.
+    ``points_cte`` defines pts(id VARCHAR, v DOUBLE[])."""
+    return f"""
+{points_cte},
+pairs AS (
+  SELECT a.id, b.id AS nbr, list_distance(a.v, b.v) AS dist
+  FROM pts a JOIN pts b ON a.id <> b.id),
+knn AS (
+  SELECT id, nbr, dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(dist * 1e9 + 0.5), nbr) AS rnk FROM pairs)
+  WHERE rnk <= {k}),
+kd AS (SELECT id, max(dist) AS kdist FROM knn GROUP BY id),
+lrd AS (
+  SELECT k.id, 1.0 / (avg(greatest(k.dist, kd.kdist)) + 1e-10) AS lrd
+  FROM knn k JOIN kd ON kd.id = k.nbr GROUP BY k.id),
+lof AS (
+  SELECT k.id, l1.lrd, avg(l2.lrd) / l1.lrd AS lof
+  FROM knn k JOIN lrd l2 ON l2.id = k.nbr JOIN lrd l1 ON l1.id = k.id
+  GROUP BY k.id, l1.lrd),
+scored AS (
+  SELECT *, floor(-lof * 1e9 + 0.5) < floor((SELECT quantile_cont(-lof, {contamination}) FROM lof) * 1e9 + 0.5)
+            AS is_outlier FROM lof)"""
+
+
+EMB_PTS = """pts AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+
+
+MATRIX_FEATURES = ["session_duration_s", "event_cnt", "file_rate", "logon_rate", "device_rate",
+                   "http_rate", "interarrival_mean_s", "interarrival_std_s", "rare_logon_hour",
+                   "file_burst", "2gram_diversity", "3gram_diversity", "unusual_transitions",
+                   "session_duration_s_z_peer", "file_rate_z_peer", "logon_rate_z_peer",
+                   "device_rate_z_peer", "http_rate_z_peer"]
+
+
+def standardized_points_sql(source: str, feats: list[str], id_expr: str) -> str:
+    """M5 + M6: nulls → 0, (x − mean)/population std (0 → 1), as pts(id, v)."""
+    parts = []
+    for f in feats:
+        x = f'CAST(coalesce("{f}", 0) AS DOUBLE)'
+        sd = f"stddev_pop({x}) OVER ()"
+        parts.append(f"({x} - avg({x}) OVER ()) / CASE WHEN {sd} = 0 THEN 1.0 ELSE {sd} END")
+    return f"pts AS (SELECT {id_expr} AS id, [{', '.join(parts)}] AS v FROM {source})"
+
+
+def dblof_sql(gap: float, rare: float, unusual: float, peer_sql: str, k: int, c: float) -> str:
+    mat = matrix_sql(gap, rare, unusual, peer_sql, rounded=False)
+    pts = standardized_points_sql("mat", MATRIX_FEATURES, "user_id || chr(1) || session_id")
+    return f"""mat AS ({mat}),
+{knn_lof_sql(pts, k, c)},
+dblof AS (
+  SELECT m.user_id, m.session_id, CASE WHEN s.is_outlier THEN -1 ELSE 1 END AS lof_factor,
+         s.is_outlier, s.lof AS anomaly_score, 1.0 / (s.lof + 1e-10) AS local_density
+  FROM scored s JOIN mat m ON m.user_id || chr(1) || m.session_id = s.id)"""
