@@ -33,7 +33,9 @@ def rank_key(d):
 
 
 def rank_key_col(c):
-    return F.floor(c * F.lit(RANK_SCALE) + F.lit(0.5))
+    """Spark twin of ``rank_key``; magnitudes ≥ 1e9 are compared as they are."""
+    return (F.when(F.abs(c) < F.lit(1e9), F.floor(c * F.lit(RANK_SCALE) + F.lit(0.5)).cast("double"))
+             .otherwise(c.cast("double")))
 
 
 def _top_k(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

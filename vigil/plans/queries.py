@@ -104,3 +104,79 @@ SELECT user_id, session_id, lof_factor, is_outlier, {S.r6('anomaly_score')} AS a
        {S.r6('local_density')} AS local_density FROM dblof""")
 def q_dblof_scores(spark, sf_dir):
     return round_doubles(dblof(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- reports & evaluation
+from vigil.operators import evaluate as EVAL  # noqa: E402
+from vigil.sources.tables import insider_users  # noqa: E402
+
+r6 = S.r6
+SCORE_COLS = f"user_id, session_id, lof_factor, is_outlier, {r6('anomaly_score')} AS anomaly_score, " \
+             f"{r6('local_density')} AS local_density"
+
+
+@register("top_anomalies", f"""WITH {DBLOF_CTE}
+SELECT {SCORE_COLS} FROM dblof WHERE is_outlier
+ORDER BY {S.rk('anomaly_score')} DESC, user_id, session_id LIMIT 20""")
+def q_top_anomalies(spark, sf_dir):
+    return round_doubles(EVAL.top_anomalies(dblof(spark, sf_dir), 20))
+
+
+@register("user_risk_summary", f"""WITH {DBLOF_CTE}
+SELECT user_id, count(session_id) AS total_sessions,
+       CAST(sum(CAST(is_outlier AS INT)) AS BIGINT) AS outlier_sessions,
+       {r6('avg(anomaly_score)')} AS avg_anomaly_score, {r6('max(anomaly_score)')} AS max_anomaly_score,
+       {r6('avg(local_density)')} AS avg_local_density,
+       {r6('sum(CAST(is_outlier AS INT)) / count(session_id)')} AS outlier_rate
+FROM dblof GROUP BY user_id""")
+def q_user_risk_summary(spark, sf_dir):
+    return round_doubles(EVAL.user_risk_summary(dblof(spark, sf_dir)))
+
+
+def _grid(spark, sf_dir):
+    from vigil.operators.lof import standardize, insider_rate
+    from vigil.session import cut_lineage
+    m = cut_lineage(session_matrix(spark, sf_dir))
+    feats = L.select_numeric(m)
+    key = F.concat_ws("\u0001", "user_id", "session_id")
+    pts = to_vectors(standardize(m.withColumn("_key", key), feats), "_key", feats)
+    rate = m.join(insider_users(spark, sf_dir).withColumn("_i", F.lit(1.0)), "user_id", "left") \
+            .agg(F.avg(F.coalesce("_i", F.lit(0.0)))).first()[0]
+    return EVAL.contamination_grid(pts, EVAL.contamination_grid_values(rate), n=m.count())
+
+
+GRID_CTE = S.grid_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL)
+
+
+@register("contamination_grid", f"""WITH {GRID_CTE}
+SELECT contamination, n_neighbors, num_outliers, {r6('outlier_rate')} AS outlier_rate,
+       {r6('mean_outlier_score')} AS mean_outlier_score, {r6('combined_score')} AS combined_score
+FROM grid2""")
+def q_contamination_grid(spark, sf_dir):
+    return round_doubles(_grid(spark, sf_dir).withColumn("n_neighbors", F.col("n_neighbors").cast("int")))
+
+
+@register("contamination_report", f"""WITH {GRID_CTE}
+SELECT contamination, {r6('avg(num_outliers)')} AS num_outliers, {r6('avg(outlier_rate)')} AS outlier_rate,
+       {r6('avg(mean_outlier_score)')} AS mean_outlier_score
+FROM grid2 GROUP BY contamination""")
+def q_contamination_report(spark, sf_dir):
+    return round_doubles(EVAL.grid_report(_grid(spark, sf_dir)))
+
+
+@register("contamination_best", f"""WITH {GRID_CTE}
+SELECT contamination, n_neighbors, num_outliers, {r6('outlier_rate')} AS outlier_rate,
+       {r6('mean_outlier_score')} AS mean_outlier_score, {r6('combined_score')} AS combined_score
+FROM grid2 WHERE num_outliers > 0 ORDER BY combined_score DESC, contamination, n_neighbors LIMIT 1""")
+def q_contamination_best(spark, sf_dir):
+    return round_doubles(EVAL.best_grid_params(_grid(spark, sf_dir))
+                         .withColumn("n_neighbors", F.col("n_neighbors").cast("int")))
+
+
+@register("insider_rate", f"""WITH {S.EV},{S.INSIDERS},{S.DIM},
+mat AS ({S.matrix_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, rounded=False)})
+SELECT {r6('avg(CASE WHEN i.user_id IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS insider_rate
+FROM mat m LEFT JOIN insiders i ON i.user_id = m.user_id""")
+def q_insider_rate(spark, sf_dir):
+    rate = L.insider_rate(session_matrix(spark, sf_dir), insider_users(spark, sf_dir))
+    return round_doubles(spark.range(1).select(rate.cast("double").alias("insider_rate")))

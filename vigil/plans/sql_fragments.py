@@ -15,6 +15,11 @@ def r6(x: str, digits: int = 6) -> str:
     return f"(CASE {' '.join(arms)} ELSE CAST({x} AS DOUBLE) END)"
 
 
+def rk(x: str) -> str:
+    """Twin of ``knn.rank_key_col``: 1e-9 grid below 1e9."""
+    return f"(CASE WHEN abs({x}) < 1e9 THEN floor(({x}) * 1e9 + 0.5) ELSE CAST({x} AS DOUBLE) END)"
+
+
 EV = """
 ev AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id, ts AS "timestamp",
@@ -160,7 +165,7 @@ pairs AS (
   FROM pts a JOIN pts b ON a.id <> b.id),
 knn AS (
   SELECT id, nbr, dist FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(dist * 1e9 + 0.5), nbr) AS rnk FROM pairs)
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY {rk('dist')}, nbr) AS rnk FROM pairs)
   WHERE rnk <= {k}),
 kd AS (SELECT id, max(dist) AS kdist FROM knn GROUP BY id),
 lrd AS (
@@ -171,7 +176,7 @@ lof AS (
   FROM knn k JOIN lrd l2 ON l2.id = k.nbr JOIN lrd l1 ON l1.id = k.id
   GROUP BY k.id, l1.lrd),
 scored AS (
-  SELECT *, floor(-lof * 1e9 + 0.5) < floor((SELECT quantile_cont(-lof, {contamination}) FROM lof) * 1e9 + 0.5)
+  SELECT *, {rk('-lof')} < {rk(f'(SELECT quantile_cont(-lof, {contamination}) FROM lof)')}
             AS is_outlier FROM lof)"""
 
 
@@ -204,3 +209,46 @@ dblof AS (
   SELECT m.user_id, m.session_id, CASE WHEN s.is_outlier THEN -1 ELSE 1 END AS lof_factor,
          s.is_outlier, s.lof AS anomaly_score, 1.0 / (s.lof + 1e-10) AS local_density
   FROM scored s JOIN mat m ON m.user_id || chr(1) || m.session_id = s.id)"""
+
+
+def grid_sql(gap, rare, unusual, peer_sql, ks=(20, 30, 40),
+             base=(0.08, 0.10, 0.12, 0.14, 0.15, 0.16)) -> str:
+    """M13 grid (without the final choice): one kNN at max k, LOF per k,
+    linear-interpolated thresholds per contamination."""
+    mat = matrix_sql(gap, rare, unusual, peer_sql, rounded=False)
+    pts = standardized_points_sql("mat", MATRIX_FEATURES, "user_id || chr(1) || session_id")
+    kmax = max(ks)
+    base_list = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in base)
+    ks_list = ", ".join(str(k) for k in ks)
+    return f"""mat AS ({mat}),
+{INSIDERS},
+{pts},
+pairs AS (SELECT a.id, b.id AS nbr, list_distance(a.v, b.v) AS dist FROM pts a JOIN pts b ON a.id <> b.id),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {rk('dist')}, nbr) AS rnk FROM pairs)
+        WHERE rnk <= {kmax}),
+ks AS (SELECT unnest([{ks_list}]) AS k),
+kn AS (SELECT ks.k, knn.id, knn.nbr, knn.dist FROM knn JOIN ks ON knn.rnk <= ks.k),
+kd AS (SELECT k, id, max(dist) AS kdist FROM kn GROUP BY k, id),
+lrd AS (SELECT a.k, a.id, 1.0 / (avg(greatest(a.dist, kd.kdist)) + 1e-10) AS lrd
+        FROM kn a JOIN kd ON kd.k = a.k AND kd.id = a.nbr GROUP BY a.k, a.id),
+lof AS (SELECT a.k, a.id, avg(l2.lrd) / l1.lrd AS lof
+        FROM kn a JOIN lrd l2 ON l2.k = a.k AND l2.id = a.nbr JOIN lrd l1 ON l1.k = a.k AND l1.id = a.id
+        GROUP BY a.k, a.id, l1.lrd),
+rate AS (SELECT avg(CASE WHEN i.user_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r
+         FROM mat m LEFT JOIN insiders i ON i.user_id = m.user_id),
+cs AS (SELECT DISTINCT unnest([{base_list}, greatest(0.001, r * 0.5), r, r * 1.1, r * 1.2]) AS c FROM rate),
+ranked AS (SELECT k, -lof AS v, row_number() OVER (PARTITION BY k ORDER BY -lof) - 1 AS i,
+                  count(*) OVER (PARTITION BY k) AS n FROM lof),
+pos AS (SELECT k, c, (n - 1) * c AS h FROM (SELECT DISTINCT k, n FROM ranked) JOIN cs ON true),
+thr AS (SELECT p.k, p.c, CASE WHEN floor(p.h) = ceil(p.h) THEN lo.v
+                              ELSE (ceil(p.h) - p.h) * lo.v + (p.h - floor(p.h)) * hi.v END AS t
+        FROM pos p JOIN ranked lo ON lo.k = p.k AND lo.i = floor(p.h)
+                   JOIN ranked hi ON hi.k = p.k AND hi.i = ceil(p.h)),
+flags AS (SELECT t.c, t.k, l.lof, {rk('-l.lof')} < {rk('t.t')} AS o FROM thr t JOIN lof l ON l.k = t.k),
+grid AS (
+  SELECT c AS contamination, k AS n_neighbors, count(*) FILTER (WHERE o) AS num_outliers,
+         count(*) FILTER (WHERE o) / count(*) AS outlier_rate,
+         coalesce(avg(lof) FILTER (WHERE o), 0.0) AS mean_outlier_score
+  FROM flags GROUP BY c, k),
+grid2 AS (
+  SELECT *, mean_outlier_score * 1e-9 + least(num_outliers, 2500) / 2500.0 * 1000.0 AS combined_score FROM grid)"""
