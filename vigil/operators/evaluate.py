@@ -146,28 +146,41 @@ def confusion_metrics(df: DataFrame, pred_col: str, label_col: str = "true_label
     y = F.col(label_col) == 1
     m = df.agg(F.count(F.when(p & y, 1)).alias("tp"), F.count(F.when(p & ~y, 1)).alias("fp"),
                F.count(F.when(~p & y, 1)).alias("fn"), F.count(F.when(~p & ~y, 1)).alias("tn"))
+    return _rates(m)
+
+
+def before_after(df: DataFrame, final_col: str | None = None) -> DataFrame:
+    """E7 + E8: metrics of the raw flag and of the final stage in one pass,
+    one row per stage (the difference of the two rows is the improvement)."""
+    final_col = final_col or final_flag_column(df)
+    stages = [("original", "is_outlier"), ("final", final_col)]
+    y = F.col("true_label") == 1
+    aggs = []
+    for i, (_, c) in enumerate(stages):
+        p = F.col(c).cast("boolean")
+        aggs += [F.count(F.when(p & y, 1)).alias(f"tp{i}"), F.count(F.when(p & ~y, 1)).alias(f"fp{i}"),
+                 F.count(F.when(~p & y, 1)).alias(f"fn{i}"), F.count(F.when(~p & ~y, 1)).alias(f"tn{i}")]
+    counts = df.agg(*aggs)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("stage"), F.lit(c).alias("flag_column"),
+                 F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
+                 F.col(f"fn{i}").alias("fn"), F.col(f"tn{i}").alias("tn"))
+        for i, (name, c) in enumerate(stages)]))
+    return _rates(counts.select(rows.alias("r")).select("r.*"))
+
+
+def _rates(m: DataFrame) -> DataFrame:
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
     acc = F.coalesce(F.try_divide(F.col("tp") + F.col("tn"),
                                   F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return m.select("tp", "fp", "fn", "tn", acc.cast("double").alias("accuracy"),
+    keep = [c for c in m.columns if c not in ("tp", "fp", "fn", "tn")]
+    return m.select(*keep, "tp", "fp", "fn", "tn", acc.cast("double").alias("accuracy"),
                     prec.cast("double").alias("precision"), rec.cast("double").alias("recall"),
                     f1.cast("double").alias("f1_score"))
 
 
-def before_after(df: DataFrame, final_col: str | None = None) -> DataFrame:
-    """E7 + E8: metrics of the raw flag and of the final stage, and the
-    improvement in percentage points, as one row per stage."""
-    final_col = final_col or final_flag_column(df)
-    stages = [("original", "is_outlier"), ("final", final_col)]
-    rows = None
-    for name, c in stages:
-        r = confusion_metrics(df, c).withColumn("stage", F.lit(name)).withColumn("flag_column", F.lit(c))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
-
-
 def top_detected_insiders(scores: DataFrame, insiders: DataFrame, n: int = 10) -> DataFrame:
     """insiders' sessions, detected sessions, max score, detection rate;
     highest detection rate, then detected count (then user id) first."""

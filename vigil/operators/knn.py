@@ -22,20 +22,35 @@ from pyspark.sql import functions as F
 
 NEIGHBOUR_SCHEMA = "id string, nbr string, dist double"
 
-# Distances are ranked on a 1e-9 grid, then by neighbour id: mathematically
-# equal distances (common on discrete features) tie deterministically no
-# matter how a platform orders the floating-point sum of squares.
-RANK_SCALE = 1e9
+# Comparison key: distances and scores are compared on a grid of about 11
+# significant digits (1e-9 below 100, coarser by 100× per two decades), then
+# by id.  Mathematically equal values (common on discrete features) then tie
+# deterministically no matter how a platform orders a floating-point sum.
+# Fixed ladder of (upper bound, grid) pairs; the SQL twin uses the same values.
+RANK_LADDER = [(1e2, 1e-9), (1e4, 1e-7), (1e6, 1e-5), (1e8, 1e-3), (1e10, 1e-1), (1e12, 1e1)]
 
 
 def rank_key(d):
-    return np.floor(d * RANK_SCALE + 0.5)
+    d = np.asarray(d, dtype=np.float64)
+    ad = np.abs(d)
+    out = d.copy()
+    done = np.zeros(d.shape, dtype=bool)
+    for bound, g in RANK_LADDER:
+        sel = (~done) & (ad < bound)
+        inv = 1.0 / g if g < 1 else None
+        out[sel] = np.floor(d[sel] * inv + 0.5) if inv else np.floor(d[sel] / g + 0.5)
+        done |= sel
+    return out
 
 
 def rank_key_col(c):
-    """Spark twin of ``rank_key``; magnitudes ≥ 1e9 are compared as they are."""
-    return (F.when(F.abs(c) < F.lit(1e9), F.floor(c * F.lit(RANK_SCALE) + F.lit(0.5)).cast("double"))
-             .otherwise(c.cast("double")))
+    """Spark twin of ``rank_key``."""
+    expr = None
+    for bound, g in RANK_LADDER:
+        val = (F.floor(c * F.lit(1.0 / g) + F.lit(0.5)) if g < 1 else
+               F.floor(c / F.lit(g) + F.lit(0.5))).cast("double")
+        expr = F.when(F.abs(c) < F.lit(bound), val) if expr is None else expr.when(F.abs(c) < F.lit(bound), val)
+    return expr.otherwise(c.cast("double"))
 
 
 def _top_k(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -133,7 +133,9 @@ def dblof_scores(sessions: DataFrame, contamination: float = 0.10, k: int = 30,
     pts = to_vectors(z, "_key", feats)
     n = base.count()
     nbrs = knn(pts, k, block_rows=block_rows, n=n)
-    sc = lof_from_neighbours(nbrs, min(k, n - 1))
+    # kNN is the costliest stage; every later job (threshold percentile,
+    # labels, reports) reads its checkpointed result instead of re-running it.
+    sc = cut_lineage(lof_from_neighbours(nbrs, min(k, n - 1)))
     sc = label_outliers(sc, contamination)
     ids = base.select(*id_cols, F.col("_key").alias("id"))
     return (ids.join(sc, "id")

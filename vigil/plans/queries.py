@@ -92,8 +92,15 @@ def session_matrix(spark, sf_dir):
                                   unusual_threshold=UNUSUAL, peers=_role_peers(spark, sf_dir))
 
 
+def scored_sessions(spark, sf_dir):
+    """(session matrix cut into the checkpoint folder, DBLOF scores over it)."""
+    from vigil.session import cut_lineage
+    m = cut_lineage(session_matrix(spark, sf_dir))
+    return m, L.dblof_scores(m, contamination=DBLOF_C, k=DBLOF_K, checkpoint=False)
+
+
 def dblof(spark, sf_dir):
-    return L.dblof_scores(session_matrix(spark, sf_dir), contamination=DBLOF_C, k=DBLOF_K)
+    return scored_sessions(spark, sf_dir)[1]
 
 
 DBLOF_CTE = S.dblof_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, DBLOF_K, DBLOF_C)
@@ -180,3 +187,80 @@ FROM mat m LEFT JOIN insiders i ON i.user_id = m.user_id""")
 def q_insider_rate(spark, sf_dir):
     rate = L.insider_rate(session_matrix(spark, sf_dir), insider_users(spark, sf_dir))
     return round_doubles(spark.range(1).select(rate.cast("double").alias("insider_rate")))
+
+
+def fp_stages(spark, sf_dir):
+    m, sc = scored_sessions(spark, sf_dir)
+    merged = EVAL.with_labels(sc, m, insider_users(spark, sf_dir))
+    return EVAL.context_filter(EVAL.score_threshold(merged, 80))
+
+
+FP_CTE = f"""{DBLOF_CTE},{S.INSIDERS},
+merged AS (
+  SELECT d.*, m.file_rate, m.device_rate, CASE WHEN i.user_id IS NOT NULL THEN 1 ELSE 0 END AS true_label
+  FROM dblof d LEFT JOIN mat m ON m.user_id = d.user_id AND m.session_id = d.session_id
+  LEFT JOIN insiders i ON i.user_id = d.user_id),
+thr AS (SELECT quantile_cont(anomaly_score, 0.8) AS t FROM merged WHERE is_outlier),
+hc AS (SELECT *, is_outlier AND NOT ({S.rk('anomaly_score')} < {S.rk('(SELECT t FROM thr)')})
+                 AS high_confidence_outlier FROM merged),
+ubase AS (SELECT user_id, avg(file_rate) AS fb, avg(device_rate) AS db FROM hc GROUP BY user_id),
+fp AS (
+  SELECT hc.*, high_confidence_outlier AND coalesce(file_rate > fb * 3 OR device_rate > db * 2, false)
+         AS context_filtered_outlier
+  FROM hc JOIN ubase ON ubase.user_id = hc.user_id)"""
+
+
+@register("fp_stages", f"""WITH {FP_CTE}
+SELECT user_id, session_id, is_outlier, {r6('anomaly_score')} AS anomaly_score, true_label,
+       high_confidence_outlier, context_filtered_outlier FROM fp""")
+def q_fp_stages(spark, sf_dir):
+    return round_doubles(fp_stages(spark, sf_dir).select(
+        "user_id", "session_id", "is_outlier", "anomaly_score", "true_label",
+        "high_confidence_outlier", "context_filtered_outlier"))
+
+
+def _metrics_sql(stage: str, col: str) -> str:
+    prec = "coalesce(tp / nullif(tp + fp, 0), 0.0)"
+    rec = "coalesce(tp / nullif(tp + fn, 0), 0.0)"
+    return f"""SELECT '{stage}' AS stage, '{col}' AS flag_column, tp, fp, fn, tn,
+       {r6('coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0.0)')} AS accuracy,
+       {r6(prec)} AS precision, {r6(rec)} AS recall,
+       {r6(f'coalesce(2 * {prec} * {rec} / nullif({prec} + {rec}, 0), 0.0)')} AS f1_score
+FROM (SELECT count(*) FILTER (WHERE {col} AND true_label = 1) AS tp,
+             count(*) FILTER (WHERE {col} AND true_label = 0) AS fp,
+             count(*) FILTER (WHERE NOT {col} AND true_label = 1) AS fn,
+             count(*) FILTER (WHERE NOT {col} AND true_label = 0) AS tn FROM fp)"""
+
+
+@register("fp_metrics", f"""WITH {FP_CTE}
+{_metrics_sql('original', 'is_outlier')}
+UNION ALL
+{_metrics_sql('final', 'context_filtered_outlier')}""")
+def q_fp_metrics(spark, sf_dir):
+    return round_doubles(EVAL.before_after(fp_stages(spark, sf_dir)))
+
+
+@register("top_detected_insiders", f"""WITH {DBLOF_CTE},{S.INSIDERS}
+SELECT d.user_id, count(session_id) AS total_sessions,
+       CAST(sum(CAST(is_outlier AS INT)) AS BIGINT) AS detected_sessions,
+       {r6('max(anomaly_score)')} AS max_anomaly_score,
+       {r6('sum(CAST(is_outlier AS INT)) / count(session_id)')} AS detection_rate
+FROM dblof d SEMI JOIN insiders i ON i.user_id = d.user_id
+GROUP BY d.user_id
+ORDER BY sum(CAST(is_outlier AS INT)) / count(session_id) DESC, sum(CAST(is_outlier AS INT)) DESC, d.user_id
+LIMIT 10""")
+def q_top_detected_insiders(spark, sf_dir):
+    return round_doubles(EVAL.top_detected_insiders(dblof(spark, sf_dir), insider_users(spark, sf_dir), 10))
+
+
+@register("run_summary", f"""WITH {DBLOF_CTE},{S.INSIDERS},
+s AS (SELECT d.*, i.user_id IS NOT NULL AS ins FROM dblof d LEFT JOIN insiders i ON i.user_id = d.user_id)
+SELECT count(*) AS total_sessions, count(*) FILTER (WHERE is_outlier) AS total_outliers,
+       count(*) FILTER (WHERE ins) AS insider_sessions,
+       count(*) FILTER (WHERE ins AND is_outlier) AS detected_insider_sessions,
+       {r6('count(*) FILTER (WHERE is_outlier) / count(*)')} AS outlier_rate,
+       {r6('(count(*) FILTER (WHERE ins AND is_outlier)) / nullif(count(*) FILTER (WHERE ins), 0)')}
+         AS insider_detection_rate
+FROM s""")
+def q_run_summary(spark, sf_dir):
+    return round_doubles(EVAL.run_summary(dblof(spark, sf_dir), insider_users(spark, sf_dir)))

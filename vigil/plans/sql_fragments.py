@@ -16,8 +16,13 @@ def r6(x: str, digits: int = 6) -> str:
 
 
 def rk(x: str) -> str:
-    """Twin of ``knn.rank_key_col``: 1e-9 grid below 1e9."""
-    return f"(CASE WHEN abs({x}) < 1e9 THEN floor(({x}) * 1e9 + 0.5) ELSE CAST({x} AS DOUBLE) END)"
+    """Twin of ``knn.rank_key_col`` (same ladder of literal grids)."""
+    from vigil.operators.knn import RANK_LADDER
+    arms = []
+    for bound, g in RANK_LADDER:
+        val = f"floor(({x}) * {1.0 / g!r} + 0.5)" if g < 1 else f"floor(({x}) / {g!r} + 0.5)"
+        arms.append(f"WHEN abs({x}) < {bound!r} THEN CAST({val} AS DOUBLE)")
+    return f"(CASE {' '.join(arms)} ELSE CAST({x} AS DOUBLE) END)"
 
 
 EV = """
