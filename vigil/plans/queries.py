@@ -264,3 +264,31 @@ SELECT count(*) AS total_sessions, count(*) FILTER (WHERE is_outlier) AS total_o
 FROM s""")
 def q_run_summary(spark, sf_dir):
     return round_doubles(EVAL.run_summary(dblof(spark, sf_dir), insider_users(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- forests (INV: no oracle)
+from vigil.operators import forest as FOREST  # noqa: E402
+
+
+@register("isolation_forest_flags")
+def q_isolation_forest_flags(spark, sf_dir):
+    m, _ = scored_sessions(spark, sf_dir)
+    return round_doubles(FOREST.isolation_forest_flags(m, contamination=0.10))
+
+
+def fp_full(spark, sf_dir):
+    """Threshold → context → ensemble (M18) → supervised (M19) → metrics."""
+    m, sc = scored_sessions(spark, sf_dir)
+    merged = EVAL.with_labels(sc, m, insider_users(spark, sf_dir))
+    staged = EVAL.context_filter(EVAL.score_threshold(merged, 80))
+    iso = FOREST.isolation_forest_flags(m, contamination=0.10)
+    staged = FOREST.ensemble_agreement(staged, iso)
+    feats = L.select_numeric(m)
+    scored, test_metrics, importances = FOREST.supervised_rescoring(staged, feats)
+    return scored, test_metrics, importances
+
+
+@register("fp_full_pipeline")
+def q_fp_full_pipeline(spark, sf_dir):
+    scored, _, _ = fp_full(spark, sf_dir)
+    return round_doubles(EVAL.before_after(scored))
