@@ -292,3 +292,103 @@ def fp_full(spark, sf_dir):
 def q_fp_full_pipeline(spark, sf_dir):
     scored, _, _ = fp_full(spark, sf_dir)
     return round_doubles(EVAL.before_after(scored))
+
+
+# ---------------------------------------------------------------- ETL
+from vigil.operators import quality as QUAL  # noqa: E402
+from vigil.operators.normalize import extract_dates, union_all  # noqa: E402
+from vigil.plans import etl as ETL  # noqa: E402
+from vigil.plans import sql_etl as SE  # noqa: E402
+from vigil.schema import RAW_COLUMNS  # noqa: E402
+from vigil.sources.tables import raw_logs  # noqa: E402
+
+
+def unified_events(spark, sf_dir):
+    return ETL.batch_process(raw_logs(spark, sf_dir))
+
+
+@register("etl_quality_report", SE.ETL_CTE + "\n" + " UNION ALL ".join(
+    f"SELECT {SE.QUALITY_COLS} FROM qf_{t}" for t in SE.TYPES))
+def q_etl_quality_report(spark, sf_dir):
+    return round_doubles(ETL.quality_reports(raw_logs(spark, sf_dir)))
+
+
+@register("etl_missing_by_column", SE.ETL_CTE + "\n" + " UNION ALL ".join(
+    f"SELECT '{t}' AS file_type, '{c}' AS \"column\", count(*) FILTER (WHERE \"{c}\" IS NULL) AS missing_count, "
+    f"{S.r6(f'count(*) FILTER (WHERE \"{c}\" IS NULL) * 100.0 / count(*)')} AS missing_pct FROM raw_{t}"
+    for t in SE.TYPES for c in RAW_COLUMNS[t]))
+def q_etl_missing_by_column(spark, sf_dir):
+    raws = raw_logs(spark, sf_dir)
+    return round_doubles(union_all([QUAL.missing_by_column(r, t) for t, r in raws.items()]))
+
+
+@register("etl_unified_events", SE.ETL_CTE + "\nSELECT * REPLACE (" + S.r6("data_quality_score") +
+          " AS data_quality_score) FROM unified")
+def q_etl_unified_events(spark, sf_dir):
+    return round_doubles(unified_events(spark, sf_dir))
+
+
+@register("etl_type_summary", SE.ETL_CTE + f"""
+SELECT source_file, count(*) AS records_processed, count(*) FILTER (WHERE is_valid) AS valid_records,
+       {S.r6('avg(data_quality_score)')} AS quality_score FROM unified GROUP BY source_file""")
+def q_etl_type_summary(spark, sf_dir):
+    return round_doubles(QUAL.type_summary(unified_events(spark, sf_dir)))
+
+
+@register("etl_dataset_summary", SE.ETL_CTE + f"""
+SELECT count(*) AS total_records, count(*) FILTER (WHERE is_valid) AS valid_records,
+       {S.r6('avg(data_quality_score)')} AS avg_quality_score,
+       {S.r6('count("timestamp") * 100.0 / count(*)')} AS timestamp_coverage_pct,
+       count(DISTINCT user_id) AS unique_users, count(DISTINCT pc_id) AS unique_pcs,
+       min("timestamp") AS date_start, max("timestamp") AS date_end FROM unified""")
+def q_etl_dataset_summary(spark, sf_dir):
+    return round_doubles(QUAL.dataset_summary(unified_events(spark, sf_dir)))
+
+
+@register("etl_session_stats", SE.ETL_CTE + """
+SELECT session_id, count(*) AS event_count,
+       array_to_string(list_sort(list_distinct(list(activity_type))), ',') AS activity_types,
+       min("timestamp") AS session_start, max("timestamp") AS session_end FROM unified GROUP BY session_id""")
+def q_etl_session_stats(spark, sf_dir):
+    return QUAL.etl_session_stats(unified_events(spark, sf_dir))
+
+
+@register("user_activity_pivot", SE.ETL_CTE + "\nSELECT user_id, " + ", ".join(
+    f"count(*) FILTER (WHERE activity_type = '{t}') AS {t}" for t in ["logon", "file", "email", "device", "http"])
+    + " FROM unified GROUP BY user_id")
+def q_user_activity_pivot(spark, sf_dir):
+    return QUAL.user_activity_pivot(unified_events(spark, sf_dir))
+
+
+@register("activity_distribution", SE.ETL_CTE + """
+SELECT activity_type, count(*) AS "count" FROM unified GROUP BY activity_type""")
+def q_activity_distribution(spark, sf_dir):
+    return QUAL.activity_distribution(unified_events(spark, sf_dir))
+
+
+@register("dataset_description", SE.ETL_CTE + f"""
+SELECT count(*) AS total_records, 24 AS n_columns, min("timestamp") AS date_start, max("timestamp") AS date_end,
+       {S.r6('avg(data_quality_score)')} AS avg_quality_score,
+       {S.r6('count(*) FILTER (WHERE is_valid) * 100.0 / count(*)')} AS valid_records_pct, """ + ", ".join(
+    f"count(*) FILTER (WHERE activity_type = '{t}') AS {t}_records" for t in ["logon", "file", "email", "device", "http"])
+    + " FROM unified")
+def q_dataset_description(spark, sf_dir):
+    return round_doubles(QUAL.dataset_description(unified_events(spark, sf_dir)))
+
+
+@register("text_dates", r"""
+WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS txt FROM events),
+m AS (SELECT event_id, list_concat(regexp_extract_all(txt, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'),
+                                   regexp_extract_all(txt, '\d{4}-\d{2}-\d{2}'),
+                                   regexp_extract_all(txt, '\d{2}:\d{2}:\d{2}')) AS found FROM t)
+SELECT event_id, len(found) AS n_dates,
+       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', coalesce(try_strptime(found[1], '%Y-%m-%d %H:%M:%S'),
+            try_strptime(found[1], '%Y-%m-%d'))) AS DOUBLE) / 1e6 AS first_epoch,
+       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', coalesce(try_strptime(found[2], '%Y-%m-%d %H:%M:%S'),
+            try_strptime(found[2], '%Y-%m-%d'))) AS DOUBLE) / 1e6 AS second_epoch
+FROM m""")
+def q_text_dates(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    d = extract_dates(F.col("ts").cast("string"))
+    return ev.select("event_id", F.size(d).cast("bigint").alias("n_dates"),
+                     F.element_at(d, 1).alias("first_epoch"), F.element_at(d, 2).alias("second_epoch"))

@@ -120,3 +120,54 @@ def insider_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read_table(spark, sf_dir, "customer")
             .where(F.pmod(F.col("c_custkey"), F.lit(10)) == 0)
             .select(F.col("c_custkey").cast("string").alias("user_id")))
+
+
+# Layouts used to render event times as raw log text.  One in
+# eight rows gets an unparseable value so the quality checks have work.
+RAW_DATE_LAYOUTS = [
+    "MM/dd/yyyy HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "dd-MM-yyyy HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "yyyy-MM-dd",
+]
+
+
+def raw_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five raw log tables (all string columns, reference layouts)
+    rendered from ``events`` — the stand-in for the CSV extracts."""
+    ev = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    layout = F.pmod(F.col("event_id"), F.lit(len(RAW_DATE_LAYOUTS) + 1))
+    date = None
+    for i, fmt in enumerate(RAW_DATE_LAYOUTS):
+        v = F.date_format("ts", fmt)
+        date = F.when(layout == i, v) if date is None else date.when(layout == i, v)
+    date = date.otherwise(F.lit("n/a"))
+    act = _map_literal(EVENT_TYPE_TO_ACTIVITY, F.col("event_type"))
+    base = ev.select(F.col("event_id").cast("string").alias("id"), date.alias("date"),
+                     F.col("user_id").cast("string").alias("user"), F.concat(F.lit("PC-"), k).alias("pc"),
+                     act.alias("_act"), F.col("value"), k.alias("_k"))
+    hi = F.col("value") >= 25
+    out = {
+        "logon": base.where(F.col("_act") == "logon").select(
+            "id", "date", "user", "pc", F.when(hi, "Logoff").otherwise("Logon").alias("activity")),
+        "file": base.where(F.col("_act") == "file").select(
+            "id", "date", "user", "pc", F.concat(F.lit("file_"), F.col("_k"), F.lit(".txt")).alias("filename"),
+            F.concat(F.lit("C:\\Users\\"), F.col("user"), F.lit("\\Documents\\")).alias("content")),
+        "email": base.where(F.col("_act") == "email").select(
+            "id", "date", "user", "pc", F.concat(F.lit("u"), F.col("_k"), F.lit("@company.com")).alias("to"),
+            F.lit(None).cast("string").alias("cc"), F.lit(None).cast("string").alias("bcc"),
+            F.concat(F.col("user"), F.lit("@company.com")).alias("from"),
+            F.floor(F.col("value") * 100).cast("string").alias("size"),
+            F.pmod(F.col("_k").cast("int"), F.lit(3)).cast("string").alias("attachments"),
+            F.concat(F.lit("value "), F.floor(F.col("value") * 100).cast("string")).alias("content")),
+        "device": base.where(F.col("_act") == "device").select(
+            "id", "date", "user", "pc", F.when(hi, "disconnect").otherwise("connect").alias("activity")),
+        "http": base.where(F.col("_act") == "http").select(
+            "id", "date", "user", "pc", F.concat(F.lit("http://site"), F.col("_k"), F.lit(".example.com")).alias("url"),
+            F.lit("request").alias("content")),
+    }
+    return out
