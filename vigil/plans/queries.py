@@ -392,3 +392,80 @@ def q_text_dates(spark, sf_dir):
     d = extract_dates(F.col("ts").cast("string"))
     return ev.select("event_id", F.size(d).cast("bigint").alias("n_dates"),
                      F.element_at(d, 1).alias("first_epoch"), F.element_at(d, 2).alias("second_epoch"))
+
+
+# ---------------------------------------------------------------- graph
+from vigil.operators import graph as G  # noqa: E402
+from vigil.operators import context as C  # noqa: E402
+
+ETL_BODY = SE.ETL_CTE[len("WITH "):]
+
+
+def threat_graph(spark, sf_dir):
+    ev = unified_events(spark, sf_dir)
+    hr = user_dimension(spark, sf_dir)
+    users, assets, hrs = G.user_vertices(ev), G.asset_vertices(ev), G.hr_vertices(hr)
+    edges = G.simple_edges(G.relations(ev, hr))
+    return users, assets, hrs, edges, G.vertices(users, assets, hrs, edges)
+
+
+GRAPH_SQL = f"""{ETL_BODY},{S.DIM},
+uv AS (SELECT user_id AS entity_id, 'user' AS entity_type, CAST(0.0 AS DOUBLE) AS risk_score, count(*) AS activity_count
+       FROM unified GROUP BY user_id),
+av AS (SELECT DISTINCT pc_id AS entity_id, 'asset' AS entity_type, CAST(0.0 AS DOUBLE) AS risk_score FROM unified),
+hv AS (SELECT 'hr_' || user_id AS entity_id, 'hr_record' AS entity_type, CAST(0.0 AS DOUBLE) AS risk_score FROM dim),
+rel AS (SELECT user_id AS src, pc_id AS dst FROM unified
+        UNION ALL SELECT user_id AS src, 'hr_' || user_id AS dst FROM dim),
+edges AS (SELECT src, dst, count(*) AS relation_count,
+                 CASE WHEN max(CASE WHEN dst LIKE 'hr_%' THEN 1 ELSE 0 END) = 1 THEN 'has_hr_record' ELSE 'uses_pc' END
+                   AS relation_type FROM rel GROUP BY src, dst),
+v0 AS (SELECT entity_id, entity_type, risk_score FROM uv UNION ALL SELECT * FROM av UNION ALL SELECT * FROM hv),
+verts AS (SELECT * FROM v0 UNION ALL
+          SELECT e AS entity_id, 'unknown' AS entity_type, CAST(0.0 AS DOUBLE) AS risk_score
+          FROM (SELECT src AS e FROM edges UNION SELECT dst FROM edges) WHERE e NOT IN (SELECT entity_id FROM v0)),
+nb AS (SELECT e.src, e.dst, coalesce(v.entity_type, 'unknown') AS entity_type, coalesce(v.risk_score, CAST(0.0 AS DOUBLE)) AS risk_score
+       FROM edges e LEFT JOIN verts v ON v.entity_id = e.dst),
+cdp AS (
+  SELECT src AS user_id, count(DISTINCT entity_type) AS pattern_count,
+         array_to_string(list_sort(list_distinct(list(entity_type))), ',') AS entity_types,
+         array_to_string(list_sort(list(dst ORDER BY dst)[1:{G.NEIGHBOUR_LIST}]), ',') AS connected_entities,
+         least(1.0, round_even(avg(risk_score) + 0.05 * count(*) +
+               CASE WHEN count(DISTINCT entity_type) >= 3 THEN 0.3 WHEN count(DISTINCT entity_type) = 2 THEN 0.1
+                    ELSE 0.0 END, 3)) AS overall_risk_score
+  FROM nb GROUP BY src)"""
+
+
+@register("graph_vertices", f"WITH {GRAPH_SQL}\nSELECT entity_id, entity_type, risk_score FROM verts")
+def q_graph_vertices(spark, sf_dir):
+    return threat_graph(spark, sf_dir)[4]
+
+
+@register("graph_edges", f"WITH {GRAPH_SQL}\nSELECT src, dst, relation_type, CAST(1.0 AS DOUBLE) AS weight, "
+                         f"CAST(0.0 AS DOUBLE) AS anomaly_score, relation_count FROM edges")
+def q_graph_edges(spark, sf_dir):
+    return threat_graph(spark, sf_dir)[3]
+
+
+@register("graph_entity_features", f"""WITH {GRAPH_SQL},
+od AS (SELECT src AS entity_id, count(*) AS o FROM edges GROUP BY src),
+idg AS (SELECT dst AS entity_id, count(*) AS i FROM edges GROUP BY dst)
+SELECT v.entity_id, v.entity_type,
+       CASE v.entity_type
+         WHEN 'user' THEN [coalesce(u.activity_count, 0) / 1000.0, 0.0, v.risk_score, coalesce(o, 0) / 100.0]
+         WHEN 'system' THEN [coalesce(i, 0) / 100.0, 0.0, 0.0, 0.0]
+         WHEN 'asset' THEN [coalesce(i, 0) / 50.0, 0.5, 0.0, 0.0]
+         WHEN 'hr_record' THEN [0.0, 0.0, v.risk_score, 0.0]
+         ELSE [0.0, 0.0, 0.0, 0.0] END AS features
+FROM verts v LEFT JOIN uv u ON u.entity_id = v.entity_id LEFT JOIN od ON od.entity_id = v.entity_id
+LEFT JOIN idg ON idg.entity_id = v.entity_id""")
+def q_graph_entity_features(spark, sf_dir):
+    users, _, _, edges, verts = threat_graph(spark, sf_dir)
+    return G.entity_features(verts, users, edges)
+
+
+@register("cross_domain_patterns", f"WITH {GRAPH_SQL}\nSELECT * FROM cdp")
+def q_cross_domain_patterns(spark, sf_dir):
+    *_, edges, verts = threat_graph(spark, sf_dir)
+    p = G.cross_domain_patterns(verts, edges)
+    return p.select("user_id", "pattern_count", F.array_join("entity_types", ",").alias("entity_types"),
+                    F.array_join("connected_entities", ",").alias("connected_entities"), "overall_risk_score")
