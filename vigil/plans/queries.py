@@ -469,3 +469,165 @@ def q_cross_domain_patterns(spark, sf_dir):
     p = G.cross_domain_patterns(verts, edges)
     return p.select("user_id", "pattern_count", F.array_join("entity_types", ",").alias("entity_types"),
                     F.array_join("connected_entities", ",").alias("connected_entities"), "overall_risk_score")
+
+
+# ---------------------------------------------------------------- context
+from vigil.operators.knn import knn_query  # noqa: E402
+
+
+@register("user_context", f"""WITH {S.EV},{S.DIM}
+SELECT u.user_id, coalesce(d.role, 'unknown') AS role, coalesce(d.department, 'unknown') AS department,
+       coalesce(d.project, 'unknown') AS project,
+       CASE WHEN d.manager_level THEN 'manager' ELSE 'employee' END AS access_level
+FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN dim d ON d.user_id = u.user_id""")
+def q_user_context(spark, sf_dir):
+    users = activity_events(spark, sf_dir).select("user_id").distinct()
+    return C.user_context(users, user_dimension(spark, sf_dir))
+
+
+def intent_report(spark, sf_dir):
+    m, sc = scored_sessions(spark, sf_dir)
+    flagged = (sc.where(F.col("is_outlier")).select("user_id", "session_id")
+                 .join(m.select("user_id", "session_id", "session_start"), ["user_id", "session_id"], "left"))
+    ctx = C.user_context(flagged, user_dimension(spark, sf_dir))
+    keep = ["event_id", "timestamp", "user_id", "activity_subtype", "email_content", "file_name", "file_tree",
+            "logon_activity", "http_content", "url", "device_activity"]
+    ev = unified_events(spark, sf_dir).select(*keep)
+    matched = C.nearest_event(ctx, ev)
+    acts = (matched.withColumn("action", C.infer_action())
+                   .withColumn("timestamp", F.col("session_start"))
+                   .withColumn("time_of_day", F.when(F.col("session_start").isNull(), None)
+                               .otherwise(F.hour("session_start").cast("string")))
+                   .withColumn("justification", F.lit(None).cast("string")))
+    sc2 = C.rule_scores(acts, C.role_permissions_table(spark), C.temporal_rules_table(spark),
+                        C.project_lifecycles_table(spark))
+    sc2 = sc2.withColumn("intent_score", C.intent_score())
+    label, risk = C.intent_label(F.col("intent_score"))
+    sc2 = sc2.withColumn("intent_label", label).withColumn("risk_level", risk) \
+             .withColumn("reasoning", C.reasoning()) \
+             .withColumn("activity_text", C.activity_text(with_justification=False))
+    *_, edges, verts = threat_graph(spark, sf_dir)
+    risk_g = G.cross_domain_patterns(verts, edges).select("user_id", F.col("overall_risk_score").alias("graph_risk_score"))
+    out = sc2.join(risk_g, "user_id", "left")
+    return out.select("user_id", "session_id", "action", "role", "project", "role_score", "time_score",
+                      "project_score", "intent_score", "intent_label", "risk_level", "reasoning",
+                      "activity_text", F.coalesce("graph_risk_score", F.lit(0.0)).alias("graph_risk_score"))
+
+
+def _rules_sql():
+    rp = ", ".join(f"('{r}', [{', '.join(repr(a) for a in acts)}]::VARCHAR[])" for r, acts in C.ROLE_PERMISSIONS.items())
+    tr = ", ".join(f"('{r}', {s}, {e})" for r, (s, e) in C.TEMPORAL_RULES.items())
+    pl = ", ".join(f"('{p}', '{st}', [{', '.join(repr(a) for a in acts)}]::VARCHAR[])"
+                   for p, (st, acts) in C.PROJECT_LIFECYCLES.items())
+    return f"""rp AS (SELECT * FROM (VALUES {rp}) t(role, allowed)),
+tr AS (SELECT * FROM (VALUES {tr}) t(role, start_hour, end_hour)),
+pl AS (SELECT * FROM (VALUES {pl}) t(project, stage, expected))"""
+
+
+def _truthy(c):
+    return f"({c} IS NOT NULL AND {c} <> '')"
+
+
+INFER_SQL = f"""CASE
+  WHEN coalesce(contains(lower(activity_subtype), 'email'), false) OR {_truthy('email_content')} THEN 'email_send'
+  WHEN {_truthy('file_name')} OR {_truthy('file_tree')} THEN 'file_access'
+  WHEN {_truthy('logon_activity')} AND contains(lower(logon_activity), 'login') THEN 'logon'
+  WHEN {_truthy('logon_activity')} AND contains(lower(logon_activity), 'logout') THEN 'logout'
+  WHEN ({_truthy('http_content')} OR {_truthy('url')}) AND (coalesce(contains(lower(http_content), 'query'), false)
+        OR coalesce(contains(lower(url), 'query'), false)) THEN 'database_query'
+  WHEN {_truthy('device_activity')} AND contains(lower(device_activity), 'removable') THEN 'device_use'
+  WHEN {_truthy('device_activity')} AND contains(lower(device_activity), 'insert') THEN 'device_insert'
+  ELSE 'unknown' END"""
+
+
+INTENT_SQL = f"""WITH {ETL_BODY},{S.DIM},{DBLOF_CTE},{GRAPH_SQL[GRAPH_SQL.index('uv AS'):]},{_rules_sql()},
+flag AS (SELECT d.user_id, d.session_id, m.session_start FROM dblof d
+         JOIN mat m ON m.user_id = d.user_id AND m.session_id = d.session_id WHERE d.is_outlier),
+ctx AS (SELECT f.*, coalesce(dm.role, 'unknown') AS role, coalesce(dm.project, 'unknown') AS project
+        FROM flag f LEFT JOIN dim dm ON dm.user_id = f.user_id),
+cand AS (SELECT c.user_id, c.session_id, u.event_id, u."timestamp", u.activity_subtype, u.email_content, u.file_name,
+                u.file_tree, u.logon_activity, u.http_content, u.url, u.device_activity
+         FROM ctx c JOIN unified u ON u.user_id = c.user_id
+              AND u."timestamp" >= c.session_start - INTERVAL 10 MINUTE
+              AND u."timestamp" <= c.session_start + INTERVAL 10 MINUTE),
+firstev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY "timestamp", event_id) rn
+                           FROM cand) WHERE rn = 1),
+acts AS (SELECT c.*, CASE WHEN fe.user_id IS NULL THEN 'unknown' ELSE {INFER_SQL.replace('activity_subtype', 'fe.activity_subtype').replace(' email_content', ' fe.email_content').replace('(email_content', '(fe.email_content')} END AS action
+         FROM ctx c LEFT JOIN firstev fe ON fe.user_id = c.user_id AND fe.session_id = c.session_id),
+sc AS (
+  SELECT a.*,
+    CASE WHEN rp.allowed IS NULL THEN 0.5 WHEN list_contains(rp.allowed, a.action) THEN 1.0
+         WHEN len(list_filter(rp.allowed, lambda x: contains(a.action, x))) > 0 THEN 0.7 ELSE 0.2 END AS role_score,
+    CASE WHEN tr.start_hour IS NULL OR a.session_start IS NULL THEN 0.8
+         WHEN hour(a.session_start) >= tr.start_hour AND hour(a.session_start) <= tr.end_hour
+              AND isodow(a.session_start) - 1 < 5 THEN 1.0
+         WHEN isodow(a.session_start) - 1 < 5 THEN 0.5 ELSE 0.3 END AS time_score,
+    CASE WHEN pl.stage IS NULL THEN 0.7 WHEN list_contains(pl.expected, a.action) THEN 1.0
+         WHEN pl.stage = 'completed' AND contains(a.action, 'access') THEN 0.4 ELSE 0.6 END AS project_score
+  FROM acts a LEFT JOIN rp ON rp.role = a.role LEFT JOIN tr ON tr.role = a.role LEFT JOIN pl ON pl.project = a.project),
+sc2 AS (SELECT *, least(greatest(CAST(role_score AS DOUBLE) * 0.4 + CAST(time_score AS DOUBLE) * 0.3
+                                 + CAST(project_score AS DOUBLE) * 0.3, 0.0), 1.0) AS intent_score FROM sc)
+SELECT s.user_id, session_id, action, role, project, CAST(role_score AS DOUBLE) AS role_score,
+       CAST(time_score AS DOUBLE) AS time_score, CAST(project_score AS DOUBLE) AS project_score,
+       {S.r6('intent_score')} AS intent_score,
+       CASE WHEN intent_score >= 0.7 THEN 'benign' WHEN intent_score >= 0.4 THEN 'suspicious' ELSE 'malicious' END AS intent_label,
+       CASE WHEN intent_score >= 0.7 THEN 'low' WHEN intent_score >= 0.4 THEN 'medium' ELSE 'high' END AS risk_level,
+       concat_ws('. ',
+         CASE WHEN role_score < 0.5 THEN 'Action ''' || action || ''' is NOT typically permitted for role ''' || role || ''''
+              WHEN role_score >= 0.8 THEN 'Action aligns with expected permissions for role ''' || role || '''' END,
+         CASE WHEN time_score < 0.5 THEN 'Activity occurred at ' || strftime(session_start, '%H:%M on %A')
+              || ', outside typical business hours' END,
+         CASE WHEN project_score < 0.5 THEN 'Action unusual for project ''' || project || ''' current lifecycle stage' END,
+         'Overall assessment: Activity ' || CASE WHEN intent_score >= 0.7 THEN 'appears BENIGN and contextually justified'
+              WHEN intent_score >= 0.4 THEN 'appears SUSPICIOUS and warrants review'
+              ELSE 'appears MALICIOUS with high risk indicators' END) || '.' AS reasoning,
+       'User role: ' || role || '. Action: ' || action || '. Time: ' || coalesce(CAST(hour(session_start) AS VARCHAR), 'business_hours')
+         || '. Project: ' || project || '.' AS activity_text,
+       coalesce(cdp.overall_risk_score, 0.0) AS graph_risk_score
+FROM sc2 s LEFT JOIN cdp ON cdp.user_id = s.user_id"""
+
+
+@register("intent_report", INTENT_SQL)
+def q_intent_report(spark, sf_dir):
+    return round_doubles(intent_report(spark, sf_dir))
+
+
+RETRIEVAL_K = 5
+
+
+@register("knowledge_retrieval", f"""WITH {S.EMB_PTS},
+pairs AS (SELECT a.id, b.id AS nbr, list_distance(a.v, b.v) AS dist FROM pts a JOIN pts b ON true),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {S.rk('dist')}, nbr) AS rnk FROM pairs)
+        WHERE rnk <= {RETRIEVAL_K}),
+kb AS (SELECT CAST(vec_id AS VARCHAR) AS nbr, CASE WHEN label = 0 THEN 'malicious' ELSE 'benign' END AS outcome
+       FROM embeddings)
+SELECT k.id, k.nbr, CAST(k.rnk AS INTEGER) AS "rank", {S.r6('k.dist * k.dist')} AS sq_distance,
+       {S.r6('1.0 / (1.0 + k.dist * k.dist)')} AS similarity, kb.outcome
+FROM knn k JOIN kb ON kb.nbr = k.nbr""")
+def q_knowledge_retrieval(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    pts = to_vectors(emb, "vec_id", vector_col="embedding")
+    n = knn_query(pts, pts, RETRIEVAL_K)
+    kb = emb.select(F.col("vec_id").cast("string").alias("nbr"),
+                    F.when(F.col("label") == 0, "malicious").otherwise("benign").alias("outcome"))
+    return round_doubles(n.join(kb, "nbr").select(
+        "id", "nbr", "rank", (F.col("dist") * F.col("dist")).alias("sq_distance"),
+        (F.lit(1.0) / (F.lit(1.0) + F.col("dist") * F.col("dist"))).alias("similarity"), "outcome"))
+
+
+@register("knowledge_history", f"""WITH {S.EMB_PTS},
+pairs AS (SELECT a.id, b.id AS nbr, list_distance(a.v, b.v) AS dist FROM pts a JOIN pts b ON true),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {S.rk('dist')}, nbr) AS rnk FROM pairs)
+        WHERE rnk <= {RETRIEVAL_K}),
+kb AS (SELECT CAST(vec_id AS VARCHAR) AS nbr, CASE WHEN label = 0 THEN 'malicious' ELSE 'benign' END AS outcome
+       FROM embeddings)
+SELECT k.id, {S.r6("sum((1.0 / (1.0 + k.dist * k.dist)) * CASE WHEN outcome = 'benign' THEN 1.0 ELSE 0.0 END) / sum(1.0 / (1.0 + k.dist * k.dist))")} AS history_score,
+       CAST(sum(CASE WHEN outcome = 'benign' THEN 1 ELSE 0 END) AS BIGINT) AS benign_count, count(*) AS neighbour_count
+FROM knn k JOIN kb ON kb.nbr = k.nbr GROUP BY k.id""")
+def q_knowledge_history(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    pts = to_vectors(emb, "vec_id", vector_col="embedding")
+    n = knn_query(pts, pts, RETRIEVAL_K)
+    kb = emb.select(F.col("vec_id").cast("string").alias("nbr"),
+                    F.when(F.col("label") == 0, "malicious").otherwise("benign").alias("outcome"))
+    return round_doubles(C.history_share(n.select("id", "nbr", "dist"), kb))
