@@ -631,3 +631,127 @@ def q_knowledge_history(spark, sf_dir):
     kb = emb.select(F.col("vec_id").cast("string").alias("nbr"),
                     F.when(F.col("label") == 0, "malicious").otherwise("benign").alias("outcome"))
     return round_doubles(C.history_share(n.select("id", "nbr", "dist"), kb))
+
+
+# ---------------------------------------------------------------- baselines
+from vigil.operators import baseline as BL  # noqa: E402
+
+BASE_W = 25
+MF = S.MATRIX_FEATURES
+
+
+def _q(c):
+    return f'"{c}"'
+
+
+def _matrix_ckpt(spark, sf_dir):
+    from vigil.session import cut_lineage
+    return cut_lineage(session_matrix(spark, sf_dir))
+
+
+MAT_CTE = f"mat AS ({S.matrix_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, rounded=False)})"
+STATS_CTE = "gstats AS (SELECT " + ", ".join(
+    f"stddev_samp(CAST({_q(c)} AS DOUBLE)) AS {_q('sd_' + c)}" for c in MF) + " FROM mat)"
+WIN_CTE = f"""win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                ORDER BY session_start DESC NULLS LAST, session_id DESC) AS recency FROM mat) WHERE recency <= {BASE_W})"""
+DECAY_CTE = "dec AS (SELECT user_id, count(*) AS window_size, " + ", ".join(
+    f"sum(coalesce(CAST({_q(c)} AS DOUBLE), 0.0) * pow(0.95, recency - 1)) / sum(pow(0.95, recency - 1)) AS {_q(c)}"
+    for c in MF) + " FROM win GROUP BY user_id)"
+PROF_CTE = "prof AS (SELECT user_id, count(*) AS activity_count, " + ", ".join(
+    f"avg(CAST({_q(c)} AS DOUBLE)) AS {_q(c)}" for c in MF) + " FROM mat GROUP BY user_id)"
+
+
+@register("baseline_global_stats", f"WITH {MAT_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {S.r6(f'avg(CAST({_q(c)} AS DOUBLE))')} AS mean, "
+    f"{S.r6(f'stddev_samp(CAST({_q(c)} AS DOUBLE))')} AS std, {S.r6(f'min(CAST({_q(c)} AS DOUBLE))')} AS min, "
+    f"{S.r6(f'max(CAST({_q(c)} AS DOUBLE))')} AS max FROM mat" for c in MF))
+def q_baseline_global_stats(spark, sf_dir):
+    m = session_matrix(spark, sf_dir)
+    return round_doubles(BL.global_stats(m, BL.feature_columns(m)))
+
+
+@register("baseline_user_profiles", f"WITH {MAT_CTE}, {PROF_CTE}\nSELECT user_id, activity_count, " +
+          ", ".join(f"{S.r6(_q(c))} AS {_q(c)}" for c in MF) + " FROM prof")
+def q_baseline_user_profiles(spark, sf_dir):
+    m = session_matrix(spark, sf_dir)
+    return round_doubles(BL.user_profiles(m, BL.feature_columns(m)))
+
+
+@register("baseline_window", f"WITH {MAT_CTE}, {WIN_CTE}\nSELECT user_id, session_id, CAST(recency AS INTEGER) AS recency FROM win")
+def q_baseline_window(spark, sf_dir):
+    m = session_matrix(spark, sf_dir)
+    return BL.last_w(m, BASE_W).select("user_id", "session_id", F.col("recency").cast("int"))
+
+
+@register("decayed_baselines", f"WITH {MAT_CTE}, {WIN_CTE}, {DECAY_CTE}\nSELECT user_id, window_size, " +
+          ", ".join(f"{S.r6(_q(c))} AS {_q(c)}" for c in MF) + " FROM dec")
+def q_decayed_baselines(spark, sf_dir):
+    m = session_matrix(spark, sf_dir)
+    return round_doubles(BL.decayed_baseline(BL.last_w(m, BASE_W), BL.feature_columns(m)))
+
+
+def _score_sql():
+    parts, used = [], []
+    for c in MF:
+        ok = f"(s.{_q(c)} IS NOT NULL AND p.{_q(c)} IS NOT NULL AND g.{_q('sd_' + c)} > 0)"
+        z = f"abs(s.{_q(c)} - p.{_q(c)}) / g.{_q('sd_' + c)}"
+        parts.append(f"CASE WHEN {ok} THEN 1.0 / (1.0 + exp(-({z}) + 2.0)) ELSE 0.0 END")
+        used.append(f"CASE WHEN {ok} THEN 1 ELSE 0 END")
+    return " + ".join(parts), " + ".join(used)
+
+
+_SP, _SU = _score_sql()
+
+
+@register("session_baseline_scores", f"""WITH {MAT_CTE}, {PROF_CTE}, {STATS_CTE}
+SELECT s.user_id, s.session_id,
+       {S.r6(f"CASE WHEN p.user_id IS NULL OR ({_SU}) = 0 THEN 0.5 ELSE ({_SP}) / ({_SU}) END")} AS baseline_anomaly_score
+FROM mat s LEFT JOIN prof p ON p.user_id = s.user_id CROSS JOIN gstats g""")
+def q_session_baseline_scores(spark, sf_dir):
+    m = _matrix_ckpt(spark, sf_dir)
+    feats = BL.feature_columns(m)
+    return round_doubles(BL.anomaly_scores(m, BL.user_profiles(m, feats), BL.global_stats(m, feats), feats))
+
+
+def _drift_sql():
+    hits, tot = [], []
+    for c in MF:
+        ok = f"(l.{_q(c)} IS NOT NULL AND d.{_q(c)} IS NOT NULL)"
+        tot.append(f"CASE WHEN {ok} THEN 1 ELSE 0 END")
+        hits.append(f"CASE WHEN {ok} AND g.{_q('sd_' + c)} > 0 AND abs(l.{_q(c)} - d.{_q(c)}) / g.{_q('sd_' + c)} > 3.0 "
+                    f"THEN 1 ELSE 0 END")
+    return " + ".join(hits), " + ".join(tot)
+
+
+_DH, _DT = _drift_sql()
+DRIFT_CTE = f"""{MAT_CTE}, {WIN_CTE}, {DECAY_CTE}, {STATS_CTE},
+drift AS (
+  SELECT l.user_id, ({_DH}) AS significant_deviations, ({_DT}) AS total_features
+  FROM (SELECT * FROM win WHERE recency = 1) l JOIN dec d ON d.user_id = l.user_id CROSS JOIN gstats g)"""
+
+
+def drift(spark, sf_dir):
+    m = _matrix_ckpt(spark, sf_dir)
+    feats = BL.feature_columns(m)
+    win = BL.last_w(m, BASE_W)
+    latest = win.where(F.col("recency") == 1)
+    return BL.drift_flags(latest, BL.decayed_baseline(win, feats), BL.global_stats(m, feats), feats)
+
+
+@register("drift_flags", f"""WITH {DRIFT_CTE}
+SELECT user_id, significant_deviations, total_features,
+       {S.r6('significant_deviations / total_features')} AS drift_ratio,
+       coalesce(significant_deviations / total_features > 0.3, false) AS drift_detected FROM drift""")
+def q_drift_flags(spark, sf_dir):
+    return round_doubles(drift(spark, sf_dir))
+
+
+@register("population_drift", f"""WITH {DRIFT_CTE}
+SELECT count(*) AS total_users,
+       count(*) FILTER (WHERE coalesce(significant_deviations / total_features > 0.3, false)) AS drift_detected_users,
+       {S.r6("count(*) FILTER (WHERE coalesce(significant_deviations / total_features > 0.3, false)) / greatest(count(*), 1)")} AS drift_ratio,
+       count(*) FILTER (WHERE coalesce(significant_deviations / total_features > 0.3, false)) / greatest(count(*), 1) > 0.2
+         AS retrain_recommended
+FROM drift""")
+def q_population_drift(spark, sf_dir):
+    return round_doubles(BL.population_drift(drift(spark, sf_dir)))
