@@ -755,3 +755,139 @@ SELECT count(*) AS total_users,
 FROM drift""")
 def q_population_drift(spark, sf_dir):
     return round_doubles(BL.population_drift(drift(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- scans, explanations, fairness, feedback, tiers
+from vigil.operators import explain as XAI, fairness as FAIR, feedback as FB, scan as SCAN, tiers as TIER  # noqa: E402
+
+DOC_PATTERNS = {**SCAN.DEFAULT_PATTERNS, **SCAN.EMAIL_PATTERN}
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("leak_scan_documents", "WITH h AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS pattern_matched, regexp_extract_all(text, {_sql_str(p)}) AS m FROM documents"
+    for n, p in DOC_PATTERNS.items()) + """)
+SELECT doc_id, pattern_matched, array_to_string(m, '|') AS matches, CAST(len(m) AS INTEGER) AS n_matches,
+       'high' AS risk_level FROM h WHERE len(m) > 0""")
+def q_leak_scan_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    a = SCAN.detect_leakage(docs, "text", ["doc_id"], DOC_PATTERNS)
+    return a.select("doc_id", "pattern_matched", F.array_join("matches", "|").alias("matches"),
+                    F.size("matches").alias("n_matches"), "risk_level")
+
+
+@register("text_scan_pages", " UNION ALL ".join(
+    f"SELECT page_id, '{n}' AS pattern_matched, 'medium' AS risk_level FROM pages "
+    f"WHERE regexp_matches(html, {_sql_str(p)})" for n, p in DOC_PATTERNS.items()))
+def q_text_scan_pages(spark, sf_dir):
+    return SCAN.scan_text(read_table(spark, sf_dir, "pages"), "html", ["page_id"], DOC_PATTERNS)
+
+
+@register("text_scan_conversations", " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{n}' AS pattern_matched, 'medium' AS risk_level FROM conversations "
+    f"WHERE regexp_matches(text, {_sql_str(p)})" for n, p in DOC_PATTERNS.items()))
+def q_text_scan_conversations(spark, sf_dir):
+    return SCAN.scan_text(read_table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"], DOC_PATTERNS)
+
+
+EXPLAIN_FEATS = ["session_duration_s", "file_rate", "logon_rate", "device_rate", "http_rate"]
+
+
+@register("explain_outliers", f"""WITH {DBLOF_CTE},
+f AS (SELECT d.user_id, d.session_id, u.feature, u.value, abs(u.value) AS importance
+      FROM dblof d JOIN mat m ON m.user_id = d.user_id AND m.session_id = d.session_id,
+      LATERAL (SELECT unnest([{', '.join(repr(x) for x in EXPLAIN_FEATS)}]) AS feature,
+                      unnest([{', '.join(f'CAST(coalesce(m.{x}, 0) AS DOUBLE)' for x in EXPLAIN_FEATS)}]) AS value) u
+      WHERE d.is_outlier),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY importance DESC, feature) AS rn FROM f)
+SELECT user_id, session_id,
+       string_agg(feature, ',' ORDER BY rn) AS top_features,
+       'Prediction: anomalous. Key factors: ' ||
+       string_agg(printf('%s (%.2f) contributed %.1f%%', replace(feature, '_', ' '), value, importance * 100), '; ' ORDER BY rn)
+       || '.' AS natural_language_summary
+FROM r WHERE rn <= 3 GROUP BY user_id, session_id""")
+def q_explain_outliers(spark, sf_dir):
+    m, sc = scored_sessions(spark, sf_dir)
+    o = sc.where(F.col("is_outlier")).select("user_id", "session_id").join(m, ["user_id", "session_id"])
+    e = XAI.explain(o, EXPLAIN_FEATS, F.lit("anomalous"))
+    return e.select("user_id", "session_id", F.array_join("top_features", ",").alias("top_features"),
+                    "natural_language_summary")
+
+
+def _fair_input(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return lab.join(docs, "doc_id").select("doc_id", "lang", "source",
+                                            (F.lit(1) - F.col("quality")).alias("prediction"),
+                                            F.col("toxic").alias("truth"))
+
+
+FAIR_CTE = """WITH fin AS (SELECT l.doc_id, d.lang, d.source, 1 - l.quality AS prediction, l.toxic AS truth
+                    FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+lng AS (SELECT prediction AS p, truth AS t, 'lang' AS attribute, lang AS value FROM fin
+        UNION ALL SELECT prediction, truth, 'source', source FROM fin),
+grp AS (SELECT attribute, value,
+          coalesce(count(*) FILTER (WHERE p = 1 AND t = 1) / nullif(count(*) FILTER (WHERE p = 1), 0), 0.0) AS precision,
+          coalesce(count(*) FILTER (WHERE p = 1 AND t = 1) / nullif(count(*) FILTER (WHERE t = 1), 0), 0.0) AS recall,
+          avg(CAST(p AS DOUBLE)) AS flag_rate FROM lng GROUP BY attribute, value)"""
+
+
+@register("fairness_overall", FAIR_CTE + f"""
+SELECT {S.r6('avg(CASE WHEN prediction = truth THEN 1.0 ELSE 0.0 END)')} AS accuracy,
+       {S.r6('coalesce(count(*) FILTER (WHERE prediction = 1 AND truth = 1) / nullif(count(*) FILTER (WHERE prediction = 1), 0), 0.0)')} AS precision,
+       {S.r6('coalesce(count(*) FILTER (WHERE prediction = 1 AND truth = 1) / nullif(count(*) FILTER (WHERE truth = 1), 0), 0.0)')} AS recall
+FROM fin""")
+def q_fairness_overall(spark, sf_dir):
+    return round_doubles(FAIR.overall(_fair_input(spark, sf_dir)))
+
+
+@register("fairness_groups", FAIR_CTE + f"""
+SELECT attribute, value, {S.r6('precision')} AS precision, {S.r6('recall')} AS recall,
+       {S.r6('flag_rate')} AS flag_rate FROM grp""")
+def q_fairness_groups(spark, sf_dir):
+    return round_doubles(FAIR.group_metrics(_fair_input(spark, sf_dir), ["lang", "source"]))
+
+
+@register("fairness_disparity", FAIR_CTE + f"""
+SELECT {S.r6('max(flag_rate) - min(flag_rate)')} AS demographic_parity,
+       round(max(flag_rate) - min(flag_rate), 9) > 0.2 AS bias_detected FROM grp""")
+def q_fairness_disparity(spark, sf_dir):
+    g = FAIR.group_metrics(_fair_input(spark, sf_dir), ["lang", "source"])
+    return round_doubles(FAIR.disparity(g))
+
+
+def _feedback_input(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    decision = (F.when(F.col("event_type") == "purchase", "true_positive")
+                 .when(F.col("event_type") == "error", "false_positive").otherwise("needs_review"))
+    return ev.select(F.col("user_id").cast("string").alias("user_id"), "ts", "event_id",
+                     (F.col("value") / 500.0).alias("prediction_score"), decision.alias("analyst_decision"))
+
+
+@register("analyst_feedback", f"""
+WITH fb AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, event_id,
+                   CASE event_type WHEN 'purchase' THEN -0.01 * (value / 500.0)
+                        WHEN 'error' THEN 0.01 * (1.0 - value / 500.0) ELSE 0.0 END AS d,
+                   event_type FROM events)
+SELECT user_id, count(*) AS total_feedback, count(*) FILTER (WHERE event_type = 'purchase') AS true_positives,
+       count(*) FILTER (WHERE event_type = 'error') AS false_positives,
+       {S.r6("list_reduce(list(d ORDER BY ts, event_id), lambda acc, x: least(greatest(acc + x, 0.1), 0.9), 0.5)")}
+         AS current_threshold
+FROM fb GROUP BY user_id""")
+def q_analyst_feedback(spark, sf_dir):
+    t = FB.adaptive_thresholds(_feedback_input(spark, sf_dir), "user_id", ["ts", "event_id"], "ts")
+    return round_doubles(t)
+
+
+@register("risk_tiers", f"""WITH {MAT_CTE}, {PROF_CTE}, {STATS_CTE},
+s AS (SELECT s.user_id, s.session_id,
+       CASE WHEN p.user_id IS NULL OR ({_SU}) = 0 THEN 0.5 ELSE ({_SP}) / ({_SU}) END AS score
+      FROM mat s LEFT JOIN prof p ON p.user_id = s.user_id CROSS JOIN gstats g)
+SELECT user_id, session_id, {S.r6('score')} AS baseline_anomaly_score,
+       CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS risk_tier FROM s""")
+def q_risk_tiers(spark, sf_dir):
+    s = q_session_baseline_scores(spark, sf_dir)
+    return s.withColumn("risk_tier", TIER.risk_tier(F.col("baseline_anomaly_score")))
