@@ -24,7 +24,7 @@ def missing_by_column(raw: DataFrame, file_type: str) -> DataFrame:
                                   for c in raw.columns]))
     return (row.select("_n", entries.alias("e"))
                .select(F.lit(file_type).alias("file_type"), "e.column", "e.missing_count",
-                       (F.col("e.missing_count") * 100.0 / F.col("_n")).alias("missing_pct")))
+                       F.try_divide(F.col("e.missing_count") * 100.0, F.col("_n")).alias("missing_pct")))
 
 
 def quality_report(raw: DataFrame, file_type: str, date_col: str | None = "date",
@@ -43,20 +43,22 @@ def quality_report(raw: DataFrame, file_type: str, date_col: str | None = "date"
     dups = (raw.groupBy(*[F.col(f"`{c}`") for c in cols]).count()
                .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_count")))
     r = base.select("*", dups.scalar().alias("duplicate_count"))
-    max_missing = F.greatest(*[F.col(f"_m_{i}") * 100.0 / F.col("total_records") for i in range(len(cols))]) \
-        if len(cols) > 1 else F.col("_m_0") * 100.0 / F.col("total_records")
+    def pct(c):
+        return F.try_divide(c * 100.0, F.col("total_records"))
+    max_missing = F.greatest(*[pct(F.col(f"_m_{i}")) for i in range(len(cols))]) \
+        if len(cols) > 1 else pct(F.col("_m_0"))
     r = r.withColumn("max_missing_pct", max_missing)
     passes = []
     if "missing" in checks:
-        r = r.withColumn("missing_pass", F.col("max_missing_pct") < MISSING_MAX_PCT)
+        r = r.withColumn("missing_pass", F.coalesce(F.col("max_missing_pct") < MISSING_MAX_PCT, F.lit(False)))
         passes.append("missing_pass")
     if "duplicates" in checks:
-        r = (r.withColumn("duplicate_pct", F.col("duplicate_count") * 100.0 / F.col("total_records"))
-              .withColumn("duplicates_pass", F.col("duplicate_pct") < DUPLICATE_MAX_PCT))
+        r = (r.withColumn("duplicate_pct", pct(F.col("duplicate_count")))
+              .withColumn("duplicates_pass", F.coalesce(F.col("duplicate_pct") < DUPLICATE_MAX_PCT, F.lit(False))))
         passes.append("duplicates_pass")
     if date_col and "timestamp" in checks:
-        r = (r.withColumn("timestamp_validity_pct", F.col("valid_timestamps") * 100.0 / F.col("total_records"))
-              .withColumn("timestamp_pass", F.col("timestamp_validity_pct") >= TIMESTAMP_MIN_PCT))
+        r = (r.withColumn("timestamp_validity_pct", pct(F.col("valid_timestamps")))
+              .withColumn("timestamp_pass", F.coalesce(F.col("timestamp_validity_pct") >= TIMESTAMP_MIN_PCT, F.lit(False))))
         passes.append("timestamp_pass")
     score = (sum(F.col(p).cast("int") for p in passes) * 100.0 / len(passes)) if passes else F.lit(0.0)
     r = r.withColumn("overall_quality_score", score.cast("double")).withColumn("file_type", F.lit(file_type))

@@ -50,6 +50,9 @@ def micro_batch_writer(out_path: str, report_path: str | None = None):
     from vigil.plans.etl import quality_reports
 
     def write(batch: DataFrame, epoch_id: int) -> None:
+        # Several jobs read the micro-batch (five types, the report): read it
+        # from the source once.
+        batch = batch.persist()
         routed = route(batch)
         raws = {t: decode(routed, t).where(~F.col("_malformed")).drop("_malformed") for t in RAW_COLUMNS}
         frames = [process_type(r, t) for t, r in raws.items()]
@@ -60,6 +63,7 @@ def micro_batch_writer(out_path: str, report_path: str | None = None):
         if report_path:
             quality_reports(raws).withColumn("epoch_id", F.lit(epoch_id)) \
                 .write.mode("append").parquet(report_path)
+        batch.unpersist()
     return write
 
 
@@ -78,9 +82,16 @@ def start_ingestion(stream: DataFrame, out_path: str, checkpoint: str, report_pa
 
 def metrics(query) -> dict:
     """T4: processed rows, rate, backlog and last batch time from progress."""
-    p = query.lastProgress or {}
+    import json
+    p = query.lastProgress
+    if p is None:
+        p = {}
+    elif hasattr(p, "json"):
+        p = json.loads(p.json)
     src = (p.get("sources") or [{}])[0]
     obs = (p.get("observedMetrics") or {}).get("ingest", {})
+    if hasattr(obs, "asDict"):
+        obs = obs.asDict()
     return {"events_processed": p.get("numInputRows", 0), "processing_rate": p.get("processedRowsPerSecond", 0.0),
             "empty_payloads": obs.get("empty_payloads", 0), "batch_id": p.get("batchId"),
             "last_flush_time": p.get("timestamp"), "backlog": src.get("latestOffset")}
