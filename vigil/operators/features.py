@@ -39,10 +39,11 @@ def add_user_context(events: DataFrame, user_dim: DataFrame, ts_col: str = "time
 def rare_logon_hours(events: DataFrame, threshold: float = 0.01) -> DataFrame:
     """F7 lookup: hours whose share of all logons is below ``threshold`` (≤ 24 rows)."""
     logons = events.where((F.col("activity_type") == "logon") & F.col("hour").isNotNull())
-    total = logons.agg(F.count(F.lit(1))).scalar()
-    return (logons.groupBy("hour").agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") / total < F.lit(threshold))
-                  .select("hour", F.lit(1).alias("_rare")))
+    counts = logons.groupBy("hour").agg(F.count(F.lit(1)).alias("_n"))
+    # The total is summed from the ≤ 24 hour counts; the subquery and the main
+    # plan share the counts' exchange, so events are aggregated once.
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") / total < F.lit(threshold)).select("hour", F.lit(1).alias("_rare"))
 
 
 def transition_probabilities(sess: DataFrame, user_col: str = "user_id",
@@ -67,10 +68,9 @@ def transition_probabilities(sess: DataFrame, user_col: str = "user_id",
                           F.col("_first").alias("activity"))
                   .where(F.col("prev_activity").isNotNull()))
     pairs = within.unionByName(across)
-    total = pairs.agg(F.count(F.lit(1))).scalar()
-    return (pairs.groupBy("prev_activity", "activity")
-                 .agg(F.count(F.lit(1)).alias("transition_count"))
-                 .withColumn("probability", F.col("transition_count") / total))
+    counts = pairs.groupBy("prev_activity", "activity").agg(F.count(F.lit(1)).alias("transition_count"))
+    total = counts.agg(F.sum("transition_count")).scalar()
+    return counts.withColumn("probability", F.col("transition_count") / total)
 
 
 def sequence_features(sess: DataFrame, transitions: DataFrame, unusual_threshold: float = 0.01,
@@ -174,14 +174,19 @@ def session_feature_matrix(events: DataFrame, gap_minutes: float = 10,
                            rare_hour_threshold: float = 0.01, unusual_threshold: float = 0.01,
                            burst_window: int = 3, burst_threshold: int = 3,
                            peers: DataFrame | str | None = "kmeans", kmeans_k: int | None = None,
-                           seed: int = 42) -> DataFrame:
+                           seed: int = 42, persist: bool = True) -> DataFrame:
     """F1–F13 → one row per (user_id, session_id).
 
     ``peers``: a (user_id, peer_group) frame, ``"kmeans"`` for F11, or None
     to leave out the ``_z_peer`` columns.
     """
-    sess = sessionize(events, gap_minutes)
-    sess = sess.withColumn("hour", F.hour("timestamp"))
+    sess = sessionize(events, gap_minutes).withColumn("hour", F.hour("timestamp"))
+    if persist:
+        # Five branches read the sessionised events (rare hours, bursts and
+        # aggregates, transitions, n-grams); keep one copy (spills to disk,
+        # recomputed from lineage if an executor is lost).
+        from pyspark import StorageLevel
+        sess = sess.persist(StorageLevel.MEMORY_AND_DISK)
     rare = F.broadcast(rare_logon_hours(sess, rare_hour_threshold))   # ≤ 24 rows
     sess = (sess.join(rare, "hour", "left")
                 .withColumn("rare_logon_hour",

@@ -401,8 +401,16 @@ from vigil.operators import context as C  # noqa: E402
 ETL_BODY = SE.ETL_CTE[len("WITH "):]
 
 
-def threat_graph(spark, sf_dir):
-    ev = unified_events(spark, sf_dir)
+def processed_events(spark, sf_dir):
+    """Unified events written once to the checkpoint folder (the processed
+    event table downstream jobs read), so multi-branch plans do not re-run
+    the ETL per branch."""
+    from vigil.session import cut_lineage
+    return cut_lineage(unified_events(spark, sf_dir))
+
+
+def threat_graph(spark, sf_dir, events=None):
+    ev = events if events is not None else processed_events(spark, sf_dir)
     hr = user_dimension(spark, sf_dir)
     users, assets, hrs = G.user_vertices(ev), G.asset_vertices(ev), G.hr_vertices(hr)
     edges = G.simple_edges(G.relations(ev, hr))
@@ -492,7 +500,8 @@ def intent_report(spark, sf_dir):
     ctx = C.user_context(flagged, user_dimension(spark, sf_dir))
     keep = ["event_id", "timestamp", "user_id", "activity_subtype", "email_content", "file_name", "file_tree",
             "logon_activity", "http_content", "url", "device_activity"]
-    ev = unified_events(spark, sf_dir).select(*keep)
+    events = processed_events(spark, sf_dir)
+    ev = events.select(*keep)
     matched = C.nearest_event(ctx, ev)
     acts = (matched.withColumn("action", C.infer_action())
                    .withColumn("timestamp", F.col("session_start"))
@@ -506,7 +515,7 @@ def intent_report(spark, sf_dir):
     sc2 = sc2.withColumn("intent_label", label).withColumn("risk_level", risk) \
              .withColumn("reasoning", C.reasoning()) \
              .withColumn("activity_text", C.activity_text(with_justification=False))
-    *_, edges, verts = threat_graph(spark, sf_dir)
+    *_, edges, verts = threat_graph(spark, sf_dir, events)
     risk_g = G.cross_domain_patterns(verts, edges).select("user_id", F.col("overall_risk_score").alias("graph_risk_score"))
     out = sc2.join(risk_g, "user_id", "left")
     return out.select("user_id", "session_id", "action", "role", "project", "role_score", "time_score",
