@@ -46,7 +46,7 @@ def contamination_grid_values(rate: float | None) -> list[float]:
 
 
 def contamination_grid(points: DataFrame, contaminations: list[float], n: int,
-                       ks=GRID_NEIGHBOURS, block_rows: int = 2048) -> DataFrame:
+                       ks=GRID_NEIGHBOURS, block_rows: int = 8192) -> DataFrame:
     """One kNN at max(k); LOF for every k from the neighbour-rank prefix;
     all thresholds of one k in a single ``percentile(array)`` aggregate.
     → (contamination, n_neighbors, num_outliers, outlier_rate,

@@ -207,6 +207,11 @@ def session_feature_matrix(events: DataFrame, gap_minutes: float = 10,
     m = agg.join(seq, ["user_id", DAY], "left")
     cols = [F.col(c) if not c[0].isdigit() else col(c) for c in MATRIX_COLUMNS]
     m = m.select(*cols, "_day")
+    if persist and peers is not None:
+        # Session grain (far smaller than events); read by the peer statistics
+        # and the z-score projection.
+        from pyspark import StorageLevel
+        m = m.persist(StorageLevel.MEMORY_AND_DISK)
     if peers is not None:
         if isinstance(peers, str):
             peers = kmeans_peer_groups(user_behaviour(m), k=kmeans_k, seed=seed)

@@ -53,21 +53,48 @@ def rank_key_col(c):
     return expr.otherwise(c.cast("double"))
 
 
-def _top_k(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k smallest of ``d`` (columns are already in id order, so
-    equal distances resolve to the smaller id).  Returns (rows, cols)."""
-    m = d.shape[1]
-    if m <= k:
-        rows, cols = np.nonzero(np.isfinite(d))
-        return rows, cols
-    d = rank_key(d)
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-    lt = d < kth[:, None]
-    eq = d == kth[:, None]
-    need = k - lt.sum(axis=1)                       # how many ties to take per row
-    eq_rank = np.cumsum(eq, axis=1) - 1             # rank among ties, in id order
-    keep = lt | (eq & (eq_rank < need[:, None]))
-    return np.nonzero(keep)
+def _select(a: np.ndarray, b: np.ndarray, k: int, exclude_same: bool, chunk: int = 2048):
+    """Exact top-k of every row of ``a`` among the rows of ``b`` (Euclidean,
+    ties on the rank grid broken by b's row order = id order).
+
+    BLAS (|a|² + |b|² − 2ab) only preselects candidates: every element whose
+    approximate squared distance is within a tolerance of the approximate
+    k-th value is kept.  The tolerance exceeds both the rounding error of the
+    expansion and the width of a rank-grid tie, so the exact top-k is always
+    inside the candidate set; candidates are then re-measured exactly
+    (subtract, then square) and ranked.  Returns (rows, cols, dist)."""
+    m = b.shape[0]
+    if a.shape[0] == 0 or m == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    bb = np.einsum("ij,ij->i", b, b)
+    bmax = float(bb.max())
+    out_r, out_c = [], []
+    for s0 in range(0, a.shape[0], chunk):
+        ac = a[s0:s0 + chunk]
+        aa = np.einsum("ij,ij->i", ac, ac)
+        d2 = aa[:, None] + bb[None, :] - 2.0 * (ac @ b.T)
+        np.maximum(d2, 0.0, out=d2)
+        if exclude_same:
+            idx = np.arange(ac.shape[0])
+            d2[idx, s0 + idx] = np.inf
+        kk = min(k, m - (1 if exclude_same else 0))
+        if kk <= 0:
+            continue
+        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        tol = 1e-8 * (1.0 + kth + aa + bmax)
+        r, c = np.nonzero(d2 <= (kth + tol)[:, None])
+        out_r.append(r + s0)
+        out_c.append(c)
+    if not out_r:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    rows, cols = np.concatenate(out_r), np.concatenate(out_c)
+    diff = a[rows] - b[cols]
+    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    order = np.lexsort((cols, rank_key(dist), rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = (np.arange(len(rows)) - first) < k
+    return rows[keep], cols[keep], dist[keep]
 
 
 def _pair_distances(a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
@@ -79,34 +106,28 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarra
     return out
 
 
+def _frame(ids_a, ids_b, rows, cols, dist) -> pd.DataFrame:
+    return pd.DataFrame({"id": ids_a[rows], "nbr": ids_b[cols], "dist": dist})
+
+
 def _block_pair_knn(k: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(key[0]), int(key[1])
         pdf = pdf.sort_values("id", kind="stable")
         left = pdf[pdf["_blk"] == lo]
         right = pdf[pdf["_blk"] == hi]
-        out = []
-        la = np.vstack(left["vec"].to_numpy()) if len(left) else np.empty((0, 0))
+        empty = pd.DataFrame({"id": pd.Series([], dtype=object), "nbr": pd.Series([], dtype=object),
+                              "dist": pd.Series([], dtype=float)})
+        if len(left) == 0 or (lo != hi and len(right) == 0):
+            return empty
+        la = np.vstack(left["vec"].to_numpy()).astype(np.float64)
         ids_l = left["id"].to_numpy()
         if lo == hi:
-            if len(left) < 2:
-                return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-            d = _pair_distances(la, la)
-            np.fill_diagonal(d, np.inf)
-            r, c = _top_k(d, k)
-            out.append(pd.DataFrame({"id": ids_l[r], "nbr": ids_l[c], "dist": d[r, c]}))
-        else:
-            if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-            ra = np.vstack(right["vec"].to_numpy())
-            ids_r = right["id"].to_numpy()
-            d = _pair_distances(la, ra)
-            r, c = _top_k(d, k)
-            out.append(pd.DataFrame({"id": ids_l[r], "nbr": ids_r[c], "dist": d[r, c]}))
-            dt = np.ascontiguousarray(d.T)
-            r, c = _top_k(dt, k)
-            out.append(pd.DataFrame({"id": ids_r[r], "nbr": ids_l[c], "dist": dt[r, c]}))
-        return pd.concat(out, ignore_index=True)
+            return _frame(ids_l, ids_l, *_select(la, la, k, exclude_same=True))
+        ra = np.vstack(right["vec"].to_numpy()).astype(np.float64)
+        ids_r = right["id"].to_numpy()
+        return pd.concat([_frame(ids_l, ids_r, *_select(la, ra, k, exclude_same=False)),
+                          _frame(ids_r, ids_l, *_select(ra, la, k, exclude_same=False))], ignore_index=True)
     return run
 
 
@@ -120,7 +141,7 @@ def to_vectors(df: DataFrame, id_col: str, feature_cols: list[str] | None = None
     return df.select(F.col(id_col).cast("string").alias("id"), vec.alias("vec"))
 
 
-def knn(points: DataFrame, k: int, block_rows: int = 2048, n: int | None = None) -> DataFrame:
+def knn(points: DataFrame, k: int, block_rows: int = 8192, n: int | None = None) -> DataFrame:
     """Exact kNN over (id string, vec array<double>) → (id, nbr, dist, rank).
 
     ``n`` (row count) sizes the number of hash blocks; counted if not given.
@@ -141,7 +162,7 @@ def knn(points: DataFrame, k: int, block_rows: int = 2048, n: int | None = None)
                 .where(F.col("rank") <= k))
 
 
-def knn_query(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 2048,
+def knn_query(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 8192,
               n_base: int | None = None, n_queries: int | None = None) -> DataFrame:
     """K nearest ``base`` rows for every ``queries`` row (two different
     sets, nothing excluded).  Both sides are hash-blocked; one task per
@@ -164,10 +185,11 @@ def knn_query(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 204
         qs = pdf[pdf["_side"] == 0]
         bs = pdf[pdf["_side"] == 1].sort_values("id", kind="stable")
         if len(qs) == 0 or len(bs) == 0:
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-        d = _pair_distances(np.vstack(qs["vec"].to_numpy()), np.vstack(bs["vec"].to_numpy()))
-        r, c = _top_k(d, k)
-        return pd.DataFrame({"id": qs["id"].to_numpy()[r], "nbr": bs["id"].to_numpy()[c], "dist": d[r, c]})
+            return pd.DataFrame({"id": pd.Series([], dtype=object), "nbr": pd.Series([], dtype=object),
+                                 "dist": pd.Series([], dtype=float)})
+        qa = np.vstack(qs["vec"].to_numpy()).astype(np.float64)
+        ba = np.vstack(bs["vec"].to_numpy()).astype(np.float64)
+        return _frame(qs["id"].to_numpy(), bs["id"].to_numpy(), *_select(qa, ba, k, exclude_same=False))
 
     cand = both.groupBy("_qblk", "_bblk").applyInPandas(run, NEIGHBOUR_SCHEMA)
     w = Window.partitionBy("id").orderBy(rank_key_col(F.col("dist")), "nbr")

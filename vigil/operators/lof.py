@@ -119,7 +119,7 @@ def label_outliers(scores: DataFrame, contamination: float) -> DataFrame:
 
 def dblof_scores(sessions: DataFrame, contamination: float = 0.10, k: int = 30,
                  id_cols=("user_id", "session_id"), feature_cols: list[str] | None = None,
-                 block_rows: int = 2048, checkpoint: bool = True) -> DataFrame:
+                 block_rows: int = 8192, checkpoint: bool = True) -> DataFrame:
     """Session matrix → (user_id, session_id,
     lof_factor ±1, is_outlier, anomaly_score = LOF, local_density)."""
     feats = feature_cols or select_numeric(sessions, exclude=id_cols)
