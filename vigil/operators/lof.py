@@ -47,8 +47,9 @@ def log_skewed(df: DataFrame, cols: list[str], max_abs_skew: float = 1.0) -> Dat
     for c in cols:
         g = row[c]
         if g is not None and not math.isnan(g) and abs(g * adj) > max_abs_skew:
-            out = out.withColumn(c, F.try_eval(F.log1p(col(c))) if hasattr(F, "try_eval") else F.log1p(col(c)))
-            out = out.withColumn(c, F.when(F.isnan(col(c)), None).otherwise(col(c)))
+            x = col(c).cast("double")
+            # log1p is undefined at ≤ −1: null there, imputed by the median next.
+            out = out.withColumn(c, F.when(x > -1, F.log1p(x)))
     return out
 
 
@@ -165,3 +166,26 @@ def insider_rate(sessions: DataFrame, insiders: DataFrame | None) -> Column | fl
     flagged = sessions.join(insiders.select("user_id").distinct()
                             .withColumn("_ins", F.lit(1)), "user_id", "left")
     return flagged.agg(F.avg(F.coalesce(F.col("_ins"), F.lit(0)).cast("double"))).scalar()
+
+
+def ueba_scores(sessions: DataFrame, contamination: float | str = 0.02, k: int | None = None,
+                id_cols=("user_id", "session_id"), min_var: float = 0.01, block_rows: int = 8192) -> DataFrame:
+    """Variant A (M1–M4, M6, M10, M11): numeric matrix → drop near-constant
+    columns → log1p skewed columns → median imputation → scale → LOF with
+    adaptive defaults → (user_id, session_id, lof_factor = −LOF, is_outlier,
+    anomaly_score on 0–100, higher worse)."""
+    base = cut_lineage(sessions.select(*id_cols, *[col(c) for c in select_numeric(sessions, exclude=id_cols)]))
+    feats = drop_low_variance(base, select_numeric(base, exclude=id_cols), min_var)
+    x = impute_median(log_skewed(base, feats), feats)
+    n = base.count()
+    k_auto, c_auto = adaptive_defaults(n)
+    k = k or k_auto
+    c = c_auto if contamination == "auto" else float(contamination)
+    key = F.concat_ws("\u0001", *[F.col(i) for i in id_cols])
+    z = standardize(x.withColumn("_key", key), feats)
+    sc = cut_lineage(lof_from_neighbours(knn(to_vectors(z, "_key", feats), k, block_rows=block_rows, n=n),
+                                         min(k, n - 1)))
+    sc = lof_scores_0_100(label_outliers(sc, c))
+    ids = x.select(*id_cols, key.alias("id"))
+    return ids.join(sc, "id").select(*id_cols, (-F.col("lof")).alias("lof_factor"), "is_outlier",
+                                     F.col("score_0_100").alias("anomaly_score"))

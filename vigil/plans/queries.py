@@ -900,3 +900,95 @@ SELECT user_id, session_id, {S.r6('score')} AS baseline_anomaly_score,
 def q_risk_tiers(spark, sf_dir):
     s = q_session_baseline_scores(spark, sf_dir)
     return s.withColumn("risk_tier", TIER.risk_tier(F.col("baseline_anomaly_score")))
+
+
+# ---------------------------------------------------------------- remaining variants
+@register("feature_variance", f"WITH {MAT_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {S.r6(f'var_pop(CAST({_q(c)} AS DOUBLE))')} AS var_pop, "
+    f"var_pop(CAST({_q(c)} AS DOUBLE)) > 0.01 AS kept FROM mat" for c in MF))
+def q_feature_variance(spark, sf_dir):
+    """M1 + M2: population variance per numeric feature and the keep flag."""
+    m = session_matrix(spark, sf_dir)
+    feats = L.select_numeric(m)
+    wide = m.agg(*[F.var_pop(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(feats)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("var_pop"))
+                               for i, c in enumerate(feats)]))
+    out = wide.select(rows.alias("r")).select("r.*").withColumn("kept", F.col("var_pop") > 0.01)
+    return round_doubles(out)
+
+
+@register("ueba_scores")
+def q_ueba_scores(spark, sf_dir):
+    """Variant A scoring (contamination .02 as in the analytics runner)."""
+    return round_doubles(L.ueba_scores(session_matrix(spark, sf_dir), contamination=0.02))
+
+
+@register("ueba_user_risk")
+def q_ueba_user_risk(spark, sf_dir):
+    """M17 variant A over the 0–100 scores."""
+    return round_doubles(EVAL.user_risk_summary(L.ueba_scores(session_matrix(spark, sf_dir), 0.02),
+                                                with_density=False))
+
+
+@register("kmeans_peer_groups")
+def q_kmeans_peer_groups(spark, sf_dir):
+    """behaviour peer groups (k-means, best of 10 seeds) per user."""
+    from vigil.operators.features import kmeans_peer_groups, user_behaviour
+    ev = activity_events(spark, sf_dir)
+    m = session_feature_matrix(ev, gap_minutes=GAP, rare_hour_threshold=RARE, unusual_threshold=UNUSUAL, peers=None)
+    return kmeans_peer_groups(user_behaviour(m))
+
+
+@register("user_tenure", f"""WITH {S.EV},{S.DIM},
+mx AS (SELECT max("timestamp") AS t FROM ev)
+SELECT user_id, role, department, manager_level, hire_date,
+       CAST(floor(date_diff('second', CAST(hire_date AS TIMESTAMP), (SELECT t FROM mx)) / 86400) AS INTEGER) AS tenure_days,
+       project
+FROM dim WHERE user_id IN (SELECT DISTINCT user_id FROM ev)""")
+def q_user_tenure(spark, sf_dir):
+    """user dimension joined to the users seen, tenure to the latest event."""
+    from vigil.operators.features import add_user_context
+    ev = activity_events(spark, sf_dir)
+    users = ev.select("user_id").distinct()
+    dim = user_dimension(spark, sf_dir)
+    last_ts = ev.agg(F.max("timestamp")).scalar()
+    secs = F.timestamp_diff("SECOND", F.col("hire_date").cast("timestamp_ntz"), last_ts)
+    dim = dim.withColumn("tenure_days", F.floor(secs / F.lit(86400)).cast("int"))
+    return users.join(dim, "user_id", "inner").select("user_id", "role", "department", "manager_level",
+                                                      "hire_date", "tenure_days", "project")
+
+
+@register("profile_age", f"""WITH {MAT_CTE},
+last AS (SELECT user_id, count(*) AS activity_count, max(session_end) AS last_updated FROM mat GROUP BY user_id)
+SELECT user_id, activity_count, last_updated,
+       CAST(floor(date_diff('second', last_updated, (SELECT max(session_end) FROM mat)) / 86400) AS BIGINT) AS profile_age_days
+FROM last""")
+def q_profile_age(spark, sf_dir):
+    """Profile age in days at the latest session end (as_of)."""
+    m = session_matrix(spark, sf_dir)
+    prof = m.groupBy("user_id").agg(F.count(F.lit(1)).alias("activity_count"),
+                                    F.max("session_end").alias("last_updated"))
+    return BL.profile_age(prof, m.agg(F.max("session_end")).scalar())
+
+
+@register("retrain_history", f"""WITH {MAT_CTE}, {WIN_CTE}
+SELECT count(*) AS samples_used, count(DISTINCT user_id) AS users_affected FROM win""")
+def q_retrain_history(spark, sf_dir):
+    """Refit on the windows only; the history row."""
+    m = session_matrix(spark, sf_dir)
+    _, _, history = BL.retrain(BL.last_w(m, BASE_W), BL.feature_columns(m))
+    return history
+
+
+@register("composite_risk")
+def q_composite_risk(spark, sf_dir):
+    """R-2 (composite weights are ours, the reference leaves it undefined):
+    normalised DBLOF score, intent and graph risk → composite and tier."""
+    rep = intent_report(spark, sf_dir)
+    _, sc = scored_sessions(spark, sf_dir)
+    norm = L.lof_scores_0_100(sc.select("user_id", "session_id", F.col("anomaly_score").alias("lof")))
+    out = rep.join(norm.select("user_id", "session_id", (F.col("score_0_100") / 100.0).alias("score_0_1")),
+                   ["user_id", "session_id"], "left")
+    comp = TIER.composite_risk(F.col("score_0_1"), F.col("intent_score"), F.col("graph_risk_score"))
+    return round_doubles(out.select("user_id", "session_id", comp.alias("composite_risk"))
+                            .withColumn("risk_tier", TIER.risk_tier(F.col("composite_risk"))))
