@@ -41,16 +41,28 @@ ROUND_LADDER = [(1e3, 1e6, True), (1e4, 1e5, True), (1e5, 1e4, True), (1e6, 1e3,
                 (1e11, 1e2, False), (1e12, 1e3, False)]
 
 
+def _ladder_pick(ax: Column, mul: bool) -> Column:
+    """The ladder's scale for |x| (multiplier arms or divisor arms)."""
+    expr = None
+    for bound, p, m in ROUND_LADDER:
+        if m != mul:
+            continue
+        expr = F.when(ax < F.lit(bound), F.lit(p)) if expr is None else expr.when(ax < F.lit(bound), F.lit(p))
+    return expr
+
+
 def round6(c: Column, digits: int = 6) -> Column:
-    """Deterministic rounding used only to present results for comparison."""
+    """Deterministic rounding used only to present results for comparison.
+    Same IEEE operations as the ladder: floor(x·p + ½)/p for the multiplier
+    arms, floor(x/p + ½)·p for the divisor arms (one floor each, so the
+    generated code stays small)."""
     ax = F.abs(c)
-    expr = None
-    for bound, p, mul in ROUND_LADDER:
-        val = (F.floor(c * F.lit(p) + F.lit(0.5)) / F.lit(p)) if mul else \
-              (F.floor(c / F.lit(p) + F.lit(0.5)) * F.lit(p))
-        expr = F.when(ax < F.lit(bound), val.cast("double")) if expr is None else \
-            expr.when(ax < F.lit(bound), val.cast("double"))
-    return expr.otherwise(c.cast("double"))
+    last_mul = max(b for b, _, m in ROUND_LADDER if m)
+    last = max(b for b, _, _ in ROUND_LADDER)
+    pm, pd_ = _ladder_pick(ax, True), _ladder_pick(ax, False)
+    return (F.when(ax < F.lit(last_mul), (F.floor(c * pm + F.lit(0.5)) / pm).cast("double"))
+             .when(ax < F.lit(last), (F.floor(c / pd_ + F.lit(0.5)) * pd_).cast("double"))
+             .otherwise(c.cast("double")))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

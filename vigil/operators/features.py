@@ -210,8 +210,11 @@ def session_feature_matrix(events: DataFrame, gap_minutes: float = 10,
     if persist and peers is not None:
         # Session grain (far smaller than events); read by the peer statistics
         # and the z-score projection.
+        # Materialised before use: the broadcast sides below are built by
+        # concurrent jobs that would each recompute the whole chain.
         from pyspark import StorageLevel
         m = m.persist(StorageLevel.MEMORY_AND_DISK)
+        m.count()
     if peers is not None:
         if isinstance(peers, str):
             peers = kmeans_peer_groups(user_behaviour(m), k=kmeans_k, seed=seed)

@@ -44,13 +44,20 @@ def rank_key(d):
 
 
 def rank_key_col(c):
-    """Spark twin of ``rank_key``."""
-    expr = None
+    """Spark twin of ``rank_key`` (same operations; one floor per arm kind)."""
+    ax = F.abs(c)
+    inv = None
+    div = None
     for bound, g in RANK_LADDER:
-        val = (F.floor(c * F.lit(1.0 / g) + F.lit(0.5)) if g < 1 else
-               F.floor(c / F.lit(g) + F.lit(0.5))).cast("double")
-        expr = F.when(F.abs(c) < F.lit(bound), val) if expr is None else expr.when(F.abs(c) < F.lit(bound), val)
-    return expr.otherwise(c.cast("double"))
+        if g < 1:
+            inv = F.when(ax < F.lit(bound), F.lit(1.0 / g)) if inv is None else inv.when(ax < F.lit(bound), F.lit(1.0 / g))
+        else:
+            div = F.when(ax < F.lit(bound), F.lit(g)) if div is None else div.when(ax < F.lit(bound), F.lit(g))
+    last_inv = max(b for b, g in RANK_LADDER if g < 1)
+    last = max(b for b, _ in RANK_LADDER)
+    return (F.when(ax < F.lit(last_inv), F.floor(c * inv + F.lit(0.5)).cast("double"))
+             .when(ax < F.lit(last), F.floor(c / div + F.lit(0.5)).cast("double"))
+             .otherwise(c.cast("double")))
 
 
 def _select(a: np.ndarray, b: np.ndarray, k: int, exclude_same: bool, chunk: int = 2048):
