@@ -142,3 +142,10 @@ def test_metrics_without_positive_predictions(spark):
     df = spark.createDataFrame([(False, 1), (False, 0)], "p boolean, true_label int")
     r = EVAL.confusion_metrics(df, "p").first()
     assert (r.precision, r.f1_score, r.tp, r.fn, r.tn) == (0.0, 0.0, 0, 1, 1)
+
+
+def test_adwin_detects_a_level_shift():
+    from vigil.operators.baseline import _adwin_flags
+    flags = _adwin_flags([0.0] * 60 + [5.0] * 60)
+    assert not any(flags[:60]) and any(flags[60:])
+    assert not any(_adwin_flags([1.0] * 100))

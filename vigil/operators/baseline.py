@@ -128,3 +128,67 @@ def profile_age(profiles: DataFrame, as_of: Column, last_col: str = "last_update
     """Age of each profile at ``as_of`` (days), instead of 'now'."""
     return profiles.withColumn("profile_age_days",
                                F.floor(F.timestamp_diff("SECOND", F.col(last_col), as_of) / 86400).cast("long"))
+
+
+# ------------------------------------------------------------ L7 adaptive-window drift
+ADWIN_DELTA = 0.002
+
+
+def _adwin_flags(values: list[float], delta: float = ADWIN_DELTA) -> list[bool]:
+    """Adaptive windowing (Bifet & Gavaldà, SDM 2007), exact-cut form: after
+    each value, drop the oldest part while some split of the window has
+    sub-window means further apart than ε_cut = sqrt(ln(4n/δ) / (2m)),
+    m = 1 / (1/n0 + 1/n1); report drift when a cut happened."""
+    import numpy as np
+    win: list[float] = []
+    flags = []
+    for v in values:
+        win.append(float(v))
+        drift = False
+        while len(win) >= 2:
+            arr = np.asarray(win)
+            n = len(arr)
+            csum = np.cumsum(arr)
+            n0 = np.arange(1, n)
+            n1 = n - n0
+            mean0 = csum[:-1] / n0
+            mean1 = (csum[-1] - csum[:-1]) / n1
+            m = 1.0 / (1.0 / n0 + 1.0 / n1)
+            eps = np.sqrt(np.log(4.0 * n / delta) / (2.0 * m))
+            cut = np.nonzero(np.abs(mean0 - mean1) > eps)[0]
+            if len(cut) == 0:
+                break
+            win = win[int(cut[0]) + 1:]
+            drift = True
+        flags.append(drift)
+    return flags
+
+
+def adaptive_drift(window: DataFrame, baseline: DataFrame, stats: DataFrame, feats: list[str],
+                   ts_col: str = "session_start", delta: float = ADWIN_DELTA) -> DataFrame:
+    """L7 (batch form, one detector per user — D16): each session's mean
+    deviation |x − baseline| / std over usable features, fed in time order
+    through an adaptive window.  Input is the last-W window per user (L3), so
+    one group holds at most W sessions → (user_id, session_id, deviation,
+    adwin_drift)."""
+    import pandas as pd
+    std = _stats_row(stats, feats)
+    b = baseline.select("user_id", *[col(c).alias(f"_b_{c}") for c in feats])
+    j = window.join(b, "user_id", "left")
+    devs, used = [], []
+    for c in feats:
+        ok = col(c).isNotNull() & F.col(f"_b_{c}").isNotNull() & (std[c] > 0)
+        devs.append(F.when(ok, F.abs(col(c) - F.col(f"_b_{c}")) / std[c]).otherwise(0.0))
+        used.append(F.when(ok, 1).otherwise(0))
+    n = sum(used)
+    dev = F.when(n > 0, sum(devs) / n)
+    seq = j.select("user_id", "session_id", ts_col, dev.alias("deviation")).where(F.col("deviation").isNotNull())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ts_col, "session_id"], kind="stable")
+        return pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "session_id": pdf["session_id"].to_numpy(),
+                             "deviation": pdf["deviation"].to_numpy(),
+                             "adwin_drift": _adwin_flags(pdf["deviation"].tolist(), delta)})
+
+    return seq.groupBy("user_id").applyInPandas(
+        run, "user_id string, session_id string, deviation double, adwin_drift boolean")

@@ -992,3 +992,13 @@ def q_composite_risk(spark, sf_dir):
     comp = TIER.composite_risk(F.col("score_0_1"), F.col("intent_score"), F.col("graph_risk_score"))
     return round_doubles(out.select("user_id", "session_id", comp.alias("composite_risk"))
                             .withColumn("risk_tier", TIER.risk_tier(F.col("composite_risk"))))
+
+
+@register("adaptive_drift")
+def q_adaptive_drift(spark, sf_dir):
+    """Adaptive-window drift per user over the last-W sessions (rows-only:
+    sequential detector, checked by tests against the direct definition)."""
+    m = _matrix_ckpt(spark, sf_dir)
+    feats = BL.feature_columns(m)
+    win = BL.last_w(m, BL.DEFAULT_WINDOW)
+    return round_doubles(BL.adaptive_drift(win, BL.user_profiles(m, feats), BL.global_stats(m, feats), feats))
