@@ -51,11 +51,13 @@ def contamination_grid(points: DataFrame, contaminations: list[float], n: int,
     all thresholds of one k in a single ``percentile(array)`` aggregate.
     → (contamination, n_neighbors, num_outliers, outlier_rate,
        mean_outlier_score, combined_score)."""
+    from vigil.session import cut_lineage
     kmax = min(max(ks), n - 1)
-    nbrs = knn(points, kmax, block_rows=block_rows, n=n)
+    # One kNN at the largest k, cut once; every k reads its rank prefix.
+    nbrs = cut_lineage(knn(points, kmax, block_rows=block_rows, n=n))
     grids = []
     for k in ks:
-        lof = lof_from_neighbours(nbrs, min(k, n - 1))
+        lof = cut_lineage(lof_from_neighbours(nbrs, min(k, n - 1)))
         thr = lof.agg(F.percentile(-F.col("lof"), F.array(*[F.lit(c) for c in contaminations]))).scalar()
         per_c = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in contaminations]).alias("c"),
                                        thr.alias("t")))
