@@ -181,3 +181,44 @@ def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndar
         h *= base
         h += words[j:j + n]
     return mix(h + U64(size))
+
+
+# ---------------------------------------------------------------- buckets
+
+def bucket_count(spark: SparkSession, total_bytes: int, target: int = 16 << 20) -> int:
+    """Number of buckets that keeps each near ``target`` bytes and several for each shuffle partition."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    from pyspark.sql import functions as F
+    return docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def split(keys: np.ndarray, buckets: int, *arrays: np.ndarray) -> Iterator[tuple]:
+    """(bucket, bytes of each array's part) for every bucket that ``keys`` (uint64) fall into, rows in their order."""
+    if not len(keys):
+        return
+    b = (keys % U64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    cuts = np.flatnonzero(np.diff(b[order])) + 1
+    sorted_arrays = [a[order] for a in arrays]
+    for part, *parts in zip(np.split(b[order], cuts), *(np.split(a, cuts) for a in sorted_arrays)):
+        yield (int(part[0]), *(p.tobytes() for p in parts))
+
+
+def joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """All binary values of a column as one array."""
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
+
+
+def to_table(rows: list[tuple], arrow: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([_to_batch(rows, arrow)], schema=arrow)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Number of the run of equal keys each row of sorted arrays belongs to."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
