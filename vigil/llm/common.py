@@ -40,6 +40,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers up to which a checked side of a join is broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` cut by a checkpoint and counted: hinted for broadcast up to ``max_rows``, else left to a shuffle join."""
+    from pyspark.sql import functions as F
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def map_batches(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Replace the columns: ``fn(*columns)`` gets lists per Arrow batch and returns output rows."""
     out, arrow = _schemas(df.sparkSession, schema)
