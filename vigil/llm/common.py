@@ -197,8 +197,11 @@ def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndar
 # ---------------------------------------------------------------- buckets
 
 def bucket_count(spark: SparkSession, total_bytes: int, target: int = 16 << 20) -> int:
-    """Number of buckets that keeps each near ``target`` bytes and several for each shuffle partition."""
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target))
+    """Number of buckets that keeps each near ``target`` bytes and gives every shuffle partition work.
+
+    A batch sends at most one record to each bucket, so more buckets than needed only cost records.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target))
 
 
 def text_bytes(docs: DataFrame) -> int:
