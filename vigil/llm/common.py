@@ -51,12 +51,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """Replace the columns: ``fn(*columns)`` gets lists per Arrow batch and returns output rows."""
+    """Replace the columns: ``fn(*columns)`` gets lists per slice of an Arrow batch and returns output rows."""
     out, arrow = _schemas(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _to_batch(fn(*(c.to_pylist() for c in batch.columns)), arrow)
 
     return df.mapInArrow(run, out)
@@ -71,7 +81,7 @@ def add_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[...,
     at = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = _to_batch(fn(*(batch.column(i).to_pylist() for i in at)), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.columns], names=[*batch.schema.names, *arrow.names])
 

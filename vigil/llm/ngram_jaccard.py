@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, joined, map_batches, mix, runs, split,
-                     text_bytes, to_table, window_hashes, word_hashes)
+from .common import (SLICE, U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, joined, map_batches, mix, runs, slices,
+                     split, text_bytes, to_table, window_hashes, word_hashes)
 from .components import components
 
 N = 5
@@ -136,7 +136,7 @@ def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int],
     found, found_arrow = _schemas(spark, "kind int, key long, n long")
 
     def send(batches):
-        for batch in batches:
+        for batch in slices(batches, 2 * SLICE):
             sets = [element_hashes(t, n) for t in batch.column(1).to_pylist()]
             seen: dict[int, np.ndarray] = {set_id(e): e for e in sets if len(e)}
             sizes = np.bincount([len(e) for e in seen.values() if len(e) <= MAX_SMALL] or [0], minlength=MAX_SMALL + 1)
@@ -264,19 +264,18 @@ def _dedupe(key: np.ndarray, sid: np.ndarray, other: np.ndarray) -> tuple[np.nda
 
 
 def postings(docs: DataFrame, n: int, percent: int, small: int, order: Order, buckets: int) -> DataFrame:
-    """Exchange rows: prefix postings (kind 0), subset keys (1) and document rows (2)."""
+    """Exchange rows: prefix postings (kind 0) and subset keys (1); equal sets of a batch send theirs once."""
     rows, arrow = _schemas(docs.sparkSession, _ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2 * SLICE):
             lists: list[tuple[np.ndarray, int, int]] = []
             keys: list[tuple[int, int, int]] = []
-            info, seen = [], set()
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen = set()
+            for t in batch.column(1).to_pylist():
                 e = element_hashes(t, n)
                 sid = set_id(e) if len(e) else 0
-                info.append((d, sid, len(e), e))
                 if not len(e) or sid in seen:
                     continue
                 seen.add(sid)
@@ -370,16 +369,20 @@ def _check(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     both = (pairs.select("a", "b").join(sets.withColumnsRenamed({"sid": "a", "e": "x"}), "a")
             .join(sets.withColumnsRenamed({"sid": "b", "e": "y"}), "b"))
 
-    def similar(a: list, b: list, x: list, y: list) -> list[tuple]:
-        out = []
-        for i, j, p, q in zip(a, b, x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * common >= percent * (len(p) + len(q) - common):
-                out.append((i, j))
-        return out
-
-    return map_batches(both.select("a", "b", "x", "y"), similar, "a long, b long")
+    out, arrow = _schemas(docs.sparkSession, "a long, b long")
+
+    def similar(batches):
+        for batch in batches:
+            a, b, x, y = batch.columns
+            rows = []
+            for i in range(batch.num_rows):          # the sets are read in place, not copied
+                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    rows.append((a[i].as_py(), b[i].as_py()))
+            yield _to_batch(rows, arrow)
+
+    return both.select("a", "b", "x", "y").mapInArrow(similar, out)
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
