@@ -12,7 +12,8 @@ Lists never emit all their pairs: up to ``SHORT`` sets a list gives its pairs,
 longer ones a star and a chain; after the links found so far are joined to
 components, the sets of a long list that are still apart are paired exactly.  A
 pair is checked unless a 64-slot sketch shows it far below the threshold (a
-similar pair fails that with a probability below 1e-12).
+similar pair fails that with a probability below 1e-10), or unless the place of a
+shared n-gram in the two prefixes leaves too few n-grams behind it.
 
 Sets are known by 64-bit hashes of their n-grams.  Defined results: null or
 empty text has an empty set and links with nothing; a text with fewer words than
@@ -42,12 +43,16 @@ SHORT = 16
 #: One document in so many is sampled for list lengths and sizes (they steer cost, not results).
 SAMPLE = 8
 #: Bound on the n-grams ordered as frequent, and the sample count from which one is.
-MAX_FREQUENT, FREQUENT_AT = 500_000, 3
+MAX_FREQUENT, FREQUENT_AT = 500_000, 2
+#: Members of a long list that meet in one block pair.
+BLOCK = 2048
 #: Largest size ever enumerated.
 MAX_SMALL = 12
 SKETCH = 64
+#: Agreement of the sketches up to which a pair is far below the threshold (seven deviations and more).
+FAR = 0.35
 
-_ROWS = "bucket long, kind int, a binary, b binary, c binary"
+_ROWS = "bucket long, kind int, a binary, b binary, c binary, d binary"
 _FOUND = "kind int, a binary, b binary, c binary, d binary"
 
 
@@ -116,15 +121,6 @@ def sketch(elements: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def far_apart(x: bytes, y: bytes) -> bool:
-    """True if the sketches show the sets to be far below the threshold; never for small sets."""
-    a, b = np.frombuffer(x, np.uint8).reshape(2, -1), np.frombuffer(y, np.uint8).reshape(2, -1)
-    used = (a[1] | b[1]) > 0
-    if used.sum() < 56:
-        return False
-    return int(((a[0] == b[0]) & (a[1] == b[1]) & used).sum()) <= 0.3 * used.sum()
-
-
 # ------------------------------------------------------------ sample
 
 def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], dict[int, float]]:
@@ -141,8 +137,8 @@ def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int],
             seen: dict[int, np.ndarray] = {set_id(e): e for e in sets if len(e)}
             sizes = np.bincount([len(e) for e in seen.values() if len(e) <= MAX_SMALL] or [0], minlength=MAX_SMALL + 1)
             h, c = np.unique(np.concatenate(list(seen.values()) or [_EMPTY]), return_counts=True)
-            out = [(b, 0, x, y, None) for b, x, y in split(h, buckets, h, c.astype(np.uint32))]
-            yield _to_batch([*out, (0, 1, sizes.astype(np.int64).tobytes(), None, None)], rows_arrow)
+            out = [(b, 0, x, y, None, None) for b, x, y in split(h, buckets, h, c.astype(np.uint32))]
+            yield _to_batch([*out, (0, 1, sizes.astype(np.int64).tobytes(), None, None, None)], rows_arrow)
 
     def count(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
@@ -208,10 +204,15 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[first], b[first]
 
 
-def _list_pairs(key: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> list[tuple]:
+def _reachable(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m whose first common n-gram is at prefix places i and j can be similar."""
+    return 1 + np.minimum(n - 1 - i, m - 1 - j) >= -(-percent * (n + m) // (100 + percent))
+
+
+def _list_pairs(key: np.ndarray, sid: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> list[tuple]:
     """Pairs of short lists, star and chain of long ones, and the members of the long ones."""
     order = np.lexsort((sid, size, key))
-    key, sid, size = key[order], sid[order], size[order]
+    key, sid, size, place = key[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64)
     number = runs(key)
     length = np.bincount(number)[number]
     start = np.flatnonzero(np.diff(number, prepend=-1))[number]
@@ -220,16 +221,18 @@ def _list_pairs(key: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int
     at = np.arange(len(key))
     for step in range(1, SHORT):
         i = at[:-step] if step < len(at) else at[:0]
-        same = (number[i] == number[i + step]) & (~long[i] | (step == 1)) & _compatible(size[i], size[i + step], percent)
+        j = i + step
+        same = (number[i] == number[j]) & _compatible(size[i], size[j], percent)
+        same &= (long[i] & (step == 1)) | (~long[i] & _reachable(size[i], place[i], size[j], place[j], percent))
         left.append(i[same])
-        right.append(i[same] + step)
+        right.append(j[same])
     star = at[long & (at > start)]
     star = star[_compatible(size[star], size[start[star]], percent)]
     i, j = np.concatenate([*left, start[star]]), np.concatenate([*right, star])
     a, b = _unique_pairs(np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]))
     rows = [(0, a.tobytes(), b.tobytes(), None, None)] if len(a) else []
     if long.any():
-        rows.append((1, key[long].tobytes(), sid[long].tobytes(), size[long].tobytes(), None))
+        rows.append((1, key[long].tobytes(), sid[long].tobytes(), size[long].tobytes(), place[long].tobytes()))
     return rows
 
 
@@ -252,15 +255,16 @@ def _subset_links(key: np.ndarray, sid: np.ndarray, side: np.ndarray) -> list[tu
     return [(2, a.tobytes(), b.tobytes(), None, None)] if len(a) else []
 
 
-def _dedupe(key: np.ndarray, sid: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((other, sid, key))
-    key, sid, other = key[order], sid[order], other[order]
+def _dedupe(key: np.ndarray, sid: np.ndarray, *other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of the lists that hold more than one."""
+    order = np.lexsort((*other, sid, key))
+    cols = [c[order] for c in (key, sid, *other)]
     first = np.ones(len(key), dtype=bool)
-    first[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (other[1:] != other[:-1])
-    key, sid, other = key[first], sid[first], other[first]
-    number = runs(key)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    cols = [c[first] for c in cols]
+    number = runs(cols[0])
     shared = np.bincount(number)[number] > 1
-    return key[shared], sid[shared], other[shared]
+    return tuple(c[shared] for c in cols)
 
 
 def postings(docs: DataFrame, n: int, percent: int, small: int, order: Order, buckets: int) -> DataFrame:
@@ -289,11 +293,12 @@ def postings(docs: DataFrame, n: int, percent: int, small: int, order: Order, bu
                 key = np.concatenate([p for p, _, _ in lists])
                 sid = np.repeat(np.array([s for _, s, _ in lists], dtype=np.int64), count)
                 size = np.repeat(np.array([m for _, _, m in lists], dtype=np.int32), count)
-                out += [(b, 0, x, y, z) for b, x, y, z in split(mix(key), buckets, key, sid, size)]
+                place = np.concatenate([np.minimum(np.arange(c), 32767) for c in count]).astype(np.int16)
+                out += [(b, 0, *x) for b, *x in split(mix(key), buckets, key, sid, size, place)]
             if keys:
                 key, sid = np.array([k for k, _, _ in keys], dtype=np.uint64), np.array([s for _, s, _ in keys], dtype=np.int64)
                 side = np.array([x for _, _, x in keys], dtype=np.int32)
-                out += [(b, 1, x, y, z) for b, x, y, z in split(mix(key), buckets, key, sid, side)]
+                out += [(b, 1, *x, None) for b, *x in split(mix(key), buckets, key, sid, side)]
             yield _to_batch(out, arrow)
 
     return docs.mapInArrow(run, rows)
@@ -308,9 +313,10 @@ def candidates(sent: DataFrame, percent: int) -> DataFrame:
         for k, make in ((0, lambda *x: _list_pairs(*x, percent)), (1, _subset_links)):
             part = table.filter(pa.array(kind == k))
             if part.num_rows:
-                key, sid, other = _dedupe(joined(part["a"], np.uint64), joined(part["b"], np.int64), joined(part["c"], np.int32))
-                if len(key):
-                    out += make(key, sid, other)
+                more = [joined(part["d"], np.int16)] if k == 0 else []
+                cols = _dedupe(joined(part["a"], np.uint64), joined(part["b"], np.int64), joined(part["c"], np.int32), *more)
+                if len(cols[0]):
+                    out += make(*cols)
         return to_table(out, arrow)
 
     return sent.groupBy("bucket").applyInArrow(run, found)
@@ -329,15 +335,14 @@ def _pairs(blobs: DataFrame, kind: int) -> DataFrame:
 
 
 def _members(blobs: DataFrame) -> DataFrame:
-    out, arrow = _schemas(blobs.sparkSession, "key long, sid long, size int")
+    out, arrow = _schemas(blobs.sparkSession, "key long, sid long, size long, place long")
 
     def run(batches):
         for batch in batches:
-            for x, y, z in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64)),
-                                                  pa.array(np.frombuffer(z, np.int32))], schema=arrow)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], schema=arrow)
 
-    return blobs.where("kind = 1").select("a", "b", "c").mapInArrow(run, out)
+    return blobs.where("kind = 1").select("a", "b", "c", "d").mapInArrow(run, out)
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -353,7 +358,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         q = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), 2, SKETCH)
         used = (p[:, 1] | q[:, 1]).sum(1)
         same = ((p[:, 0] == q[:, 0]) & (p[:, 1] == q[:, 1]) & (p[:, 1] > 0)).sum(1)
-        near = (used < 56) | (same > 0.3 * used)
+        near = (used < 56) | (same > FAR * used)
         return [(float(s) if ok else None,) for s, ok in zip(same / np.maximum(used, 1), near)]
 
     return add_columns(both, ["x", "y"], "near double", agree).where("near is not null").select("a", "b", "near")
@@ -393,15 +398,52 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return x.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
 
 
-def _residual(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a long list's sets that are in different components and of compatible sizes."""
+def _residual(members: DataFrame, comp: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a long list's sets that are in different components and that no bound rules out.
+
+    Lists longer than ``BLOCK`` are dealt in pairs of blocks, so none is held whole.
+    """
     c = members.join(comp.withColumnsRenamed({"node": "sid"}), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = c.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    c = c.join(mixed.select("key"), "key")
-    d = c.withColumnsRenamed({"sid": "other", "size": "size2", "component": "component2"})
-    return (c.join(d, "key").where("sid < other and component <> component2")
-            .where(F.lit(100) * F.least("size", "size2") >= F.lit(percent) * F.greatest("size", "size2"))
-            .select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct())
+    mixed = (c.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+             .where("low < high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    c = c.join(mixed, "key").join(classes.select("sid", "sketch"), "sid")
+    c = c.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    c = c.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    buckets = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)))
+    out, arrow = _schemas(members.sparkSession, "a long, b long")
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("key", "low", "high", "mine", "sid", "size", "place", "component")
+        cols = {x: table[x].to_numpy() for x in names}
+        order = np.lexsort((cols["sid"], cols["high"], cols["low"], cols["key"]))
+        cols = {x: v[order] for x, v in cols.items()}
+        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, 2, SKETCH)[order]
+        number = runs(cols["key"], cols["low"], cols["high"])
+        end = np.append(np.flatnonzero(np.diff(number)) + 1, len(number))[number]
+        left, right = [], []
+        sid, size, place, component = (cols[x] for x in ("sid", "size", "place", "component"))
+        for i in range(len(number)):
+            j = np.arange(i + 1, end[i])
+            ok = (component[j] != component[i]) & _compatible(size[j], size[i], percent)
+            if cols["low"][i] != cols["high"][i]:
+                ok &= cols["mine"][j] != cols["mine"][i]
+            j = j[ok & _reachable(size[i], place[i], size[j], place[j], percent)]
+            if len(j):
+                used = (marks[j, 1] | marks[i, 1]).sum(1)
+                same = ((marks[j, 0] == marks[i, 0]) & (marks[j, 1] == marks[i, 1]) & (marks[j, 1] > 0)).sum(1)
+                j = j[(used < 56) | (same > FAR * used)]
+                left.append(np.full(len(j), sid[i]))
+                right.append(sid[j])
+        if not left:
+            return to_table([], arrow)
+        x, y = np.concatenate(left), np.concatenate(right)
+        a, b = _unique_pairs(np.minimum(x, y), np.maximum(x, y))
+        return pa.table([pa.array(a), pa.array(b)], schema=arrow)
+
+    return c.select("bucket", "sketch", "key", "low", "high", "mine", "sid", "size", "place", "component").groupBy("bucket").applyInArrow(
+        run, out).distinct()
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -424,10 +466,13 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
             .groupBy("s").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.*").distinct())
     links = checkpoint(_check(best, docs_known, classes, n, percent).union(certain))
     comp = checkpoint(components(links))
-    left = checkpoint(_apart(near, comp).union(_apart(_near(_residual(_members(blobs), comp, percent), classes), comp)).distinct())
-    more = checkpoint(_check(left, docs_known, classes, n, percent))
-    if more.limit(1).count():
-        comp = checkpoint(components(links.union(more)))
+    for step in (0, 1):                         # the other candidates, then what long lists still hold apart
+        left = _apart(near, comp) if step == 0 else _residual(_members(blobs), comp, classes, percent)
+        left = checkpoint(left)
+        more = checkpoint(_check(left, docs_known, classes, n, percent))
+        if more.limit(1).count():
+            links = links.union(more)
+            comp = checkpoint(components(links))
     return rows.select("doc_id", "sid", "n_shingles"), comp
 
 
