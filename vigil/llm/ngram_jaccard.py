@@ -8,8 +8,8 @@ their prefixes (rare n-grams first) and candidates from a list are checked on
 the whole sets.  The boundary is the size up to which enumeration costs less
 than scanning, from the size histogram and list lengths of a document sample.
 
-Lists never emit all their pairs: up to ``SHORT`` sets a list gives its pairs,
-longer ones a star and a chain; after the links found so far are joined to
+Lists never emit all their pairs: each set of a list meets its next ``SHORT - 1``
+by size (in short lists that is all), in longer ones also the list's first; after the links found so far are joined to
 components, the sets of a long list that are still apart are paired exactly.  A
 pair is checked unless a 64-slot sketch shows it far below the threshold (a
 similar pair fails that with a probability below 1e-10), or unless the place of a
@@ -210,7 +210,7 @@ def _reachable(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, perce
 
 
 def _list_pairs(key: np.ndarray, sid: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> list[tuple]:
-    """Pairs of short lists, star and chain of long ones, and the members of the long ones."""
+    """Pairs of short lists; of long ones the star, each set with its next few by size, and the members."""
     order = np.lexsort((sid, size, key))
     key, sid, size, place = key[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64)
     number = runs(key)
@@ -223,7 +223,7 @@ def _list_pairs(key: np.ndarray, sid: np.ndarray, size: np.ndarray, place: np.nd
         i = at[:-step] if step < len(at) else at[:0]
         j = i + step
         same = (number[i] == number[j]) & _compatible(size[i], size[j], percent)
-        same &= (long[i] & (step == 1)) | (~long[i] & _reachable(size[i], place[i], size[j], place[j], percent))
+        same &= _reachable(size[i], place[i], size[j], place[j], percent)
         left.append(i[same])
         right.append(j[same])
     star = at[long & (at > start)]
