@@ -26,12 +26,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import checkpoint, map_batches
 
 #: Share of a slot's different pages that must agree for it to be template, and how many pages it takes.
 CONSTANT_SHARE, MIN_PAGES = 0.9, 5
 #: Share of link characters from which a block outside any article is a menu.
 MAX_LINKS = 0.6
+#: Bytes of the per-host wrappers up to which they are broadcast.
+MAX_BROADCAST_BYTES = 16 << 20
 
 # Element names by role.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
@@ -284,9 +286,16 @@ def templates(pages: DataFrame, hosts: DataFrame, share: float = CONSTANT_SHARE,
     return hosts.join(constant, "host", "left")
 
 
+def _small(hosts: DataFrame, column: str) -> DataFrame:
+    """``hosts`` cut by a checkpoint: broadcast if its trees hold at most ``MAX_BROADCAST_BYTES``, else joined by a shuffle."""
+    hosts = checkpoint(hosts)
+    size = hosts.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 100).alias("n")).first()["n"] or 0
+    return F.broadcast(hosts) if size <= MAX_BROADCAST_BYTES else hosts
+
+
 def extract(pages: DataFrame, share: float = CONSTANT_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    model = templates(pages, wrappers(pages), share, min_pages)
+    model = _small(templates(pages, _small(wrappers(pages), "wrapper"), share, min_pages), "wrapper")
     keyed = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(model, "host", "left")
 
     def rows(ids: list, urls: list, sources: list, found: list, constants: list) -> list[tuple]:
