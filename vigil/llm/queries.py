@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, ngram_jaccard, packing, pii, pu_quality, quality_rules, secrets, substring_dedup
+from . import decontaminate, html_text, ngram_jaccard, packing, pii, pu_quality, quality_rules, secrets, substring_dedup, training_order
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.groups(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.result(read_table(spark, sf_dir, "documents"))
