@@ -87,7 +87,7 @@ def fit_isolation_forest(points: DataFrame, n: int, n_trees: int = 100, max_samp
     """Grow the forest from (id, vec) points → node table (bounded size)."""
     m = min(max_samples, n)
     p = min(1.0, 2.0 * m / max(n, 1))
-    bucket = 1_000_000
+    bucket = 1 << 62                            # fine enough for any number of rows
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                      lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(bucket))
                      < F.lit(int(p * bucket)))

@@ -81,12 +81,13 @@ TOPICS = ["cert-logon", "cert-file", "cert-email", "cert-device", "cert-http"]
 
 
 def kafka_source_options(bootstrap_servers: str, topics: list[str] = TOPICS, group_id: str | None = None,
-                         auto_offset_reset: str = "latest", max_poll_records: int | None = None) -> dict:
+                         auto_offset_reset: str = "latest", max_poll_records: int | None = None,
+                         fail_on_data_loss: bool = True) -> dict:
     """S3: consumer settings → Structured Streaming Kafka options
     (offsets are committed by the query checkpoint, not by the consumer)."""
     opts = {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": ",".join(topics),
             "startingOffsets": "earliest" if auto_offset_reset == "earliest" else "latest",
-            "failOnDataLoss": "false"}
+            "failOnDataLoss": str(fail_on_data_loss).lower()}
     if group_id:
         opts["kafka.group.id"] = group_id
     if max_poll_records:
