@@ -76,3 +76,27 @@ def test_online_baselines_equal_batch_replay(spark):
         assert np.allclose(last[u].baseline, [batch[u].x, batch[u].y], atol=1e-12)
     first = streamed.where("activity_count = 1").collect()
     assert all(r.baseline == [0.0, 0.0] and r.drift_detected is False for r in first)
+
+
+def test_malformed_payloads_are_rejected_and_counted(spark):
+    src, out, ck = (tempfile.mkdtemp(prefix="vigil-bad-", dir="/tmp") for _ in range(3))
+    good = {"id": "1", "date": "2010-01-02 08:28:06", "user": "A", "pc": "P", "activity": "Logon"}
+    data = [json.dumps(good), json.dumps(good | {"id": "2"}), "not json", '{"id": "3", "user"']
+    with open(os.path.join(src, "batch1.json"), "w") as f:
+        f.write("\n".join(json.dumps({"file_type": "logon", "data": x}) for x in data))
+    stream = IO.watched_directory_stream(spark, src, P.ENVELOPE_SCHEMA, pattern="*.json")
+    q = P.start_ingestion(stream, out + "/events", ck, available_now=True, reject_path=out + "/rejects")
+    q.awaitTermination(120)
+    assert spark.read.parquet(out + "/events").count() == 2       # near-duplicates of one batch both stay
+    assert sorted(r.payload for r in spark.read.parquet(out + "/rejects").collect()) == sorted(data[2:])
+    assert P.metrics(q)["events_failed"] == 2
+
+
+def test_replayed_batch_leaves_one_copy(spark):
+    out = tempfile.mkdtemp(prefix="vigil-replay-", dir="/tmp")
+    row = {"file_type": "device", "data": json.dumps({"id": "3", "date": "2010-01-02", "user": "B", "pc": "Q", "activity": "connect"})}
+    batch = spark.createDataFrame([row], P.ENVELOPE_SCHEMA)
+    write = P.micro_batch_writer(out + "/events")
+    for epoch in (0, 0, 1):
+        write(batch, epoch)
+    assert spark.read.parquet(out + "/events").count() == 2

@@ -5,14 +5,17 @@ are routed by type, decoded with ``from_json`` against the raw schema of
 their type, normalised and quality-checked per micro-batch in
 ``foreachBatch``.  Wall-clock flushing (buffer size / flush interval) maps to
 the trigger interval and a per-trigger source limit; the final flush is an
-``availableNow`` run.  Malformed payloads are counted with ``observe``."""
+``availableNow`` run.  Malformed payloads are counted with ``observe`` and go
+to a reject sink.  Every micro-batch overwrites the folder of its own epoch, so
+a batch that is run again leaves no second copy."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.normalize import union_all
 from vigil.plans.etl import process_type
 from vigil.schema import RAW_COLUMNS, raw_schema
 
@@ -22,31 +25,51 @@ ENVELOPE_SCHEMA = T.StructType([
     T.StructField("data", T.StringType()), T.StructField("value", T.StringType()),
 ])
 # Alert thresholds of the monitoring template.
+#: Field that holds the text of a payload that did not parse.
+CORRUPT = "_corrupt_record"
 QUALITY_ALERT_BELOW, LAG_ALERT_ABOVE_S = 0.8, 300
 
 
 def route(envelopes: DataFrame) -> DataFrame:
     """Type from ``file_type`` or the topic (with or without the 'cert-'
     prefix); unknown types are dropped; payload from ``data`` or ``value`` (D9)."""
-    topic = F.regexp_replace(F.col("topic"), "^cert-", "")
-    ftype = F.coalesce(F.col("file_type"), topic)
-    return (envelopes.withColumn("_type", ftype)
-                     .where(F.col("_type").isin(list(RAW_COLUMNS)))
-                     .withColumn("_payload", F.coalesce(F.col("data"), F.col("value"))))
+    ftype, payload = _type_and_payload()
+    return envelopes.withColumns({"_type": ftype, "_payload": payload}).where(F.col("_type").isin(list(RAW_COLUMNS)))
+
+
+def _type_and_payload() -> tuple[Column, Column]:
+    ftype = F.coalesce(F.col("file_type"), F.regexp_replace(F.col("topic"), "^cert-", ""))
+    return ftype, F.coalesce(F.col("data"), F.col("value"))
 
 
 def decode(routed: DataFrame, file_type: str) -> DataFrame:
     """One type's payloads as raw rows (all strings); ``_malformed`` marks
-    payloads that did not parse."""
-    sch = raw_schema(file_type)
-    parsed = routed.where(F.col("_type") == file_type).withColumn("_r", F.from_json("_payload", sch))
-    return parsed.select(F.col("_r").isNull().alias("_malformed"),
+    payloads that are missing or did not parse."""
+    parsed = routed.where(F.col("_type") == file_type).withColumn("_r", _parse(F.col("_payload"), file_type))
+    return parsed.select(_bad(F.col("_r")).alias("_malformed"), "_payload",
                          *[F.col(f"_r.{c}").alias(c) for c in RAW_COLUMNS[file_type]])
 
 
-def micro_batch_writer(out_path: str, report_path: str | None = None):
+def _parse(payload: Column, file_type: str) -> Column:
+    sch = T.StructType([*raw_schema(file_type).fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(payload, sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _bad(record: Column) -> Column:
+    return record.isNull() | record[CORRUPT].isNotNull()
+
+
+def malformed() -> Column:
+    """Whether an envelope of a known type has a payload that is missing or does not parse."""
+    ftype, payload = _type_and_payload()
+    return F.coalesce(*[F.when(ftype == t, _bad(_parse(payload, t))) for t in RAW_COLUMNS], F.lit(False))
+
+
+def micro_batch_writer(out_path: str, report_path: str | None = None, reject_path: str | None = None):
     """Per micro-batch and type: quality report → normalise → flags →
-    align (all five types, D8) and append to the sink."""
+    align (all five types, D8).  Near-duplicates stay: which of them share a
+    batch depends on timing.  Results go to the epoch's own folder, overwritten
+    if the batch runs again; malformed payloads to ``reject_path``, if given."""
     from vigil.plans.etl import quality_reports
 
     def write(batch: DataFrame, epoch_id: int) -> None:
@@ -54,27 +77,28 @@ def micro_batch_writer(out_path: str, report_path: str | None = None):
         # from the source once.
         batch = batch.persist()
         routed = route(batch)
-        raws = {t: decode(routed, t).where(~F.col("_malformed")).drop("_malformed") for t in RAW_COLUMNS}
-        frames = [process_type(r, t) for t, r in raws.items()]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        out.write.mode("append").parquet(out_path)
+        decoded = {t: decode(routed, t) for t in RAW_COLUMNS}
+        raws = {t: d.where(~F.col("_malformed")).drop("_malformed", "_payload") for t, d in decoded.items()}
+        epoch = f"epoch_id={epoch_id}"
+        union_all([process_type(r, t, dedup=False) for t, r in raws.items()]).write.mode("overwrite").parquet(f"{out_path}/{epoch}")
         if report_path:
-            quality_reports(raws).withColumn("epoch_id", F.lit(epoch_id)) \
-                .write.mode("append").parquet(report_path)
+            quality_reports(raws).write.mode("overwrite").parquet(f"{report_path}/{epoch}")
+        if reject_path:
+            bad = [d.where("_malformed").select(F.lit(t).alias("file_type"), F.col("_payload").alias("payload")) for t, d in decoded.items()]
+            union_all(bad).write.mode("overwrite").parquet(f"{reject_path}/{epoch}")
         batch.unpersist()
     return write
 
 
 def start_ingestion(stream: DataFrame, out_path: str, checkpoint: str, report_path: str | None = None,
-                    flush_seconds: int = 5, available_now: bool = False):
+                    flush_seconds: int = 5, available_now: bool = False, reject_path: str | None = None):
     """Start the query: micro-batches every ``flush_seconds`` (or one
     availableNow pass that drains everything and stops — the final flush).
     Counts of rows and of malformed payloads are observed per batch (T4)."""
     obs = stream.observe("ingest", F.count(F.lit(1)).alias("events"),
-                         F.count_if(F.col("data").isNull() & F.col("value").isNull()).alias("empty_payloads"))
-    w = (obs.writeStream.foreachBatch(micro_batch_writer(out_path, report_path))
+                         F.count_if(F.col("data").isNull() & F.col("value").isNull()).alias("empty_payloads"),
+                         F.count_if(malformed()).alias("events_failed"))
+    w = (obs.writeStream.foreachBatch(micro_batch_writer(out_path, report_path, reject_path))
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{flush_seconds} seconds")
     return w.start()
@@ -93,7 +117,7 @@ def metrics(query) -> dict:
     if hasattr(obs, "asDict"):
         obs = obs.asDict()
     return {"events_processed": p.get("numInputRows", 0), "processing_rate": p.get("processedRowsPerSecond", 0.0),
-            "empty_payloads": obs.get("empty_payloads", 0), "batch_id": p.get("batchId"),
+            "empty_payloads": obs.get("empty_payloads", 0), "events_failed": obs.get("events_failed", 0), "batch_id": p.get("batchId"),
             "last_flush_time": p.get("timestamp"), "backlog": src.get("latestOffset")}
 
 
