@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -30,29 +31,30 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp"))
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``, if any.
 
-    On a cluster this is a shared folder set by the deployment and is used as
-    is.  Only when it is unset (local tests) do we pick a scratch folder.
+    Library code never picks a folder of its own; ``local_session`` does, for
+    tests on one machine.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    scratch = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(scratch)
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Reliable checkpoint into the shared checkpoint folder (never local).
+
+    Without such a folder the frame is persisted in memory and on the executors'
+    disks instead, and recomputed from its lineage if an executor is lost.
+    """
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=eager)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
