@@ -13,7 +13,7 @@ def explain(df: DataFrame, features: list[str], label: Column, importances: dict
     importance then name.  X-2: 'Prediction: L. Key factors: f (v) contributed p%; …'."""
     items = []
     for f in features:
-        imp = F.lit(float(importances[f])) if importances else F.abs(F.col(f).cast("double"))
+        imp = F.lit(float(importances[f])) if importances else F.abs(F.coalesce(F.col(f).cast("double"), F.lit(0.0)))
         items.append(F.struct(imp.alias("importance"), F.lit(f).alias("feature"),
                               F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("value")))
     ranked = F.array_sort(F.array(*items), lambda a, b: F.when(a["importance"] > b["importance"], -1)

@@ -376,22 +376,27 @@ def q_dataset_description(spark, sf_dir):
     return round_doubles(QUAL.dataset_description(unified_events(spark, sf_dir)))
 
 
-@register("text_dates", r"""
-WITH t AS (SELECT event_id, CAST(ts AS VARCHAR) AS txt FROM events),
-m AS (SELECT event_id, list_concat(regexp_extract_all(txt, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'),
-                                   regexp_extract_all(txt, '\d{4}-\d{2}-\d{2}'),
-                                   regexp_extract_all(txt, '\d{2}:\d{2}:\d{2}')) AS found FROM t)
-SELECT event_id, len(found) AS n_dates,
-       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', coalesce(try_strptime(found[1], '%Y-%m-%d %H:%M:%S'),
-            try_strptime(found[1], '%Y-%m-%d'))) AS DOUBLE) / 1e6 AS first_epoch,
-       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', coalesce(try_strptime(found[2], '%Y-%m-%d %H:%M:%S'),
-            try_strptime(found[2], '%Y-%m-%d'))) AS DOUBLE) / 1e6 AS second_epoch
-FROM m""")
+def _dates_sql(table: str, key: str, text: str) -> str:
+    return rf"""
+WITH m AS (SELECT {key}, list_concat(regexp_extract_all({text}, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}'),
+                                   regexp_extract_all({text}, '\d{{4}}-\d{{2}}-\d{{2}}'),
+                                   regexp_extract_all({text}, '\d{{2}}:\d{{2}}:\d{{2}}')) AS found FROM {table}),
+d AS (SELECT {key}, unnest(range(1, len(found) + 1)) AS position, unnest(found) AS one FROM m)
+SELECT {key}, position,
+       CAST(date_diff('microsecond', TIMESTAMP '1970-01-01', coalesce(try_strptime(one, '%Y-%m-%d %H:%M:%S'),
+            try_strptime(one, '%Y-%m-%d'))) AS DOUBLE) / 1e6 AS epoch
+FROM d"""
+
+
+def _dates(df, key: str, text):
+    """One row per date found, by its position in the text's list of dates."""
+    found = df.select(key, F.posexplode(extract_dates(text)).alias("at", "epoch"))
+    return found.select(key, (F.col("at") + 1).cast("bigint").alias("position"), "epoch")
+
+
+@register("text_dates", _dates_sql("events", "event_id", "CAST(ts AS VARCHAR)"))
 def q_text_dates(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events")
-    d = extract_dates(F.col("ts").cast("string"))
-    return ev.select("event_id", F.size(d).cast("bigint").alias("n_dates"),
-                     F.element_at(d, 1).alias("first_epoch"), F.element_at(d, 2).alias("second_epoch"))
+    return _dates(read_table(spark, sf_dir, "events"), "event_id", F.col("ts").cast("string"))
 
 
 # ---------------------------------------------------------------- graph
@@ -645,7 +650,7 @@ def q_knowledge_history(spark, sf_dir):
 # ---------------------------------------------------------------- baselines
 from vigil.operators import baseline as BL  # noqa: E402
 
-BASE_W = 25
+BASE_W = BL.DEFAULT_WINDOW
 MF = S.MATRIX_FEATURES
 
 
@@ -802,14 +807,14 @@ def q_text_scan_conversations(spark, sf_dir):
     return SCAN.scan_text(read_table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"], DOC_PATTERNS)
 
 
-EXPLAIN_FEATS = ["session_duration_s", "file_rate", "logon_rate", "device_rate", "http_rate"]
+EXPLAIN_FEATS = S.MATRIX_FEATURES
 
 
 @register("explain_outliers", f"""WITH {DBLOF_CTE},
 f AS (SELECT d.user_id, d.session_id, u.feature, u.value, abs(u.value) AS importance
       FROM dblof d JOIN mat m ON m.user_id = d.user_id AND m.session_id = d.session_id,
       LATERAL (SELECT unnest([{', '.join(repr(x) for x in EXPLAIN_FEATS)}]) AS feature,
-                      unnest([{', '.join(f'CAST(coalesce(m.{x}, 0) AS DOUBLE)' for x in EXPLAIN_FEATS)}]) AS value) u
+                      unnest([{', '.join(f'CAST(coalesce(m."{x}", 0) AS DOUBLE)' for x in EXPLAIN_FEATS)}]) AS value) u
       WHERE d.is_outlier),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY importance DESC, feature) AS rn FROM f)
 SELECT user_id, session_id,
@@ -944,18 +949,14 @@ mx AS (SELECT max("timestamp") AS t FROM ev)
 SELECT user_id, role, department, manager_level, hire_date,
        CAST(floor(date_diff('second', CAST(hire_date AS TIMESTAMP), (SELECT t FROM mx)) / 86400) AS INTEGER) AS tenure_days,
        project
-FROM dim WHERE user_id IN (SELECT DISTINCT user_id FROM ev)""")
+FROM (SELECT DISTINCT user_id FROM ev) LEFT JOIN dim USING (user_id)""")
 def q_user_tenure(spark, sf_dir):
     """user dimension joined to the users seen, tenure to the latest event."""
     from vigil.operators.features import add_user_context
     ev = activity_events(spark, sf_dir)
-    users = ev.select("user_id").distinct()
-    dim = user_dimension(spark, sf_dir)
-    last_ts = ev.agg(F.max("timestamp")).scalar()
-    secs = F.timestamp_diff("SECOND", F.col("hire_date").cast("timestamp_ntz"), last_ts)
-    dim = dim.withColumn("tenure_days", F.floor(secs / F.lit(86400)).cast("int"))
-    return users.join(dim, "user_id", "inner").select("user_id", "role", "department", "manager_level",
-                                                      "hire_date", "tenure_days", "project")
+    users = ev.groupBy("user_id").agg(F.max("timestamp").alias("timestamp"))
+    return add_user_context(users, user_dimension(spark, sf_dir)).select(
+        "user_id", "role", "department", "manager_level", "hire_date", "tenure_days", "project")
 
 
 @register("profile_age", f"""WITH {MAT_CTE},
