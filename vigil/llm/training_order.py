@@ -105,7 +105,7 @@ def slots(seqs: DataFrame, key: int = KEY) -> DataFrame:
 
 def shards(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int = PER_SHARD,
            pad: int = PAD) -> DataFrame:
-    """(shard, first_slot, n_sequences, data): one row per shard; write it sorted by shard as Parquet."""
+    """(shard, first_slot, n_sequences, data): one row per shard, in ranges of shards and sorted in each; write it as Parquet."""
     placed = slots(checkpoint(sequences(docs, tokenizer, length)), key).withColumn("shard", F.floor(F.col("slot") / per_shard))
     out, arrow = _schemas(docs.sparkSession, "shard long, first_slot long, n_sequences long, data binary")
     stride = length * TOKEN.itemsize
@@ -116,7 +116,8 @@ def shards(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         data = b"".join(t + filler[len(t):stride] for _, t in rows)
         return pa.Table.from_batches([_to_batch([(table["shard"][0].as_py(), rows[0][0], len(rows), data)], arrow)], schema=arrow)
 
-    return placed.select("shard", "slot", "tokens").groupBy("shard").applyInArrow(build, out).sort("shard")
+    ranged = placed.select("shard", "slot", "tokens").repartitionByRange("shard")
+    return ranged.groupBy("shard").applyInArrow(build, out)
 
 
 def read_from(written: DataFrame, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
