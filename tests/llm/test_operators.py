@@ -124,6 +124,35 @@ def test_substring_dedup_matches_brute_force(docs, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_shared_ids(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    a, b, head = words(25), words(30), words(22)
+    rows = [(None, f"{words(60)} {a}"), (None, f"{words(3)} {a} {words(5)}"), (None, words(21)), (None, words(200)), (7, f"{b} {words(90)}"),
+            (7, f"{words(40)} {b}"), (7, words(24)), (8, f"{head} {words(9)}"), (8, f"{head} {words(2)}"), (2, f"{words(4)} {head}"),
+            (9, a), (9, a), (9, words(20)), (None, ""), (None, None), (-(1 << 63), f"{words(6)} {a}"), ((1 << 63) - 1, b)]
+    rows += [(None, f"{head} {words(k)}") for k in range(12)]
+    low = lambda d: (d is not None, d or 0)
+    first, expected = {}, collections.Counter()
+    for d, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - 19):
+            at = tuple(w[i:i + 20])
+            first[at] = min(first.get(at, (low(d), i)), (low(d), i))
+    for d, t in rows:
+        w = (t or "").split()
+        hit = {j for i in range(len(w) - 19) if first[tuple(w[i:i + 20])] != (low(d), i) for j in range(i, i + 20)}
+        expected[(d, len(w), len(hit), " ".join(x for j, x in enumerate(w) if j not in hit))] += 1
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        for start in (10, 5):
+            assert collections.Counter(map(tuple, substring_dedup.dedup(docs, start_words=start).collect())) == expected
+    # rows of one id, and short rows that are equal, go to more than one document bucket
+    many = spark.createDataFrame([(None, words(30)) for _ in range(40)] + [(None, "")] * 40, "doc_id long, text string")
+    many = many.withColumn("key", substring_dedup._key_column()).withColumn("part", substring_dedup._part_column(8, 20))
+    assert {r.n for r in many.groupBy(F.length("text") > 0).agg(F.countDistinct("part").alias("n")).collect()} == {8}
+
+
 def test_jaccard_matches_brute_force(docs, empty):
     sets = {}
     for d, t, *_ in corpus() + EDGES[1:-1]:

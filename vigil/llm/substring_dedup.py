@@ -9,7 +9,10 @@ left at ``min_words`` are compared in full, and all but the earliest occurrence
 (smallest document id, then start) are removed.
 
 Hashes travel in byte blobs to hash buckets, documents to document buckets.  A
-hash that repeats within a batch or bucket is settled there and sent on once, so
+document's bucket and the holder of a hash are given by a hash of id and text, so
+rows that share an id, null ids too, lie in different buckets; the id serves the
+order of occurrences.  A removal names bucket, id, start and window hash, so it
+meets only rows that hold this window there.  A hash that repeats within a batch or bucket is settled there and sent on once, so
 a passage shared by any share of the documents costs one record a batch.  Window
 identity at the last level is decided on 96 hash bits.
 
@@ -22,6 +25,8 @@ result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +42,8 @@ _NULL = -(1 << 63)
 #: Marks a hash known to repeat, in place of its one holder.
 _MANY = (1 << 63) - 1
 
-_EXCHANGE = "bucket long, kind int, a binary, b binary, c binary, d binary"
-_ANSWER = "part long, docs binary, values binary"
+_EXCHANGE = "bucket long, kind int, a binary, b binary, c binary, d binary, e binary"
+_ANSWER = "part long, docs binary, values binary, windows binary"
 
 
 def _raw(text: str | None) -> bytes:
@@ -69,12 +74,11 @@ def _alive(words: np.ndarray, allowed: np.ndarray | None, length: int, window: i
     return np.flatnonzero(np.isin(representatives(words, length, window), allowed))
 
 
-def _candidates(doc_ids: list, texts: list, allowed: dict | None, previous: int, length: int, window: int,
+def _candidates(keys: list, texts: list, allowed: dict | None, previous: int, length: int, window: int,
                 buckets: int, parts: int) -> list[tuple]:
     """Exchange rows of one level: single holders by hash bucket, settled repeats straight to their documents."""
     hashes, docs, twice = [], [], []
-    for d, t in zip(doc_ids, texts):
-        d = _NULL if d is None else d
+    for d, t in zip(keys, texts):
         words = word_hashes(_raw(t))
         starts = _alive(words, None if allowed is None else allowed.get(d, _NONE), previous, window)
         if not len(starts):
@@ -101,23 +105,30 @@ def _candidates(doc_ids: list, texts: list, allowed: dict | None, previous: int,
     first[1:] = number[1:] != number[:-1]
     send = ~many | first
     holder = np.where(many, _MANY, d)
-    rows = [(b, 0, x, y, None, None) for b, x, y in split(h[send], buckets, h[send], holder[send])]
+    rows = [(b, 0, x, y, None, None, None) for b, x, y in split(h[send], buckets, h[send], holder[send])]
     settled = many & (d != _MANY)
     part = _part(d[settled], parts)
-    rows += [(p, 1, x, y, p.to_bytes(8, "little"), None) for p, x, y in split(part, parts, h[settled], d[settled])]
+    rows += [(p, 1, x, y, p.to_bytes(8, "little"), None, None) for p, x, y in split(part, parts, h[settled], d[settled])]
     return rows
 
 
 _NONE = np.zeros(0, dtype=np.uint64)
 
 
-def _part(docs: np.ndarray, parts: int) -> np.ndarray:
-    """Document bucket of ids; equal to ``_part_column`` for the same ids."""
-    return (docs % np.int64(parts)).astype(np.uint64)
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Document bucket of row keys; equal to ``_part_column`` for the same keys."""
+    return (keys % np.int64(parts)).astype(np.uint64)
+
 
+def _key_column():
+    """Hash of id and text, never ``_MANY``; rows that share a key by chance are only looked at more often."""
+    return F.least(F.xxhash64("doc_id", "text"), F.lit(_MANY - 1))
 
-def _part_column(parts: int):
-    return F.pmod(F.coalesce(F.col("doc_id"), F.lit(_NULL)), F.lit(parts))
+
+def _part_column(parts: int, min_words: int):
+    """Texts too short for a window get no answers: any bucket will do, so equal ones are dealt out too."""
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * min_words - 1
+    return F.pmod(F.when(short, F.monotonically_increasing_id()).otherwise(F.col("key")), F.lit(parts))
 
 
 def _answers(table: pa.Table, parts: int, arrow: pa.Schema) -> pa.Table:
@@ -132,34 +143,38 @@ def _answers(table: pa.Table, parts: int, arrow: pa.Schema) -> pa.Table:
         number = runs(h)
         weight = np.bincount(number, weights=np.where(d == _MANY, 2, 1))[number]
         back = (weight > 1) & (d != _MANY)
-        rows += [(p, y, x) for p, x, y in split(_part(d[back], parts), parts, h[back], d[back])]
+        rows += [(p, y, x, None) for p, x, y in split(_part(d[back], parts), parts, h[back], d[back])]
     return to_table(rows, arrow)
 
 
 def _passed(table: pa.Table, kind: np.ndarray) -> list[tuple]:
     """Answers that were settled before the exchange."""
     settled = table.filter(pa.array(kind == 1))
-    return [(int.from_bytes(p, "little"), d, v) for v, d, p in
-            zip(settled["a"].to_pylist(), settled["b"].to_pylist(), settled["c"].to_pylist())]
+    return [(int.from_bytes(p, "little"), d, v, w) for v, d, p, w in
+            zip(*(settled[c].to_pylist() for c in ("a", "b", "c", "d")))]
 
 
-def _by_doc(answers: pa.Table, dtype: type) -> dict[int, np.ndarray]:
-    docs, values = joined(answers["docs"], np.int64), joined(answers["values"], dtype)
+def _by_doc(docs: np.ndarray, *values: np.ndarray) -> dict[int, list[np.ndarray]]:
     order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
+    docs = docs[order]
     cuts = np.flatnonzero(docs[1:] != docs[:-1]) + 1
-    return {int(d[0]): v for d, v in zip(np.split(docs, cuts), np.split(values, cuts))} if len(docs) else {}
+    groups = zip(np.split(docs, cuts), *(np.split(v[order], cuts) for v in values))
+    return {int(d[0]): v for d, *v in groups} if len(docs) else {}
+
 
+def _windows(part: int, doc_ids: list, keys: list, texts: list, allowed: dict, previous: int, window: int,
+             buckets: int) -> list[tuple]:
+    """Exchange rows of the last level: the first occurrence of each window in this document bucket, and the others' removal.
 
-def _windows(doc_ids: list, texts: list, allowed: dict, previous: int, window: int, buckets: int, parts: int) -> list[tuple]:
-    """Exchange rows of the last level: the first occurrence of each window in this document bucket, and the others' removal."""
+    Rows of one id with the window at the same start stand or go together, so one of them is sent.
+    """
     got: list[list[np.ndarray]] = [[], [], [], []]
-    for d, t in zip(doc_ids, texts):
+    for d, k, t in zip(doc_ids, keys, texts):
         d = _NULL if d is None else d
-        if d not in allowed:
+        if k not in allowed:
             continue
         words = word_hashes(_raw(t))
-        starts = _alive(words, allowed[d], previous, window)
+        starts = _alive(words, allowed[k], previous, window)
         if len(starts):
             check = window_hashes(words, window, second=True)[starts] >> U64(32)
             for have, new in zip(got, (window_hashes(words, window)[starts], check.astype(np.uint32),
@@ -169,15 +184,17 @@ def _windows(doc_ids: list, texts: list, allowed: dict, previous: int, window: i
         return []
     h, c, d, s = _sorted(*(np.concatenate(x) for x in got))
     first = _earliest(h, c, d, s)
-    rows = [(b, 0, *x) for b, *x in split(h[first], buckets, h[first], d[first], s[first], c[first])]
+    own = part.to_bytes(8, "little")
+    rows = [(b, 0, *x, own) for b, *x in split(h[first], buckets, h[first], d[first], s[first], c[first])]
     later = ~first & _after_first(h, c, d, s)
-    rows += [(p, 1, x, y, p.to_bytes(8, "little"), None) for p, x, y in split(_part(d[later], parts), parts, s[later], d[later])]
+    if later.any():
+        rows.append((part, 1, s[later].tobytes(), d[later].tobytes(), own, h[later].tobytes(), None))
     return rows
 
 
-def _sorted(h: np.ndarray, c: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+def _sorted(h: np.ndarray, c: np.ndarray, d: np.ndarray, s: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((s, d, c, h))
-    return h[order], c[order], d[order], s[order]
+    return tuple(x[order] for x in (h, c, d, s, *more))
 
 
 def _earliest(h: np.ndarray, c: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -201,12 +218,26 @@ def _removed(table: pa.Table, parts: int, arrow: pa.Schema) -> pa.Table:
     single = table.filter(pa.array(kind == 0))
     h = joined(single["a"], np.uint64)
     if len(h):
-        h, c, d, s = _sorted(h, joined(single["d"], np.uint32), joined(single["b"], np.int64), joined(single["c"], np.int32))
+        part = np.repeat(joined(single["e"], np.uint64), [len(x) // 8 for x in single["a"].to_pylist()])
+        h, c, d, s, part = _sorted(h, joined(single["d"], np.uint32), joined(single["b"], np.int64), joined(single["c"], np.int32), part)
         later = _after_first(h, c, d, s)
-        rows += [(p, y, x) for p, x, y in split(_part(d[later], parts), parts, s[later], d[later])]
+        rows += [(p, *x) for p, *x in split(part[later], parts, d[later], s[later], h[later])]
     return to_table(rows, arrow)
 
 
+def _held(words: np.ndarray, starts: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
+    """Those of the removed ``starts`` of an id (sorted by ``_place``) at which this row holds the removed window."""
+    own = np.arange(max(0, len(words) - size + 1))
+    wanted, have = _place(windows, starts), _place(window_hashes(words, size), own)
+    at = np.minimum(np.searchsorted(wanted, have), len(wanted) - 1)
+    return own[(wanted[at] == have) & (starts[at] == own)]
+
+
+def _place(windows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One number for window hash and start."""
+    return windows + starts.astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+
+
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -219,11 +250,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, start_words: int = START_
     exchange, exchange_arrow = _schemas(spark, _EXCHANGE)
     answer, answer_arrow = _schemas(spark, _ANSWER)
     result, result_arrow = _schemas(spark, _RESULT)
-    keyed = docs.withColumn("part", _part_column(parts))
+    docs = docs.withColumn("key", _key_column())
+    keyed = docs.withColumn("part", _part_column(parts, min_words))
 
     def first_level(batches):
         for batch in batches:
-            yield _to_batch(_candidates(batch.column(0).to_pylist(), batch.column(1).to_pylist(), None, 0, start_words,
+            yield _to_batch(_candidates(batch.column(2).to_pylist(), batch.column(1).to_pylist(), None, 0, start_words,
                                         min_words, buckets, parts), exchange_arrow)
 
     def settle(sent: DataFrame, fn) -> DataFrame:
@@ -232,11 +264,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, start_words: int = START_
     def extend(rows):
         """Cogroup function: exchange rows from the documents of a bucket and the hashes answered for them."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return to_table(rows(left["doc_id"].to_pylist(), left["text"].to_pylist(), _by_doc(right, np.uint64)), exchange_arrow)
+            allowed = {k: v for k, (v,) in _by_doc(joined(right["docs"], np.int64), joined(right["values"], np.uint64)).items()}
+            part = left["part"][0].as_py() if left.num_rows else 0
+            return to_table(rows(part, *(left[c].to_pylist() for c in ("doc_id", "key", "text")), allowed), exchange_arrow)
         return run
 
     def doubled(low: int):
-        return extend(lambda d, t, ok: _candidates(d, t, ok, low, 2 * low, min_words, buckets, parts))
+        return extend(lambda p, d, k, t, ok: _candidates(k, t, ok, low, 2 * low, min_words, buckets, parts))
 
     def meet(answers: DataFrame, fn, schema) -> DataFrame:
         return keyed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
@@ -246,14 +280,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, start_words: int = START_
     while 2 * level < min_words:
         answers = settle(meet(answers, doubled(level), exchange), _answers)
         level *= 2
-    sent = meet(answers, extend(lambda d, t, ok: _windows(d, t, ok, level, min_words, buckets, parts)), exchange)
+    sent = meet(answers, extend(lambda p, d, k, t, ok: _windows(p, d, k, t, ok, level, min_words, buckets)), exchange)
     removed = settle(sent, _removed)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        starts, rows = _by_doc(right, np.int32), []
-        for d, t in zip(left["doc_id"].to_pylist(), left["text"].to_pylist()):
+        docs, starts, windows = (joined(right[c], kind) for c, kind in
+                                 (("docs", np.int64), ("values", np.int32), ("windows", np.uint64)))
+        order = np.argsort(_place(windows, starts))
+        removals, rows = _by_doc(docs[order], starts[order], windows[order]), []
+        ids = left["doc_id"].to_pylist()
+        several = {d for d, n in Counter(ids).items() if n > 1}
+        for d, t in zip(ids, left["text"].to_pylist()):
             words = _raw(t).split()
-            gone = starts.get(_NULL if d is None else d)
+            gone, which = removals.get(_NULL if d is None else d, (None, None))
+            if gone is not None and (d is None or d in several):
+                gone = _held(word_hashes(_raw(t)), gone, which, min_words)
             if gone is None:
                 kept, n = words, 0
             else:
