@@ -184,6 +184,23 @@ def test_personal_data():
         assert pii.find(clean) == ([], [])
 
 
+def test_disguises_need_no_other_mark():
+    for text, kind in (("john at example.com", "email"), ("john at example dot ch", "email"), ("john at example [dot] nl", "email"),
+                       ("jo dot doe at example dot co dot nz", "email"), ("john at example.ca", "email"), ("john at example dot it", "email"),
+                       ("one nine two dot one six eight dot one dot one", "ip"), ("192 dot one six eight [dot] 1.1", "ip"),
+                       ("4111 1111 one one one one 1111", "card"), ("+49 151 two three four 5678", "phone"),
+                       ("plus 49 151 two  three-four 5678", "phone")):
+        assert pii.find(text) == ([], [(0, len(text), kind)]), text
+        assert pii.find(f"so: {text}, yes") == ([], [(4, 4 + len(text), kind)]), text
+    for clean in ("we met at noon. It was one or two", "look at the dot matrix", "polka dot dress at 3", "version 1 . 2 . 3 . 4", "one, two"):
+        assert pii.find(clean) == ([], [])
+    r = random.Random(1)
+    bits = ["at", "@", "dot", ".", "[", "]", "(", " ", " ", " ", "-", "one", "Two", "oh", "plus", "7", "12", "jo", "ex", "com", "ch", "the"]
+    for _ in range(20_000):
+        text = "".join(r.choices(bits, k=12))
+        assert pii._disguised(text) or pii._rewrite(text) == (text, None), text
+
+
 def test_secrets():
     text = 'token = "abcdefgh12" and password is Xk9$vQ2!mz AKIAABCDEFGHIJKL ' + "0a" * 16
     base, added = secrets.find(text)

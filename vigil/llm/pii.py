@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +41,42 @@ LOOK_ALIKES = dict(zip(
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
            "seven": "7", "eight": "8", "nine": "9"}
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
-_WORDS = tuple(f" {w} ".encode() for w in SPELLED)
-_BLANK_HYPHENS = bytes(0x20 if c == 0x2D else c for c in range(256))
-#: Domain endings that a bare "at ... dot ..." must end in.
-ENDINGS = "com|net|org|edu|gov|info|biz|io|co|eu|de|fr|es|uk"
+#: Domain endings after a plain or blank-framed dot, where a sentence may end too: no everyday words.
+ENDINGS = ("com|net|org|edu|gov|mil|int|info|biz|name|app|dev|io|ac|ad|ae|af|ag|ai|al|ao|ar|au|aw|az|ba|bb|bd|bg|bh|bm|bn|bo|br|bs|bt|"
+           "bw|bz|ca|cc|cd|cf|cg|ch|ci|ck|cl|cm|cn|co|cr|cu|cv|cw|cy|cz|de|dj|dk|dm|dz|ec|ee|eg|es|eu|fi|fj|fm|fo|fr|ga|gd|ge|gg|gh|gi|"
+           "gl|gm|gn|gp|gq|gr|gt|gu|gy|hk|hn|hr|ht|hu|ie|il|im|iq|ir|je|jm|jo|jp|ke|kg|kh|ki|km|kn|kr|kw|ky|kz|lb|lc|li|lk|lr|ls|lt|lu|"
+           "lv|ly|mc|md|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|mt|mu|mv|mw|mx|mz|nc|ne|nf|ng|ni|nl|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pl|pm|pn|pr|"
+           "ps|pt|pw|py|qa|re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|si|sk|sl|sm|sn|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|tr|tt|"
+           "tv|tw|tz|ua|ug|uk|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw")
+#: Words before or after a bare "dot" that show it to be the noun, unless a listed ending follows.
+_NOUN = "(?:the|a|an|this|that|each|every|any|some|no|his|her|its|my|your|our|their)"
+_ANY_ENDING = "[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_BRACKET_DOT = r"\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?"
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + "|[0-9])"
+_TOKEN = "(?:" + "|".join(SPELLED) + "|[0-9]++)"
+_OCTET = rf"(?:[0-9]++|{_DIGIT_WORD}(?:[\x20-]{{1,3}}{_DIGIT_WORD}){{0,2}})"
 _REWRITE = re.compile(
-    rf"(?P<spelled>\b(?:plus[\x20-]+)?{_DIGIT_WORD}(?:[\x20-]{{1,3}}{_DIGIT_WORD}){{6,}}(?![A-Za-z0-9]))"
+    rf"(?P<quad>\b{_OCTET}(?:(?:\x20dot\x20|\.|{_BRACKET_DOT}){_OCTET}){{3}}(?![A-Za-z0-9]))"
+    rf"|(?P<spelled>\b(?:plus[\x20-]+)?{_DIGIT_WORD}(?:[\x20-]{{1,3}}{_DIGIT_WORD}){{6,}}(?![A-Za-z0-9]))"
+    rf"|(?P<mixed>\b(?:plus[\x20-]+)?{_TOKEN}(?:[\x20-]{{1,3}}{_TOKEN})+(?![A-Za-z0-9]))"
     r"|(?P<at>\x20{0,2}(?:\[\x20?(?:at|@)\x20?\]|\(\x20?(?:at|@)\x20?\)|\{\x20?(?:at|@)\x20?\}|<\x20?(?:at|@)\x20?>)\x20{0,2})"
     r"|(?P<dot>\x20{0,2}(?:\[\x20?(?:dot|\.)\x20?\]|\(\x20?(?:dot|\.)\x20?\)|\{\x20?(?:dot|\.)\x20?\}|<\x20?(?:dot|\.)\x20?>)\x20{0,2})"
-    r"|(?P<plain>\x20(?:at|@)\x20(?=[A-Za-z0-9-]{1,63}(?:(?:\x20?\.\x20?|\x20dot\x20|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?)"
-    rf"[A-Za-z0-9-]{{1,63}}){{0,3}}(?:\x20?\.|\x20dot\x20|\x20?[\[({{<]\x20?(?:dot|\.)\x20?[\])}}>]\x20?)(?:{ENDINGS})\b))"
-    rf"|(?P<sep>(?<=[A-Za-z0-9])\x20dot\x20(?=(?:[A-Za-z0-9-]{{1,63}}\x20dot\x20){{0,3}}(?:(?:{ENDINGS})\b|[0-9])))"
+    rf"|(?P<plain>\x20(?:at|@)\x20(?={_LABEL}(?:(?:\x20?\.\x20?|\x20dot\x20|{_BRACKET_DOT}){_LABEL}){{0,3}}"
+    rf"(?:(?:\x20?\.|\x20dot\x20)(?:{ENDINGS})\b|{_BRACKET_DOT}{_ANY_ENDING})"
+    rf"|(?!{_NOUN}\x20dot\x20){_LABEL}(?:(?:\.|\x20dot\x20|{_BRACKET_DOT}){_LABEL}){{0,3}}\x20dot\x20{_ANY_ENDING}))"
+    rf"|(?P<sep>(?<=[A-Za-z0-9])\x20dot\x20(?=(?:{_LABEL}\x20dot\x20){{0,3}}(?:(?:{ENDINGS})\b|[0-9]|(?!{_NOUN}\b){_ANY_ENDING})))"
     rf"|(?P<blank>(?<=[A-Za-z0-9])\x20\.\x20(?=(?:{ENDINGS})\b))", re.I | re.A)
 _ANY_SPELLED = re.compile("|".join(SPELLED), re.I | re.A)
-_MARKS = tuple(f"{a}{b}{c}".encode() for a in "[({<" for b in ("", " ") for c in ("at", "@", ".")) + (b" @ ",)
+_DOTS = re.compile(rf"\x20dot\x20|\.|{_BRACKET_DOT}", re.I | re.A)
+_WORDS = "(?:" + "|".join(SPELLED) + ")"
+#: What a match must hold, for lower-case text. One of these marks: quad, at, dot, plain, sep and blank with a bracket, a "dot",
+#: a lone "@" or a lone point ...
+_MARKS = tuple(a + b + c for a in "[({<" for b in ("", " ") for c in ("at", "@", ".")) + ("dot", " @ ", " . ")
+#: ... or "at", a label and a point or bracket: plain; or a spelled digit beside another digit or a point: quad, spelled and mixed.
+_NEAR = (re.compile(r"\x20at\x20[a-z0-9-]{1,63}\x20?[.\[({<]"),
+         re.compile(rf"{_WORDS}(?:[\x20-]{{1,3}}(?:{_WORDS}|[0-9])|\.[a-z0-9])|[0-9](?:[\x20-]{{1,3}}|\.){_WORDS}"))
+_PARTS = re.compile(r"(?P<word>[A-Za-z]+)|(?P<digit>[0-9])|(?P<gap>[\x20-]+)")
 _NON_LATIN1 = re.compile("[^\x00-\xff]|\xad")
 
 
@@ -132,35 +154,55 @@ def _spelled(match: str) -> str:
     return "".join("+" if w.lower() == "plus" else w for w in digits)
 
 
-def _rewrite(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """Disguise transducer: output and, per output character, its source range."""
+def _mixed(match: str, at: int) -> Iterator[tuple[str, tuple[int, int]]]:
+    """Digits of a run of digits and spelled digits, one by one, and one blank or hyphen for each gap."""
+    plus = False
+    for m in _PARTS.finditer(match):
+        word = m[0].lower()
+        if not (plus and m.lastgroup == "gap"):
+            yield "+" if word == "plus" else SPELLED.get(word, word)[0], (at + m.start(), at + m.end())
+        plus = word == "plus"
+
+
+def _rewrite(text: str) -> tuple[str, list[tuple[int, int]] | None]:
+    """Disguise transducer: output and, per output character, its source range (None: nothing was rewritten)."""
     out: list[str] = []
     src: list[tuple[int, int]] = []
     done = 0
     for m in _REWRITE.finditer(text):
         a, b = m.span()
-        if m.lastgroup == "spelled":
-            if not _ANY_SPELLED.search(m[0]):
-                continue
+        kind = m.lastgroup
+        if kind in ("spelled", "mixed") and not _ANY_SPELLED.search(m[0]):
+            continue
+        if kind == "quad" and not re.search("[^0-9.]", m[0]):
+            continue
+        out.append(text[done:a])
+        src += [(i, i + 1) for i in range(done, a)]
+        done = b
+        if kind == "mixed":
+            for new, where in _mixed(m[0], a):
+                out.append(new)
+                src.append(where)
+            continue
+        if kind == "quad":
+            new = ".".join(_spelled(x) for x in _DOTS.split(m[0]))
+        elif kind == "spelled":
             new = _spelled(m[0])
         else:
-            new = "@" if m.lastgroup in ("at", "plain") else "."
-        out += [text[done:a], new]
-        src += [(i, i + 1) for i in range(done, a)]
+            new = "@" if kind in ("at", "plain") else "."
+        out.append(new)
         src += [(a, b)] * len(new)
-        done = b
+    if not out:
+        return text, None
     out.append(text[done:])
     src += [(i, i + 1) for i in range(done, len(text))]
     return "".join(out), src
 
 
-def _disguised(text: str, raw: bytes) -> bool:
-    """Cheap necessary condition for a rewriting."""
-    low = raw.lower()
-    if b" . " in low or b"dot" in low or any(x in low for x in _MARKS):
-        return True
-    blanked = low.translate(_BLANK_HYPHENS)
-    return any(w in blanked for w in _WORDS)
+def _disguised(text: str) -> bool:
+    """Cheap necessary condition for a rewriting, from every alternative of ``_REWRITE``."""
+    low = text.lower()
+    return any(x in low for x in _MARKS) or any(x.search(low) for x in _NEAR)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -168,14 +210,14 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = detect(text)
-    raw = text.encode("utf-8", "surrogatepass")
     folded, back = text, None
     if not text.isascii() and _NON_LATIN1.search(text):
         folded, back = _fold(text)
-        raw = folded.encode("utf-8", "surrogatepass")
-    if back is None and not _disguised(folded, raw):
-        return base, []
-    plain, ranges = _rewrite(folded)
+    plain, ranges = _rewrite(folded) if _disguised(folded) else (folded, None)
+    if ranges is None:
+        if back is None:
+            return base, []
+        ranges = [(i, i + 1) for i in range(len(folded))]
     added: list[Span] = []
     for a, b, kind in detect(plain):
         start, end = ranges[a][0], ranges[b - 1][1]
