@@ -201,6 +201,12 @@ def test_disguises_need_no_other_mark():
         assert pii._disguised(text) or pii._rewrite(text) == (text, None), text
 
 
+def test_wider_spans_are_added():
+    for text, inner in (("j\u043ehn.doe@example.com", (2, 20)), ("john@mail.ex\u0430mple.com", (0, 12)), ("a@b.example (dot) com", (0, 11))):
+        assert pii.find(text) == ([(*inner, "email")], [(0, len(text), "email")])
+    assert pii.find("a@b.com \u0430 c@d.org") == ([(0, 7, "email"), (10, 17, "email")], [])
+
+
 def test_secrets():
     text = 'token = "abcdefgh12" and password is Xk9$vQ2!mz AKIAABCDEFGHIJKL ' + "0a" * 16
     base, added = secrets.find(text)

@@ -4,7 +4,8 @@ The base patterns run on the text as it is.  Transducers then rewrite
 look-alike letters and digits, invisible characters, spelled digits and
 ``(at)``/``dot`` disguises into plain text while they record which source
 characters every output character came from; the same patterns run on the
-output and their spans are mapped back.
+output and their spans are mapped back.  A span that a base span of its kind
+covers wholly is not added; a wider one stands beside the base span.
 
 Defined results: null or empty text has no spans; repeated rows get one result
 each; an empty table gives an empty result.  Extra columns are ignored.
@@ -230,7 +231,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             while text[end - 1].isspace():
                 end -= 1
         added.append((start, end, kind))
-    added = [s for s in added if not any(s[2] == k and s[0] < b and a < s[1] for a, b, k in base)]
+    added = [s for s in added if not any(s[2] == k and a <= s[0] and s[1] <= b for a, b, k in base)]
     return base, added
 
 
