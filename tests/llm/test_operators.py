@@ -228,6 +228,27 @@ def test_page_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_page_text_outside_marked_regions(spark):
+    def text(i):
+        return f"Main text number {i} of a page, told at some length"
+    forms = {"layout.example": lambda i: f"<h1>T</h1><div class='content has-sidebar'><p>{text(i)}</p></div><div class='sidebar'>side {i}</div>",
+             "inner.example": lambda i: f"<div class='widget'><article><p>{text(i)}</p></article><p>w {i}</p></div>",
+             "teaser.example": lambda i: f"<article>Tease {i}</article><div><p>{text(i)}</p></div>",
+             "cards.example": lambda i: f"<article>{text(i)}<div class='comments'><article>re {i}</article></div></article>"
+                                        f"<div class='related'><article>card {i}</article></div>",
+             "mixed.example": lambda i: f"<div><p>Same on all pages</p><p>{text(i)}</p><p>Made with care</p></div>"}
+    for n in (8, 1):
+        rows = [(i, f"http://{host}/{i}", f"<html><body>{form(i)}</body></html>") for host, form in forms.items() for i in range(n)]
+        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+        found = {(r.url.split("/")[2], r.page_id): r.text for r in got}
+        for i in range(n):
+            assert found["layout.example", i] == (text(i) if n > 1 else f"T\n\n{text(i)}")
+            assert found["inner.example", i] == text(i)
+            assert found["cards.example", i] == text(i)
+            assert found["teaser.example", i] == f"Tease {i}\n\n{text(i)}"
+            assert found["mixed.example", i] == (text(i) if n > 1 else f"Same on all pages\n\n{text(i)}\n\nMade with care")
+
+
 def test_quality_rules(spark, docs, empty):
     for d, t, *_ in corpus() + EDGES:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")

@@ -4,9 +4,12 @@ Every page is parsed into a tree whose equal siblings are folded into one
 repeating node.  The most frequent tree of a host is its wrapper; other pages of
 the host are aligned to it by simple tree matching, which gives each node a slot.
 A slot whose text is the same on nearly all pages of different content is
-template; varying slots are content, unless they stand in a menu, header,
-footer, side column, advert, notice, form or comment region, or outside the
-article where a page marks one.
+template, and so is a block outside the article that nearly all pages have at
+its slot, whatever its siblings hold.  Varying slots are content, outside the
+article too, unless they stand in a menu, header, footer, side column, advert,
+notice, form or comment region by tag or class.  Only where a host has too few
+pages to tell, blocks outside the article go if the article holds at least as
+much text.
 
 Three passes parse the pages; between them only per-host aggregates move, all by
 partial aggregation, so a host may hold any share of the pages.
@@ -18,6 +21,7 @@ empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import broadcast_if_small, checkpoint, map_batches
 
 #: Share of a slot's different pages that must agree for it to be template, and how many pages it takes.
 CONSTANT_SHARE, MIN_PAGES = 0.9, 5
@@ -49,6 +53,8 @@ _BOILER_WORDS = frozenset(
     "subscription signup login popup modal overlay share sharing social related recommended recommendations trending widget "
     "comment comments commentlist disqus respond reply replies pagination pager toolbar skip masthead complementary contentinfo "
     "search toc".split())
+#: First words of class names that tell of the layout around an element ("has-sidebar"), not of its role.
+_LAYOUT_WORDS = frozenset("has no not with without hide hides show shows".split())
 _HEADER_WORDS = frozenset("header topbar".split())
 # Which open element a start tag ends, and where the search for it stops.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
@@ -63,11 +69,15 @@ _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"
 _TOKEN = re.compile(r"[A-Za-z]+")
 
 
+HELD = 2
+
+
 class Page:
     """Folded tree and text blocks of one page.
 
     ``parents`` and ``labels`` describe the folded nodes; ``blocks`` holds
-    (node, text, share of link characters, boilerplate, inside an article).
+    (node, text, share of link characters, boilerplate, inside an article:
+    ``HELD`` for an article inside a region that only its class marks).
     """
 
     __slots__ = ("parents", "labels", "blocks", "_child", "has_content")
@@ -75,7 +85,7 @@ class Page:
     def __init__(self, source: str | None):
         self.parents, self.labels = [-1], ["#"]
         self._child: dict[tuple[int, str], int] = {}
-        self.blocks: list[tuple[int, str, float, bool, bool]] = []
+        self.blocks: list[tuple[int, str, float, bool, int]] = []
         self.has_content = False
         if source:
             self._parse(source)
@@ -90,7 +100,7 @@ class Page:
         return node
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("#", 0, False, False)]
+        stack: list[tuple[str, int, bool, int, bool]] = [("#", 0, False, False, False)]
         text: list[str] = []
         linked, in_link, at = 0, False, 0
 
@@ -99,7 +109,7 @@ class Page:
             if text:
                 words = " ".join(entities.unescape("".join(text)).split())
                 if words:
-                    _, node, boiler, content = stack[-1]
+                    _, node, boiler, content, _ = stack[-1]
                     self.blocks.append((node, words, min(1.0, linked / len(words)), boiler, content))
                 text.clear()
             linked = 0
@@ -139,8 +149,10 @@ class Page:
                         del stack[k:]
                         break
                 continue
-            words = {w.lower() for _, v in _ATTR.findall(m[3]) for w in _TOKEN.findall(v)} if m[3] else ()
-            marked = bool(words) and not _BOILER_WORDS.isdisjoint(words)
+            names = [[w.lower() for w in _TOKEN.findall(x)] for _, v in _ATTR.findall(m[3]) for x in v.split()] if m[3] else ()
+            words = {w for x in names for w in x}
+            roles = {w for x in names if x and (len(x) == 1 or x[0] not in _LAYOUT_WORDS) for w in x}
+            marked = not _BOILER_WORDS.isdisjoint(roles)
             if tag in _INLINE and not (marked and tag not in _VOID):
                 if tag == "br":
                     text.append(" ")
@@ -164,15 +176,19 @@ class Page:
                 continue
             if tag in _VOID:
                 continue
-            _, parent, boiler, content = stack[-1]
-            head = not content and (tag == "header" or bool(words) and not _HEADER_WORDS.isdisjoint(words))
+            _, parent, boiler, content, by_class = stack[-1]
+            head = not content and (tag == "header" or not _HEADER_WORDS.isdisjoint(roles))
             starts = tag in _CONTENT_TAGS or "articlebody" in words or "main" in words and tag in ("div", "section")
-            boiler = boiler or marked and tag not in ("html", "body", "article", "main") or tag in _BOILER_TAGS or head
-            content = content or starts and not boiler
-            self.has_content = self.has_content or content
+            by_tag = tag in _BOILER_TAGS or head
+            by_class = (by_class or not boiler) and not by_tag and (by_class or marked and tag not in ("html", "body", "article", "main"))
+            boiler = boiler or by_class or by_tag
+            if starts and not content and by_class and not marked:
+                boiler, content, by_class = False, HELD, False
+            elif starts and not content and not boiler:
+                content = self.has_content = True
             label = tag + ("." + "-".join(sorted(words)) if words else "")
             name = "." + tag if tag in _INLINE else tag
-            stack.append((name, self._node(parent, label), boiler, content))
+            stack.append((name, self._node(parent, label), boiler, content, by_class))
         flush()
 
     def skeleton(self) -> str:
@@ -236,11 +252,36 @@ def align(wrapper: str, page: str) -> tuple[int, ...]:
     return tuple(slots)
 
 
-def _kept(page: Page) -> Iterator[tuple[int, str]]:
-    """(node, text) of the blocks that no rule excludes."""
-    for node, text, links, boiler, content in page.blocks:
-        if not boiler and (content if page.has_content else links < MAX_LINKS):
-            yield node, text
+def _candidates(page: Page) -> Iterator[tuple[int, str, bool]]:
+    """(node, text, inside an article) of the blocks that no tag or class excludes and that are no menus.
+
+    ``HELD`` articles count where no other article is and they hold at least half of the text.
+    """
+    blocks = [(n, t, content) for n, t, links, boiler, content in page.blocks if not boiler and (content or links < MAX_LINKS)]
+    held = sum(len(t) for _, t, content in blocks if content == HELD)
+    use_held = held and not page.has_content and 2 * held >= sum(len(t) for _, t, _ in blocks)
+    for node, text, content in blocks:
+        if content != HELD or use_held:
+            yield node, text, bool(content)
+
+
+def _line(slot: int, text: str) -> int:
+    """Hash of a block's text at its slot."""
+    raw = f"{slot}:{text}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def _kept(page: Page, slots: tuple[int, ...], constant: frozenset, judged: frozenset, lines: frozenset) -> Iterator[str]:
+    """Texts of the blocks that are neither excluded nor template."""
+    blocks = list(_candidates(page))
+    inside = sum(len(t) for _, t, content in blocks if content)
+    only_article = page.has_content and 2 * inside >= sum(len(t) for _, t, _ in blocks)
+    for node, text, content in blocks:
+        slot = slots[node] if slots else -1
+        if slot in constant:
+            continue
+        if content or (slot in judged or not only_article) and not (lines and _line(slot, text) in lines):
+            yield text
 
 
 def _slots(page: Page, wrapper: str | None) -> tuple[int, ...]:
@@ -261,29 +302,35 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, hosts: DataFrame, share: float = CONSTANT_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, wrapper, constant): the slots of every host that are template."""
+    """(host, wrapper, constant, judged, lines): the template slots of every host, the slots of enough pages, and template blocks."""
     def rows(names: list, found: list, sources: list) -> list[tuple]:
         out = []
         for host, wrapper, source in zip(names, found, sources):
             page = Page(source)
-            slots, texts = _slots(page, wrapper), {}
-            for node, text in _kept(page):
+            slots, texts, lines = _slots(page, wrapper), {}, set()
+            for node, text, content in _candidates(page):
                 if slots[node] >= 0:
                     texts.setdefault(slots[node], []).append(text)
+                    if not content:
+                        lines.add((slots[node], _line(slots[node], text)))
             joined = {s: "\n".join(t) for s, t in texts.items()}
             whole = "\n\n".join(joined.values())
-            out += [(host, s, t, whole) for s, t in joined.items()]
+            out += [(host, s, t, None, whole) for s, t in joined.items()]
+            out += [(host, s, None, x, whole) for s, x in lines]
         return out
 
     keyed = pages.select(host_of("url").alias("host"), "html").join(hosts, "host")
-    seen = map_batches(keyed.select("host", "wrapper", "html"), rows, "host string, slot int, text string, page string").select(
-        "host", "slot", F.xxhash64("text").alias("text"), F.xxhash64("page").alias("page"))
-    counts = (seen.groupBy("host", "slot", "text", "page").agg(F.lit(1).alias("one"))
-              .groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-              .groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("top")))
-    constant = (counts.where((F.col("all") >= min_pages) & (F.col("top") >= share * F.col("all")))
-                .groupBy("host").agg(F.collect_list("slot").alias("constant")))
-    return hosts.join(constant, "host", "left")
+    seen = map_batches(keyed.select("host", "wrapper", "html"), rows, "host string, slot int, text string, line long, page string").select(
+        "host", "slot", F.xxhash64("text").alias("text"), "line", F.xxhash64("page").alias("page"))
+    counts = checkpoint(seen.groupBy("host", "slot", "text", "line", "page").agg(F.lit(1).alias("one"))
+                        .groupBy("host", "slot", "text", "line").agg(F.count("*").alias("n")))
+    totals = broadcast_if_small(counts.where("line is null").groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("top"))
+                                .where(F.col("all") >= min_pages))
+    slots = totals.groupBy("host").agg(F.collect_list(F.when(F.col("top") >= share * F.col("all"), F.col("slot"))).alias("constant"),
+                                       F.collect_list("slot").alias("judged"))
+    lines = (counts.where(F.col("line").isNotNull() & (F.col("n") >= share * min_pages)).join(totals, ["host", "slot"])
+             .where(F.col("n") >= share * F.col("all")).groupBy("host").agg(F.collect_list("line").alias("lines")))
+    return hosts.join(slots, "host", "left").join(lines, "host", "left")
 
 
 def _small(hosts: DataFrame, column: str) -> DataFrame:
@@ -298,15 +345,15 @@ def extract(pages: DataFrame, share: float = CONSTANT_SHARE, min_pages: int = MI
     model = _small(templates(pages, _small(wrappers(pages), "wrapper"), share, min_pages), "wrapper")
     keyed = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(model, "host", "left")
 
-    def rows(ids: list, urls: list, sources: list, found: list, constants: list) -> list[tuple]:
+    def rows(ids: list, urls: list, sources: list, found: list, *sets: list) -> list[tuple]:
         out = []
-        for page_id, url, source, wrapper, constant in zip(ids, urls, sources, found, constants):
+        for page_id, url, source, wrapper, *known in zip(ids, urls, sources, found, *sets):
             page = Page(source)
-            drop = frozenset(constant or ())
-            slots = _slots(page, wrapper) if drop else ()
-            text = "\n\n".join(t for node, t in _kept(page) if not drop or slots[node] not in drop)
+            constant, judged, lines = (frozenset(x or ()) for x in known)
+            slots = _slots(page, wrapper) if judged else ()
+            text = "\n\n".join(_kept(page, slots, constant, judged, lines))
             out.append((page_id, url, text, len(text)))
         return out
 
-    return map_batches(keyed.select("page_id", "url", "html", "wrapper", "constant"), rows,
+    return map_batches(keyed.select("page_id", "url", "html", "wrapper", "constant", "judged", "lines"), rows,
                        "page_id long, url string, text string, n_chars long")
