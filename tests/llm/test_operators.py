@@ -216,6 +216,15 @@ def test_secrets():
     assert secrets.redacted(None) is None and secrets.redacted("clean") == "clean" and "Xk9" not in secrets.redacted(text)
 
 
+def test_long_values_are_judged_whole():
+    for start in ("x" * 80, "xy" * 50, "password" * 500, "-=" * 300):
+        text = f"password is {start}Xk9$vQ2!mzR7"
+        assert secrets.find(text) == ([], [(12, len(text), "password")])
+        assert secrets.find(f"password is {start}") == ([], [])
+    assert secrets.find("pwd: " + "*" * 20_000) == ([], [])
+    assert secrets.guess_cost("abcdefghijklmnopqrstuvwxyz") < 4
+
+
 def test_page_text(spark):
     body = "".join(f"<li><a href=/{i}>menu</a></li>" for i in range(4))
     rows = [(i, "http://h.example/x", f"<html><body><nav><ul>{body}</ul></nav><div class=ad>buy {i}</div><article><h1>T{i}</h1>"

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from .common import add_columns, free_name, map_batches
 KINDS = ("assign", "access", "hex", "password")
 #: log10 of the guesses from which a credential value counts as a secret.
 MIN_LOG10_GUESSES = 8.0
-#: Longest value that is segmented as a whole; longer ones are judged by their first part's cost, a lower bound.
-MAX_VALUE = 64
+#: Longest segment but for repeats, which may be of any length: the longest keyboard row.
+MAX_SEGMENT = 26
 PLACEHOLDER = "[secret]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -89,6 +90,7 @@ def _wordlike(segment: str) -> bool:
     return 0.2 <= vowels / len(low) <= 0.8 and longest <= 5
 
 
+@lru_cache(maxsize=1 << 16)
 def segment_cost(segment: str, previous: str) -> float | None:
     """log10 guesses of one segment by the cheapest pattern it fits, None if it fits none."""
     low, n, best = segment.lower(), len(segment), None
@@ -114,17 +116,56 @@ def segment_cost(segment: str, previous: str) -> float | None:
     return best
 
 
-def guess_cost(value: str) -> float:
-    """Minimum log10 guesses over all segmentations of the first ``MAX_VALUE`` characters."""
-    value = value[:MAX_VALUE]
+class _Repeats:
+    """Cheapest repeats of one unit of ``size`` characters, of any length, that end at the current position.
+
+    A repeat takes its unit by brute force or, from three characters, copies what stands before it.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.run, self.starts = size, 0, {}
+
+    def cost(self, value: str, end: int, best: list[float], brute: list[float]) -> float:
+        size = self.size
+        if end <= size or value[end - 1] != value[end - 1 - size]:
+            self.run = 0
+            self.starts.clear()
+            return math.inf
+        self.run += 1
+        if self.run < size:
+            return math.inf
+        new = [(best[end - 2 * size] + brute[end] - brute[end - size], end - 2 * size)]
+        if size >= 3:
+            new.append((best[end - size] + 1.0, end - size))
+        have, cheapest = [], math.inf
+        for base, at in self.starts.get(end % size, []) + new:
+            now = base + math.log10((end - at) // size)
+            if now < cheapest - 1e-9:                # dearer than an earlier start: it stays so, as that one's count grows slower
+                have, cheapest = [x for x in have if x[0] < base] + [(base, at)], now
+        self.starts[end % size] = have
+        return cheapest
+
+    def below(self, enough: float) -> bool:
+        return any(base < enough for have in self.starts.values() for base, _ in have)
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """Minimum log10 guesses over all segmentations; stops where every way to go on costs ``enough``."""
     n = len(value)
-    best = [0.0] + [math.inf] * n
+    best, brute = [0.0] + [math.inf] * n, [0.0] * (n + 1)
+    repeats = [_Repeats(size) for size in range(1, MAX_SEGMENT + 1)]
     for end in range(1, n + 1):
+        brute[end] = brute[end - 1] + _brute(value[end - 1])
         best[end] = best[end - 1] + _brute(value[end - 1])
-        for start in range(max(0, end - 24), end - 1):
-            cost = segment_cost(value[start:end], value[:start])
+        for start in range(max(0, end - MAX_SEGMENT), end - 1):
+            cost = segment_cost(value[start:end], value[max(0, 2 * start - end):start])
             if cost is not None and best[start] + cost + 0.3 < best[end]:
                 best[end] = best[start] + cost + 0.3      # 0.3: a factor of two for each more segment
+        best[end] = min(best[end], min(r.cost(value, end, best, brute) for r in repeats) + 0.3)
+        if best[end] >= enough:
+            least = min(best[max(0, end - 2 * MAX_SEGMENT):end + 1])
+            if least >= enough and not any(r.below(enough) for r in repeats):
+                return least
     return best[n]
 
 
@@ -153,7 +194,7 @@ def find(text: str | None, min_cost: float = MIN_LOG10_GUESSES) -> tuple[list[tu
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base) and guess_cost(value) >= min_cost:
+            if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base) and guess_cost(value, min_cost) >= min_cost:
                 added.append((start, end, "password"))
     return base, added
 
