@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -28,13 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests), the frame is returned as it is: results
-    stay the same and only the lineage grows.
+    Where that setting is absent (tests), the frame is persisted on the executors
+    instead, so that it is evaluated once and later plans start from it.
     """
     spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

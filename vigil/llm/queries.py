@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, ngram_jaccard, packing, pii, pu_quality, quality_rules, secrets, substring_dedup, training_order
+from . import (decontaminate, fill_middle, html_text, ngram_jaccard, packing, pii, pu_quality, quality_rules, secrets, spelling_variants, substring_dedup,
+               training_order, url_reputation)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,23 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.result(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.result(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.result(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_fill_middle"] = fill_middle.ORACLE
+ORACLE["op12_url_reputation"] = url_reputation.ORACLE
+ORACLE["op13_spelling_variants"] = spelling_variants.ORACLE
