@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.knn import knn, rank_key_col, to_vectors
+from vigil.functions.quantiles import percentile as exact_percentile, percentiles
+from vigil.operators.knn import CELL_ROWS, knn, rank_key_col, to_vectors
 from vigil.operators.lof import below, lof_from_neighbours, standardize, select_numeric, LRD_EPS
+from vigil.session import cut_lineage
 
 # Grid of the contamination search and its utility.
 BASE_CONTAMINATIONS = [0.08, 0.10, 0.12, 0.14, 0.15, 0.16]
@@ -46,21 +48,20 @@ def contamination_grid_values(rate: float | None) -> list[float]:
 
 
 def contamination_grid(points: DataFrame, contaminations: list[float], n: int,
-                       ks=GRID_NEIGHBOURS, block_rows: int = 8192) -> DataFrame:
+                       ks=GRID_NEIGHBOURS, block_rows: int = CELL_ROWS) -> DataFrame:
     """One kNN at max(k); LOF for every k from the neighbour-rank prefix;
-    all thresholds of one k in a single ``percentile(array)`` aggregate.
+    all thresholds of one k by one selection.
     → (contamination, n_neighbors, num_outliers, outlier_rate,
        mean_outlier_score, combined_score)."""
-    from vigil.session import cut_lineage
     kmax = min(max(ks), n - 1)
     # One kNN at the largest k, cut once; every k reads its rank prefix.
     nbrs = cut_lineage(knn(points, kmax, block_rows=block_rows, n=n))
     grids = []
     for k in ks:
         lof = cut_lineage(lof_from_neighbours(nbrs, min(k, n - 1)))
-        thr = lof.agg(F.percentile(-F.col("lof"), F.array(*[F.lit(c) for c in contaminations]))).scalar()
-        per_c = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in contaminations]).alias("c"),
-                                       thr.alias("t")))
+        thr = percentiles(lof, {"t": -F.col("lof")}, contaminations)["t"]
+        per_c = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).cast("double").alias("t"))
+                                    for c, t in zip(contaminations, thr)]))
         g = (lof.select("lof", per_c.alias("ct"))
                 .select(F.col("ct.c").alias("contamination"), "lof",
                         below(-F.col("lof"), F.col("ct.t")).alias("o"))
@@ -112,8 +113,8 @@ def with_labels(scores: DataFrame, features: DataFrame, insiders: DataFrame) ->
 
 def score_threshold(merged: DataFrame, percentile: float = 80) -> DataFrame:
     """Keep outliers scoring at least the p-th percentile of outlier scores."""
-    thr = merged.where(F.col("is_outlier")).agg(
-        F.percentile("anomaly_score", F.lit(percentile / 100.0))).scalar()
+    merged = cut_lineage(merged)
+    thr = F.lit(exact_percentile(merged.where(F.col("is_outlier")), F.col("anomaly_score"), percentile / 100.0)).cast("double")
     return merged.withColumn("high_confidence_outlier",
                              F.col("is_outlier") & ~below(F.col("anomaly_score"), thr))
 

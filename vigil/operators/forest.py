@@ -20,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.quantiles import percentile
 from vigil.operators.knn import to_vectors
 from vigil.operators.lof import below, select_numeric, standardize
+from vigil.session import cut_lineage
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, "
                "right_child int, size long")
@@ -146,8 +148,8 @@ def isolation_forest_flags(df: DataFrame, feature_cols: list[str] | None = None,
     pts = to_vectors(standardize(base, feats), "_key", feats)
     n = base.count()
     nodes = fit_isolation_forest(pts, n, n_trees, max_samples, seed)
-    scores = score_isolation_forest(pts, nodes, min(max_samples, n))
-    thr = scores.agg(F.percentile(-F.col("if_score"), F.lit(contamination))).scalar()
+    scores = cut_lineage(score_isolation_forest(pts, nodes, min(max_samples, n)))
+    thr = F.lit(percentile(scores, -F.col("if_score"), contamination)).cast("double")
     scores = scores.withColumn("iso_outlier", below(-F.col("if_score"), thr))
     return (base.select(*id_cols, F.col("_key").alias("id")).join(scores, "id").drop("id"))
 

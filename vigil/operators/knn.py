@@ -1,34 +1,62 @@
-"""Exact k-nearest neighbours (Euclidean, self excluded, exactly k
-with ties broken by neighbour id).
-
-Distributed as hash-block pairs: rows are hashed on their id into B blocks
-(ids are unique, so blocks are balanced whatever the data's skew), every
-row is replicated to the B block pairs it belongs to, and one
-``applyInPandas`` task per pair computes the pair's distance matrix in numpy
-and emits only each row's k best candidates.  A per-row top-k merge
-(``row_number`` over at most B·k candidates per row) gives the exact result.
-Memory per task is two blocks; no task sees more than ``2·block_rows`` rows
-and no pair table is ever materialised.
+"""Exact k-nearest neighbours (Euclidean, exactly k, ties broken by
+neighbour id) over a metric partition, for any number and spread of points.
+
+Equal points are collapsed first: of each distinct vector only its few
+smallest ids can be anybody's neighbour, so half of all points in one place
+cost one point.  Distinct vectors are dealt into cells by their nearest pivot
+(pivots are data points drawn by a hash; cells that are too large get more
+pivots, and parts by hash where the bound on pivots is reached).  Then
+
+1. each query is measured against its own cell, which bounds the distance of
+   its k-th neighbour from above;
+2. it goes on only to cells whose points can lie within that bound: by the
+   triangle inequality over the cell's nearest and farthest point from its
+   pivot, and by the plane half-way between two pivots;
+3. inside a cell it meets only points whose distance from the pivot fits;
+4. the candidates of its cells are merged to the k smallest.
+
+Every task holds one cell and a bounded number of queries; the pivots and one
+row per cell are broadcast (``MAX_PIVOTS`` bounds them).  Bounds carry a margin
+above floating error and above the width of a tie, so nothing is lost.
+
+Rows without an id or vector, or with a null or NaN coordinate, are no points.
+Ids must be unique; vectors must be of one length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEIGHBOUR_SCHEMA = "id string, nbr string, dist double"
+from vigil.session import cut_lineage
 
 # Comparison key: distances and scores are compared on a grid of about 11
 # significant digits (1e-9 below 100, coarser by 100× per two decades), then
 # by id.  Mathematically equal values (common on discrete features) then tie
-# deterministically no matter how a platform orders a floating-point sum.
+# deterministically no matter how a platform orders a floating-point sum.  The
+# key is the value on its grid, so that keys of different grids compare too.
 # Fixed ladder of (upper bound, grid) pairs; the SQL twin uses the same values.
 RANK_LADDER = [(1e2, 1e-9), (1e4, 1e-7), (1e6, 1e-5), (1e8, 1e-3), (1e10, 1e-1), (1e12, 1e1)]
 
+#: Most distinct points of a cell, and most queries that meet a cell in one task.
+CELL_ROWS, TASK_QUERIES = 2048, 16384
+#: Most pivots (they are broadcast), and rounds in which large cells get more of them.
+MAX_PIVOTS, SPLIT_ROUNDS = 20_000, 4
+#: A vector with more than one in this many points is joined by broadcast.
+HEAVY = 1000
+#: Rows of a distance matrix that are computed at a time.
+CHUNK = 512
+#: Parts of one pivot's cell in a cell number.
+_PARTS = 1 << 20
+
+CANDIDATES = "id string, near array<struct<key: double, nbr: string, dist: double>>"
+ROUTES = "cell long, n long, ids array<string>, vecs array<double>, bounds array<double>"
+
 
 def rank_key(d):
     d = np.asarray(d, dtype=np.float64)
@@ -38,7 +66,7 @@ def rank_key(d):
     for bound, g in RANK_LADDER:
         sel = (~done) & (ad < bound)
         inv = 1.0 / g if g < 1 else None
-        out[sel] = np.floor(d[sel] * inv + 0.5) if inv else np.floor(d[sel] / g + 0.5)
+        out[sel] = np.floor(d[sel] * inv + 0.5) / inv if inv else np.floor(d[sel] / g + 0.5) * g
         done |= sel
     return out
 
@@ -55,89 +83,11 @@ def rank_key_col(c):
             div = F.when(ax < F.lit(bound), F.lit(g)) if div is None else div.when(ax < F.lit(bound), F.lit(g))
     last_inv = max(b for b, g in RANK_LADDER if g < 1)
     last = max(b for b, _ in RANK_LADDER)
-    return (F.when(ax < F.lit(last_inv), F.floor(c * inv + F.lit(0.5)).cast("double"))
-             .when(ax < F.lit(last), F.floor(c / div + F.lit(0.5)).cast("double"))
+    return (F.when(ax < F.lit(last_inv), F.floor(c * inv + F.lit(0.5)).cast("double") / inv)
+             .when(ax < F.lit(last), F.floor(c / div + F.lit(0.5)).cast("double") * div)
              .otherwise(c.cast("double")))
 
 
-def _select(a: np.ndarray, b: np.ndarray, k: int, exclude_same: bool, chunk: int = 2048):
-    """Exact top-k of every row of ``a`` among the rows of ``b`` (Euclidean,
-    ties on the rank grid broken by b's row order = id order).
-
-    BLAS (|a|² + |b|² − 2ab) only preselects candidates: every element whose
-    approximate squared distance is within a tolerance of the approximate
-    k-th value is kept.  The tolerance exceeds both the rounding error of the
-    expansion and the width of a rank-grid tie, so the exact top-k is always
-    inside the candidate set; candidates are then re-measured exactly
-    (subtract, then square) and ranked.  Returns (rows, cols, dist)."""
-    m = b.shape[0]
-    if a.shape[0] == 0 or m == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    bb = np.einsum("ij,ij->i", b, b)
-    bmax = float(bb.max())
-    out_r, out_c = [], []
-    for s0 in range(0, a.shape[0], chunk):
-        ac = a[s0:s0 + chunk]
-        aa = np.einsum("ij,ij->i", ac, ac)
-        d2 = aa[:, None] + bb[None, :] - 2.0 * (ac @ b.T)
-        np.maximum(d2, 0.0, out=d2)
-        if exclude_same:
-            idx = np.arange(ac.shape[0])
-            d2[idx, s0 + idx] = np.inf
-        kk = min(k, m - (1 if exclude_same else 0))
-        if kk <= 0:
-            continue
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        tol = 1e-8 * (1.0 + kth + aa + bmax)
-        r, c = np.nonzero(d2 <= (kth + tol)[:, None])
-        out_r.append(r + s0)
-        out_c.append(c)
-    if not out_r:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    rows, cols = np.concatenate(out_r), np.concatenate(out_c)
-    diff = a[rows] - b[cols]
-    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    order = np.lexsort((cols, rank_key(dist), rows))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = (np.arange(len(rows)) - first) < k
-    return rows[keep], cols[keep], dist[keep]
-
-
-def _pair_distances(a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """Euclidean distances, subtract-then-square (no a²+b²−2ab cancellation)."""
-    out = np.empty((a.shape[0], b.shape[0]), dtype=np.float64)
-    for s in range(0, a.shape[0], chunk):
-        diff = a[s:s + chunk, None, :] - b[None, :, :]
-        out[s:s + chunk] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    return out
-
-
-def _frame(ids_a, ids_b, rows, cols, dist) -> pd.DataFrame:
-    return pd.DataFrame({"id": ids_a[rows], "nbr": ids_b[cols], "dist": dist})
-
-
-def _block_pair_knn(k: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(key[0]), int(key[1])
-        pdf = pdf.sort_values("id", kind="stable")
-        left = pdf[pdf["_blk"] == lo]
-        right = pdf[pdf["_blk"] == hi]
-        empty = pd.DataFrame({"id": pd.Series([], dtype=object), "nbr": pd.Series([], dtype=object),
-                              "dist": pd.Series([], dtype=float)})
-        if len(left) == 0 or (lo != hi and len(right) == 0):
-            return empty
-        la = np.vstack(left["vec"].to_numpy()).astype(np.float64)
-        ids_l = left["id"].to_numpy()
-        if lo == hi:
-            return _frame(ids_l, ids_l, *_select(la, la, k, exclude_same=True))
-        ra = np.vstack(right["vec"].to_numpy()).astype(np.float64)
-        ids_r = right["id"].to_numpy()
-        return pd.concat([_frame(ids_l, ids_r, *_select(la, ra, k, exclude_same=False)),
-                          _frame(ids_r, ids_l, *_select(ra, la, k, exclude_same=False))], ignore_index=True)
-    return run
-
-
 def to_vectors(df: DataFrame, id_col: str, feature_cols: list[str] | None = None,
                vector_col: str | None = None) -> DataFrame:
     """(id string, vec array<double>) from feature columns or an array column."""
@@ -148,56 +98,360 @@ def to_vectors(df: DataFrame, id_col: str, feature_cols: list[str] | None = None
     return df.select(F.col(id_col).cast("string").alias("id"), vec.alias("vec"))
 
 
-def knn(points: DataFrame, k: int, block_rows: int = 8192, n: int | None = None) -> DataFrame:
-    """Exact kNN over (id string, vec array<double>) → (id, nbr, dist, rank).
+# ------------------------------------------------------------ distances
+def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by |a|² + |b|² − 2ab, and a bound of their error per
+    row that also covers the width of a tie."""
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    d2 = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    np.maximum(d2, 0.0, out=d2)
+    return d2, 1e-8 * (1.0 + aa + (bb.max() if len(bb) else 0.0))
+
+
+def _kth(d2: np.ndarray, error: np.ndarray, k: int) -> np.ndarray:
+    """Upper bound of each row's k-th smallest distance."""
+    return np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1] + error) * (1 + 1e-8) + 1e-8
+
+
+def _vectors(column, rows: int) -> np.ndarray:
+    """A list column (or several) as one matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
+
+
+class _Cell:
+    """The points of one cell, by their distance from its pivot."""
+
+    def __init__(self, table: pa.Table):
+        points = table.column("points").combine_chunks().flatten()
+        self.radius = points.field("radius").to_numpy(zero_copy_only=False)
+        self.vecs = _vectors(points.field("vec"), len(points))
+        names = points.field("ids")
+        self.counts = np.diff(names.offsets.to_numpy())
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.names = names.flatten()
+        self.first = self._rank(self.names)[self.starts[:-1]] if len(points) else np.zeros(0, np.int64)
+
+    @staticmethod
+    def _rank(names: pa.Array) -> np.ndarray:
+        out = np.empty(len(names), dtype=np.int64)
+        out[np.argsort(np.asarray(names.to_pylist(), dtype=object), kind="stable")] = np.arange(len(names))
+        return out
+
+    def nearest(self, q: np.ndarray, bounds: np.ndarray, to_pivot: np.ndarray, k: int) -> Iterator[tuple]:
+        """(rows, keys, names, distances) of up to k neighbours of each query within its bound, in parts."""
+        order = np.argsort(to_pivot, kind="stable")
+        rank = self._rank(self.names)
+        for at in range(0, len(q), CHUNK):
+            rows = order[at:at + CHUNK]
+            far = bounds[rows].max()
+            lo = np.searchsorted(self.radius, (to_pivot[rows].min() - far) * (1 - 1e-9) - 1e-6)
+            hi = np.searchsorted(self.radius, (to_pivot[rows].max() + far) * (1 + 1e-9) + 1e-6, side="right")
+            if lo >= hi:
+                continue
+            some = self.vecs[lo:hi]
+            d2, error = _squared(q[rows], some)
+            r, c = np.nonzero(d2 <= (bounds[rows] ** 2 + error)[:, None])
+            if not len(r):
+                continue
+            diff = q[rows[r]] - some[c]
+            dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            key, c = rank_key(dist), c + lo
+            # Of the points at one distance, those with the smallest ids hold the k smallest ids of that distance.
+            r, c, key, dist = _first_k(r, (self.first[c], key), k, c, key, dist)
+            n = self.counts[c]
+            name = np.repeat(self.starts[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            r, key, dist = np.repeat(r, n), np.repeat(key, n), np.repeat(dist, n)
+            r, name, key, dist = _first_k(r, (rank[name], key), k, name, key, dist)
+            yield rows[r], key, name, dist
+
+
+def _first_k(rows: np.ndarray, by: tuple, k: int, *arrays: np.ndarray) -> tuple:
+    """Rows and arrays in the order of (row, last of ``by``, ..., first), the first k of each row."""
+    order = np.lexsort((*by, rows))
+    rows = rows[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return (rows[keep], *(a[order][keep] for a in arrays))
+
+
+# ------------------------------------------------------------ cells
+class _Pivots:
+    """Pivots and what is known of every cell: pivot, points, smallest and largest radius."""
+
+    def __init__(self, vecs: np.ndarray, parts: np.ndarray):
+        self.vecs, self.parts = vecs, parts
+        self.apart = None
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of every row and the exact distance from it."""
+        best = np.empty(len(x), dtype=np.int64)
+        for at in range(0, len(x), CHUNK):
+            best[at:at + CHUNK] = _squared(x[at:at + CHUNK], self.vecs)[0].argmin(axis=1)
+        diff = x - self.vecs[best]
+        return best, np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
+class _Cells:
+    """Broadcast summary: pivots and, per cell, its number, pivot, points and radii."""
+
+    def __init__(self, pivots: _Pivots, number: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.number, self.n, self.low, self.high = pivots, number, n, low, high
+        self.pivot = number // _PARTS
+
+    def within_reach(self, q: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, cells that can hold a neighbour) parts of a query batch; ``own`` is each query's pivot."""
+        p = self.pivots.vecs
+        for at in range(0, len(q), CHUNK):
+            x, mine, bound = q[at:at + CHUNK], own[at:at + CHUNK], bounds[at:at + CHUNK]
+            d2, error = _squared(x, p)
+            d = np.sqrt(d2)
+            slack = np.sqrt(error)[:, None]                   # error of a root of a squared distance
+            apart = np.sqrt(np.maximum(_squared(p[mine], p)[0], 0.0))
+            least = np.maximum(d[:, self.pivot] - self.high[None, :], self.low[None, :] - d[:, self.pivot]) - slack
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d2 - d2[np.arange(len(x)), mine][:, None] - 4 * error[:, None]) / (2 * (apart + slack))
+            np.maximum(least, plane[:, self.pivot], out=least)
+            row, cell = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-8)
+            yield row + at, cell
+
+    def fallback(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Upper bound of the k-th distance from the cells' sizes and radii alone; infinite with fewer than k points."""
+        out = np.full(len(q), np.inf)
+        for at in range(0, len(q), CHUNK):
+            d2, error = _squared(q[at:at + CHUNK], self.pivots.vecs)
+            reach = np.sqrt(d2 + error[:, None])[:, self.pivot] + self.high[None, :]
+            order = np.argsort(reach, axis=1)
+            have = np.cumsum(self.n[order], axis=1) >= k
+            found = have.any(axis=1)
+            at_k = order[np.arange(len(reach)), have.argmax(axis=1)]
+            out[at:at + CHUNK][found] = reach[np.arange(len(reach)), at_k][found] * (1 + 1e-8) + 1e-8
+        return out
+
+
+def _dealt(points: DataFrame, pivots: _Pivots) -> DataFrame:
+    """``points`` (id, vec, ...) with the number of their cell and the distance from its pivot."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    schema = points.select("*", F.lit(0).cast("long").alias("pivot"), F.lit(0.0).alias("radius")).schema
+    at = points.columns.index("vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best, radius = shared.value.nearest(_vectors(batch.column(at), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(radius)],
+                                                 names=[*batch.schema.names, "pivot", "radius"])
+
+    out = points.mapInArrow(run, schema)
+    if (pivots.parts > 1).any():
+        parts = F.element_at(F.array(*[F.lit(int(n)) for n in pivots.parts]), F.col("pivot").cast("int") + 1)
+        part = F.pmod(F.xxhash64("id"), parts)
+    else:
+        part = F.lit(0)
+    return out.withColumn("cell", F.col("pivot") * _PARTS + part)
+
 
-    ``n`` (row count) sizes the number of hash blocks; counted if not given.
-    Each row is replicated once per block, so the shuffle is n·B rows of
-    vectors and the distance work n²/2 — the inherent cost of exact kNN.
+def _draw(points: DataFrame, n: int) -> list:
+    """Vectors of ``n`` points drawn by a hash."""
+    return [r["vec"] for r in points.orderBy(F.xxhash64("id"), "id").limit(n).select("vec").collect()]
+
+
+def partition(points: DataFrame, n: int, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS) -> tuple[DataFrame, _Cells]:
+    """Distinct points (id, vec, ids) dealt into cells of at most about ``cell_rows``, and the summary of the cells.
+
+    There are √n cells at least, so that a query meets few points in many small cells.
+    """
+    vecs = _draw(points, min(max_pivots, max(1, math.ceil(math.sqrt(n)), math.ceil(2 * n / cell_rows))))
+    for _ in range(SPLIT_ROUNDS):
+        pivots = _Pivots(np.array(vecs, dtype=np.float64), np.ones(len(vecs), dtype=np.int64))
+        dealt = cut_lineage(_dealt(points, pivots))
+        sizes = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > cell_rows)
+        room = max_pivots - len(vecs)
+        if room <= 0 or large.isEmpty():
+            break
+        by_hash = Window.partitionBy("pivot").orderBy(F.xxhash64("id"), "id")
+        more = (dealt.join(F.broadcast(large), "pivot").withColumn("_r", F.row_number().over(by_hash))
+                     .where(F.col("_r") <= F.least(F.ceil(2 * F.col("n") / cell_rows), F.lit(room))))
+        vecs += [r["vec"] for r in more.orderBy("_r", "pivot").limit(room).select("vec").collect()]
+    counts = {r["pivot"]: r["n"] for r in sizes.collect()}
+    pivots.parts = np.array([max(1, math.ceil(counts.get(i, 0) / cell_rows)) for i in range(len(pivots.vecs))])
+    if (pivots.parts > 1).any():
+        dealt = cut_lineage(_dealt(points, pivots))
+    rows = (dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+                 .orderBy("cell").collect())
+    numbers, n_of, low, high = (np.array([r[c] for r in rows]) for c in ("cell", "n", "low", "high"))
+    return dealt, _Cells(pivots, numbers.astype(np.int64), n_of.astype(np.int64), low.astype(float), high.astype(float))
+
+
+# ------------------------------------------------------------ search
+def _met(left: DataFrame, size, cells: DataFrame, rows: int = TASK_QUERIES):
+    """``left`` (with cell and ``size`` queries a row) grouped with its cell: parts of about ``rows`` queries,
+    each with a copy of the cell."""
+    parts = (left.groupBy("cell").agg(F.sum(size).alias("_n"))
+                 .select("cell", F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
+    key = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != "vecs" and c != "vec"]), F.col("_parts")).cast("int")
+    queries = left.join(parts, "cell").withColumn("_part", key).drop("_parts")
+    parts = parts.select(F.col("cell").alias("_cell"), F.col("_parts").alias("_copies"))
+    points = (cells.join(parts, F.col("cell") == F.col("_cell"))
+                   .select("_cell", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "points"))
+    return queries.groupBy("cell", "_part").cogroup(points.groupBy("_cell", "_copy"))
+
+
+def _lists(values, counts: np.ndarray):
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def routes(queries: DataFrame, base: DataFrame, summary: _Cells, k: int) -> DataFrame:
+    """(cell, queries with the bounds of their k-th distance): every cell that a query must look into.
+
+    ``queries``: (id, vec, pivot, cell), distinct; ``base``: one row per cell with its points.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(summary)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("cell", "n", "ids", "vecs", "bounds")}
+        cells: _Cells = shared.value
+        if left.num_rows:
+            q = _vectors(left.column("vec"), left.num_rows)
+            ids = left.column("id").combine_chunks()
+            own = left.column("pivot").to_numpy()
+            bounds = np.full(len(q), np.inf)
+            points = _Cell(right) if right.num_rows else None
+            if points is not None and len(points.vecs) >= k:
+                for at in range(0, len(q), CHUNK):
+                    bounds[at:at + CHUNK] = _kth(*_squared(q[at:at + CHUNK], points.vecs), k)
+            else:
+                bounds = cells.fallback(q, k)
+            row, cell = (np.concatenate(x) for x in zip(*cells.within_reach(q, own, bounds)))
+            order = np.argsort(cell, kind="stable")
+            for mine in np.split(row[order], np.flatnonzero(np.diff(cell[order])) + 1) if len(row) else []:
+                out["n"].append(len(mine))
+                out["ids"].append(ids.take(pa.array(mine)))
+                out["vecs"].append(q[mine].ravel())
+                out["bounds"].append(bounds[mine])
+            out["cell"] = cells.number[np.unique(cell)]
+        n = np.array(out["n"], dtype=np.int64)
+        width = len(out["vecs"][0]) // n[0] if len(n) else 0
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"cell": pa.array(np.asarray(out["cell"], dtype=np.int64)), "n": pa.array(n),
+                         "ids": _lists(pa.concat_arrays(out["ids"]) if len(n) else pa.array([], pa.string()), n),
+                         "vecs": _lists(pa.array(join(out["vecs"], float)), n * width),
+                         "bounds": _lists(pa.array(join(out["bounds"], float)), n)})
+
+    return _met(queries, F.lit(1), base).applyInArrow(run, ROUTES)
+
+
+def _candidates(found: DataFrame, base: DataFrame, summary: _Cells, k: int) -> DataFrame:
+    """The k nearest points of each cell for every query routed to it."""
+    shared = found.sparkSession.sparkContext.broadcast(summary)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, at, counts, keys, names, dists = [], [], [], [], [], []
+        if left.num_rows and right.num_rows:
+            cell = _Cell(right)
+            n = pa.compute.sum(left.column("n")).as_py()
+            q = _vectors(left.column("vecs"), n)
+            ids = left.column("ids").combine_chunks().flatten()
+            bounds = left.column("bounds").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            to_pivot = q - shared.value.pivots.vecs[key[0].as_py() // _PARTS]
+            to_pivot = np.sqrt(np.einsum("ij,ij->i", to_pivot, to_pivot))
+            for rows, sort, name, dist in cell.nearest(q, bounds, to_pivot, k):
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                at.append(rows[first])
+                counts.append(np.diff(np.append(first, len(rows))))
+                keys.append(sort)
+                names.append(cell.names.take(pa.array(name)))
+                dists.append(dist)
+        if not at:
+            return pa.table({"id": pa.array([], pa.string()), "near": pa.array([], pa.list_(pa.struct(
+                [("key", pa.float64()), ("nbr", pa.string()), ("dist", pa.float64())])))})
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays(names), pa.array(np.concatenate(dists))],
+                                          names=["key", "nbr", "dist"])
+        return pa.table({"id": ids.take(pa.array(np.concatenate(at))), "near": _lists(near, np.concatenate(counts))})
+
+    return _met(found, F.col("n"), base).applyInArrow(run, CANDIDATES)
+
+
+def _is_point():
+    return F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
+
+
+def distinct_points(points: DataFrame, keep: int) -> DataFrame:
+    """(vec, id, ids): distinct vectors with their ``keep`` smallest ids, the first of which names them.
+
+    The rank limit is applied before the shuffle too, so a vector that half of all rows hold is few rows there.
     """
+    by_id = Window.partitionBy("vec").orderBy("id")
+    return (points.where(_is_point()).withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= keep)
+                  .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+                  .select(F.get("ids", F.lit(0)).alias("id"), "vec", "ids"))
+
+
+def search_plan(queries: DataFrame | None, base: DataFrame, k: int, cell_rows: int = CELL_ROWS,
+                max_pivots: int = MAX_PIVOTS) -> tuple[DataFrame, DataFrame, _Cells] | None:
+    """Routes of distinct ``queries`` (those of ``base`` itself if None) and the cells of ``base``; None without points."""
+    base = cut_lineage(base)
+    n = base.count()
+    if not n:
+        return None
+    dealt, summary = partition(base, n, cell_rows, max_pivots)
+    if queries is not None:
+        asked = _dealt(queries, summary.pivots)
+    else:
+        asked = dealt
+    cells = cut_lineage(dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("radius", "id", "vec", "ids"))).alias("points")))
+    found = cut_lineage(routes(asked.select("id", "vec", "pivot", "cell"), cells, summary, k))
+    return found, cells, summary
+
+
+def _search(queries: DataFrame | None, base: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """(id of a distinct query, its k nearest: array of (key, nbr, dist) in order)."""
+    plan = search_plan(queries, base, k, cell_rows)
+    if plan is None:
+        return base.sparkSession.createDataFrame([], CANDIDATES)
+    found, cells, summary = plan
+    near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+    return _candidates(found, cells, summary, k).groupBy("id").agg(near)
+
+
+def _to_members(points: DataFrame, distinct: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, near) for all points from the lists of the distinct vectors."""
+    per_vec = distinct.select("vec", "id").join(lists, "id").select("vec", "near")
+    points = points.where(_is_point())
+    total = points.count()
+    heavy = cut_lineage(points.groupBy("vec").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(total / HEAVY, 1)).select("vec"))
+    if heavy.isEmpty():
+        return points.join(per_vec, "vec").select("id", "near")
+    per_vec = cut_lineage(per_vec)                                     # fewer than HEAVY vectors are heavy
+    hot = points.join(F.broadcast(per_vec.join(F.broadcast(heavy), "vec")), "vec")
+    rest = points.join(F.broadcast(heavy), "vec", "left_anti").join(per_vec, "vec")
+    return hot.select("id", "near").unionByName(rest.select("id", "near"))
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    return (lists.select("id", F.posexplode("near").alias("_at", "_n"))
+                 .select("id", F.col("_n.nbr").alias("nbr"), F.col("_n.dist").alias("dist"), (F.col("_at") + 1).alias("rank")))
+
+
+def knn(points: DataFrame, k: int, block_rows: int = CELL_ROWS, n: int | None = None) -> DataFrame:
+    """Exact kNN over (id string, vec array<double>) → (id, nbr, dist, rank), self excluded.
+
+    ``n`` is the number of points (counted if not given), ``block_rows`` the most distinct points of a cell.
+    """
+    points = cut_lineage(points.select("id", "vec"))
     if n is None:
         n = points.count()
     k = max(1, min(k, n - 1))
-    nblocks = max(1, math.ceil(n / block_rows))
-    pts = points.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(nblocks)).cast("int"))
-    rep = pts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))))
-    rep = rep.select("id", "vec", "_blk",
-                     F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi"))
-    cand = rep.groupBy("_lo", "_hi").applyInPandas(_block_pair_knn(k), NEIGHBOUR_SCHEMA)
-    w = Window.partitionBy("id").orderBy(rank_key_col(F.col("dist")), "nbr")
-    return (cand.withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= k))
-
-
-def knn_query(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 8192,
+    distinct = cut_lineage(distinct_points(points, k + 1))
+    lists = _to_members(points, distinct, _search(None, distinct, k + 1, block_rows))
+    others = F.slice(F.filter("near", lambda x: x["nbr"] != F.col("id")), 1, k)
+    return _ranked(lists.select("id", others.alias("near")))
+
+
+def knn_query(queries: DataFrame, base: DataFrame, k: int, block_rows: int = CELL_ROWS,
               n_base: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """K nearest ``base`` rows for every ``queries`` row (two different
-    sets, nothing excluded).  Both sides are hash-blocked; one task per
-    (query block, base block) emits k candidates per query row."""
-    if n_base is None:
-        n_base = base.count()
-    if n_queries is None:
-        n_queries = queries.count()
-    nb = max(1, math.ceil(n_base / block_rows))
-    nq = max(1, math.ceil(n_queries / block_rows))
-    b = (base.withColumn("_bblk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-             .withColumn("_qblk", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-             .withColumn("_side", F.lit(1)))
-    q = (queries.withColumn("_qblk", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"))
-                .withColumn("_bblk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-                .withColumn("_side", F.lit(0)))
-    both = q.unionByName(b)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["_side"] == 0]
-        bs = pdf[pdf["_side"] == 1].sort_values("id", kind="stable")
-        if len(qs) == 0 or len(bs) == 0:
-            return pd.DataFrame({"id": pd.Series([], dtype=object), "nbr": pd.Series([], dtype=object),
-                                 "dist": pd.Series([], dtype=float)})
-        qa = np.vstack(qs["vec"].to_numpy()).astype(np.float64)
-        ba = np.vstack(bs["vec"].to_numpy()).astype(np.float64)
-        return _frame(qs["id"].to_numpy(), bs["id"].to_numpy(), *_select(qa, ba, k, exclude_same=False))
-
-    cand = both.groupBy("_qblk", "_bblk").applyInPandas(run, NEIGHBOUR_SCHEMA)
-    w = Window.partitionBy("id").orderBy(rank_key_col(F.col("dist")), "nbr")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """K nearest ``base`` rows for every ``queries`` row (two different sets, nothing excluded)."""
+    queries = cut_lineage(queries.select("id", "vec"))
+    asked = cut_lineage(distinct_points(queries, 1))
+    lists = _search(asked.select("id", "vec"), distinct_points(base.select("id", "vec"), k), k, block_rows)
+    return _ranked(_to_members(queries, asked, lists))

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.expr import col, numeric_columns
-from vigil.operators.knn import knn, rank_key_col, to_vectors
+from vigil.functions.quantiles import percentile, percentiles
+from vigil.operators.knn import CELL_ROWS, knn, rank_key_col, to_vectors
 from vigil.session import cut_lineage
 
 LRD_EPS = 1e-10
@@ -54,8 +55,9 @@ def log_skewed(df: DataFrame, cols: list[str], max_abs_skew: float = 1.0) -> Dat
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M4: exact median imputation (scalar subqueries, merged by Catalyst)."""
-    return df.select(*[F.coalesce(col(c), df.agg(F.median(col(c))).scalar()).alias(c) if c in cols
+    """M4: exact median imputation (all medians by one distributed selection)."""
+    medians = percentiles(df, {c: col(c) for c in cols}, [0.5])
+    return df.select(*[F.coalesce(col(c).cast("double"), F.lit(medians[c][0]).cast("double")).alias(c) if c in cols
                        else col(c) for c in df.columns])
 
 
@@ -102,8 +104,9 @@ def lof_from_neighbours(nbrs: DataFrame, k: int) -> DataFrame:
 
 
 def contamination_threshold(scores: DataFrame, contamination: float) -> Column:
-    """M9: threshold on −LOF at the linear ``100·c`` percentile (scalar subquery)."""
-    return scores.agg(F.percentile(-F.col("lof"), F.lit(contamination))).scalar()
+    """M9: threshold on −LOF at the linear ``100·c`` percentile, selected over
+    all scores (``scores`` should be cut: it is read a few times)."""
+    return F.lit(percentile(scores, -F.col("lof"), contamination)).cast("double")
 
 
 def below(x: Column, thr: Column) -> Column:
@@ -120,7 +123,7 @@ def label_outliers(scores: DataFrame, contamination: float) -> DataFrame:
 
 def dblof_scores(sessions: DataFrame, contamination: float = 0.10, k: int = 30,
                  id_cols=("user_id", "session_id"), feature_cols: list[str] | None = None,
-                 block_rows: int = 8192, checkpoint: bool = True) -> DataFrame:
+                 block_rows: int = CELL_ROWS, checkpoint: bool = True) -> DataFrame:
     """Session matrix → (user_id, session_id,
     lof_factor ±1, is_outlier, anomaly_score = LOF, local_density)."""
     feats = feature_cols or select_numeric(sessions, exclude=id_cols)
@@ -169,7 +172,7 @@ def insider_rate(sessions: DataFrame, insiders: DataFrame | None) -> Column | fl
 
 
 def ueba_scores(sessions: DataFrame, contamination: float | str = 0.02, k: int | None = None,
-                id_cols=("user_id", "session_id"), min_var: float = 0.01, block_rows: int = 8192) -> DataFrame:
+                id_cols=("user_id", "session_id"), min_var: float = 0.01, block_rows: int = CELL_ROWS) -> DataFrame:
     """Variant A (M1–M4, M6, M10, M11): numeric matrix → drop near-constant
     columns → log1p skewed columns → median imputation → scale → LOF with
     adaptive defaults → (user_id, session_id, lof_factor = −LOF, is_outlier,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.expr import round_doubles
 from vigil.operators.features import session_feature_matrix
+from vigil.session import cut_lineage
 from vigil.plans import sql_fragments as S
 from vigil.sources.tables import activity_events, user_dimension
 
@@ -72,7 +73,7 @@ def q_lof_embeddings(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     pts = to_vectors(emb, "vec_id", vector_col="embedding")
     n = emb.count()
-    sc = L.label_outliers(L.lof_from_neighbours(knn(pts, EMB_K, n=n), min(EMB_K, n - 1)), EMB_C)
+    sc = L.label_outliers(cut_lineage(L.lof_from_neighbours(cut_lineage(knn(pts, EMB_K, n=n)), min(EMB_K, n - 1))), EMB_C)
     out = (emb.select(F.col("vec_id").cast("string").alias("id"), "vec_id", "label")
               .join(sc, "id")
               .select("vec_id", "label", F.col("lof").alias("anomaly_score"), "lrd", "is_outlier",
@@ -94,7 +95,6 @@ def session_matrix(spark, sf_dir):
 
 def scored_sessions(spark, sf_dir):
     """(session matrix cut into the checkpoint folder, DBLOF scores over it)."""
-    from vigil.session import cut_lineage
     m = cut_lineage(session_matrix(spark, sf_dir))
     return m, L.dblof_scores(m, contamination=DBLOF_C, k=DBLOF_K, checkpoint=False)
 
@@ -142,7 +142,6 @@ def q_user_risk_summary(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     from vigil.operators.lof import standardize, insider_rate
-    from vigil.session import cut_lineage
     m = cut_lineage(session_matrix(spark, sf_dir))
     feats = L.select_numeric(m)
     key = F.concat_ws("\u0001", "user_id", "session_id")
@@ -410,7 +409,6 @@ def processed_events(spark, sf_dir):
     """Unified events written once to the checkpoint folder (the processed
     event table downstream jobs read), so multi-branch plans do not re-run
     the ETL per branch."""
-    from vigil.session import cut_lineage
     return cut_lineage(unified_events(spark, sf_dir))
 
 
@@ -659,7 +657,6 @@ def _q(c):
 
 
 def _matrix_ckpt(spark, sf_dir):
-    from vigil.session import cut_lineage
     return cut_lineage(session_matrix(spark, sf_dir))
 
 
@@ -771,6 +768,152 @@ def q_population_drift(spark, sf_dir):
     return round_doubles(BL.population_drift(drift(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- baselines as they run
+RUN_W = 25
+WIN25_CTE = WIN_CTE.replace(f"recency <= {BASE_W}", f"recency <= {RUN_W}")
+
+
+@register("baseline_window_w25", f"WITH {MAT_CTE}, {WIN25_CTE}\nSELECT user_id, session_id, CAST(recency AS INTEGER) AS recency FROM win")
+def q_baseline_window_w25(spark, sf_dir):
+    """L3 with a window that many users outgrow."""
+    return BL.last_w(session_matrix(spark, sf_dir), RUN_W).select("user_id", "session_id", F.col("recency").cast("int"))
+
+
+def _frames_sql() -> str:
+    cols = []
+    for i, c in enumerate(MF):
+        for name, frame in (("b", f"{RUN_W - 1} PRECEDING AND CURRENT ROW"), ("p", f"{RUN_W} PRECEDING AND 1 PRECEDING")):
+            cols.append(f"list(coalesce(CAST({_q(c)} AS DOUBLE), 0.0)) OVER (PARTITION BY user_id ORDER BY position "
+                        f"ROWS BETWEEN {frame}) AS {name}l{i}")
+    return ", ".join(cols)
+
+
+def _decayed_sql() -> str:
+    w = lambda e: f"list_sum(list_transform({e}, lambda v, i: v * pow(0.95, len({e}) - i))) / list_sum(list_transform({e}, lambda v, i: pow(0.95, len({e}) - i)))"
+    return ", ".join(f"{w(f'{n}l{i}')} AS {n}{i}" for i in range(len(MF)) for n in "bp")
+
+
+_RH = " + ".join(f"CASE WHEN {_q(c)} IS NOT NULL AND g.{_q('sd_' + c)} > 0 AND abs({_q(c)} - b{i}) / g.{_q('sd_' + c)} > 3.0 THEN 1 ELSE 0 END"
+                 for i, c in enumerate(MF))
+_RT = " + ".join(f"CASE WHEN {_q(c)} IS NOT NULL THEN 1 ELSE 0 END" for c in MF)
+_RU = " + ".join(f"CASE WHEN {_q(c)} IS NOT NULL AND g.{_q('sd_' + c)} > 0 THEN 1 ELSE 0 END" for c in MF)
+_RS = " + ".join(f"CASE WHEN {_q(c)} IS NOT NULL AND g.{_q('sd_' + c)} > 0 "
+                 f"THEN 1.0 / (1.0 + exp(2.0 - abs({_q(c)} - p{i}) / g.{_q('sd_' + c)})) ELSE 0.0 END" for i, c in enumerate(MF))
+RUN_CTE = f"""{MAT_CTE}, {STATS_CTE},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session_start ASC NULLS FIRST, session_id) AS position FROM mat),
+frames AS (SELECT *, {_frames_sql()} FROM ordered),
+run AS (SELECT *, {_decayed_sql()} FROM frames),
+hist AS (
+  SELECT user_id, session_id, session_start, position, least(position, {RUN_W}) AS window_size,
+         CASE WHEN position > 1 THEN {_RH} ELSE 0 END AS significant_deviations,
+         CASE WHEN position > 1 THEN {_RT} ELSE 0 END AS total_features,
+         CASE WHEN position > 1 AND ({_RU}) > 0 THEN ({_RS}) / ({_RU}) ELSE 0.5 END AS baseline_anomaly_score,
+         {", ".join(f"b{i}" for i in range(len(MF)))} FROM run CROSS JOIN gstats g),
+flags AS (SELECT *, significant_deviations / nullif(total_features, 0) AS drift_ratio,
+                 coalesce(significant_deviations / nullif(total_features, 0) > 0.3, false) AS drift_detected FROM hist),
+span AS (SELECT min(CAST(session_start AS DATE)) AS a, max(CAST(session_start AS DATE)) AS b, max(session_start) AS t_end FROM mat),
+cuts AS (SELECT v AS version, CAST(a + CAST((b - a) * v // 3 AS INTEGER) AS TIMESTAMP) AS t FROM span, (VALUES (1), (2)) x(v))"""
+
+
+def running(spark, sf_dir):
+    """(session matrix, features, running baselines, drift history, retraining times, last session start)."""
+    from datetime import datetime, timedelta
+    m = _matrix_ckpt(spark, sf_dir)
+    feats = BL.feature_columns(m)
+    run = cut_lineage(BL.running_baselines(m, feats, RUN_W))
+    first, last = m.agg(F.min("session_start"), F.max("session_start")).first()
+    days = (last.date() - first.date()).days
+    cuts = [datetime.combine(first.date(), datetime.min.time()) + timedelta(days=days * v // 3) for v in (1, 2)]
+    return m, feats, run, BL.drift_history(run, feats, BL.global_stats(m, feats)), cuts, last
+
+
+@register("drift_history", f"WITH {RUN_CTE}\nSELECT user_id, session_id, CAST(position AS BIGINT) AS position, CAST(window_size AS INTEGER) AS window_size, "
+          f"significant_deviations, total_features, {S.r6('drift_ratio')} AS drift_ratio, drift_detected, "
+          f"{S.r6('baseline_anomaly_score')} AS baseline_anomaly_score, " +
+          ", ".join(f"{S.r6(f'b{i}')} AS {_q('baseline_' + c)}" for i, c in enumerate(MF)) + " FROM flags")
+def q_drift_history(spark, sf_dir):
+    """L5, L6, L8 for every session: the baseline after it, the drift test, the score against the baseline before it."""
+    _, feats, _, hist, _, _ = running(spark, sf_dir)
+    return round_doubles(hist.select("user_id", "session_id", "position", "window_size", "significant_deviations", "total_features",
+                                     "drift_ratio", "drift_detected", "baseline_anomaly_score",
+                                     *[F.col("baseline")[i].alias(f"baseline_{c}") for i, c in enumerate(feats)]))
+
+
+STATE_CTE = f"""{RUN_CTE},
+state AS (SELECT user_id, count(*) AS activity_count, max(window_size) AS window_size, max(session_start) AS last_updated,
+                 max(CASE WHEN drift_detected AND session_start > (SELECT max(t) FROM cuts) THEN 1 ELSE 0 END) = 1 AS drift_detected
+          FROM flags GROUP BY user_id)"""
+
+
+@register("user_drift_state", f"""WITH {STATE_CTE}
+SELECT user_id, activity_count, CAST(window_size AS INTEGER) AS window_size, last_updated, drift_detected FROM state""")
+def q_user_drift_state(spark, sf_dir):
+    """L6 + L10: every user's flag since the last retraining."""
+    _, _, _, hist, cuts, last = running(spark, sf_dir)
+    return BL.user_drift_state(hist, cuts, last)
+
+
+@register("baseline_statistics", f"""WITH {STATE_CTE}
+SELECT count(*) AS total_users, count(*) FILTER (WHERE drift_detected) AS drift_detected_users, CAST(2 AS BIGINT) AS retraining_count,
+       {S.r6('avg(window_size)')} AS avg_window_size,
+       CAST(max(floor(date_diff('second', last_updated, (SELECT t_end FROM span)) / 86400)) AS BIGINT) AS oldest_profile_age,
+       count(*) FILTER (WHERE drift_detected) / count(*) > 0.2 AS retrain_recommended
+FROM state""")
+def q_baseline_statistics(spark, sf_dir):
+    """L9 + L11 over the flags of all sessions."""
+    _, _, _, hist, cuts, last = running(spark, sf_dir)
+    return round_doubles(BL.statistics(BL.user_drift_state(hist, cuts, last), cuts, last))
+
+
+_VERSIONS_SQL = f"""wins AS (
+  SELECT * FROM (SELECT c.version, c.t AS valid_from, m.*, row_number() OVER (PARTITION BY c.version, m.user_id
+                        ORDER BY m.session_start DESC NULLS LAST, m.session_id DESC) AS recency
+                 FROM mat m JOIN cuts c ON m.session_start <= c.t OR m.session_start IS NULL) WHERE recency <= {RUN_W}),
+versions AS (SELECT version, valid_from, user_id, count(*) AS activity_count, """ + ", ".join(
+    f"avg(CAST({_q(c)} AS DOUBLE)) AS {_q(c)}" for c in MF) + " FROM wins GROUP BY version, valid_from, user_id)"
+
+
+@register("profile_versions", f"WITH {RUN_CTE}, {_VERSIONS_SQL}\nSELECT version, valid_from, user_id, activity_count, " +
+          ", ".join(f"{S.r6(_q(c))} AS {_q(c)}" for c in MF) + " FROM versions")
+def q_profile_versions(spark, sf_dir):
+    """The profiles that each retraining refits, from the windows as they stood then."""
+    m, feats, _, _, cuts, _ = running(spark, sf_dir)
+    return round_doubles(BL.profile_versions(m, feats, cuts, RUN_W)[0])
+
+
+@register("retrain_versions", f"WITH {RUN_CTE}, {_VERSIONS_SQL}\nSELECT version, valid_from AS retrained_at, count(*) AS samples_used, "
+          "count(DISTINCT user_id) AS users_affected FROM wins GROUP BY version, valid_from")
+def q_retrain_versions(spark, sf_dir):
+    """One history row per retraining."""
+    m, feats, _, _, cuts, _ = running(spark, sf_dir)
+    return BL.profile_versions(m, feats, cuts, RUN_W)[2]
+
+
+@register("baseline_at", f"""WITH {RUN_CTE}, {_VERSIONS_SQL},
+asked AS (SELECT DISTINCT user_id, CAST(CAST(session_start AS DATE) + CAST(d AS INTEGER) AS TIMESTAMP) + INTERVAL 12 HOUR AS "at"
+          FROM mat, (VALUES (-1), (0), (20)) x(d) WHERE session_start IS NOT NULL),
+events AS (
+  SELECT user_id, session_start AS t, 0 AS kind, position AS o, NULL AS version, [{", ".join(f"b{i}" for i in range(len(MF)))}] AS b FROM flags
+  WHERE session_start IS NOT NULL
+  UNION ALL SELECT user_id, valid_from, 1, 0, version, [{", ".join(_q(c) for c in MF)}] FROM versions),
+found AS (
+  SELECT a.user_id, a."at", e.version, e.t, e.b, row_number() OVER (PARTITION BY a.user_id, a."at" ORDER BY e.t DESC, e.kind DESC, e.o DESC) AS rn
+  FROM asked a LEFT JOIN events e ON e.user_id = a.user_id AND e.t <= a."at")
+SELECT user_id, "at", version, t AS valid_from, """ + ", ".join(f"{S.r6(f'b[{i + 1}]')} AS {_q('baseline_' + c)}" for i, c in enumerate(MF)) +
+          " FROM found WHERE rn = 1")
+def q_baseline_at(spark, sf_dir):
+    """The baseline valid at noon of the day before, the day of, and 20 days after every session."""
+    m, feats, run, _, cuts, _ = running(spark, sf_dir)
+    day = F.to_date("session_start")
+    noon = F.explode(F.array(*[F.date_add(day, d) for d in (-1, 0, 20)])).alias("day")
+    kind = m.schema["session_start"].dataType
+    asked = (m.where(F.col("session_start").isNotNull()).select("user_id", noon).distinct()
+              .select("user_id", (F.col("day").cast(kind) + F.expr("INTERVAL 12 HOURS")).alias("at")))
+    out = BL.baseline_at(asked, run, BL.profile_versions(m, feats, cuts, RUN_W)[0], feats)
+    return round_doubles(out.select("user_id", "at", "version", "valid_from",
+                                    *[F.col("baseline")[i].alias(f"baseline_{c}") for i, c in enumerate(feats)]))
+
+
 # ---------------------------------------------------------------- scans, explanations, fairness, feedback, tiers
 from vigil.operators import explain as XAI, fairness as FAIR, feedback as FB, scan as SCAN, tiers as TIER  # noqa: E402
 

@@ -20,7 +20,7 @@ def rk(x: str) -> str:
     from vigil.operators.knn import RANK_LADDER
     arms = []
     for bound, g in RANK_LADDER:
-        val = f"floor(({x}) * {1.0 / g!r} + 0.5)" if g < 1 else f"floor(({x}) / {g!r} + 0.5)"
+        val = f"floor(({x}) * {1.0 / g!r} + 0.5) / {1.0 / g!r}" if g < 1 else f"floor(({x}) / {g!r} + 0.5) * {g!r}"
         arms.append(f"WHEN abs({x}) < {bound!r} THEN CAST({val} AS DOUBLE)")
     return f"(CASE {' '.join(arms)} ELSE CAST({x} AS DOUBLE) END)"
 
