@@ -85,17 +85,10 @@ def _narrowed(values: DataFrame, names: list[str], ranks: list[_Rank], accuracy:
     return left, settled
 
 
-def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float], accuracy: int = ACCURACY,
-                max_inside: int = MAX_INSIDE) -> dict[str, list[float | None]]:
-    """Linear percentiles of every column, exact, nulls left out; None for a column without values.
-
-    ``df`` is read a few times: hand it over cut or persisted where it is costly.
-    """
-    names = [f"v{i}" for i in range(len(columns))]
-    values = df.select(*[c.cast("double").alias(n) for n, c in zip(names, columns.values())])
-    sizes = list(values.agg(*[F.count(n).alias(n) for n in names]).first())
-    ends = lambda s, n: (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))
-    todo = [_Rank(i, rank, rank, n) for i, n in enumerate(sizes) if n for rank in sorted({e for s in shares for e in ends(s, n)})]
+def _select(values: DataFrame, names: list[str], sizes: list[int], ranks: list[set[int]], accuracy: int,
+            max_inside: int) -> dict[tuple[int, int], float]:
+    """(column, rank) -> value for the asked ranks (from 0) of every column."""
+    todo = [_Rank(i, rank, rank, n) for i, (n, asked) in enumerate(zip(sizes, ranks)) for rank in sorted(asked)]
     found: dict[tuple[int, int], float] = {}
     while todo:
         small = [r for r in todo if r.n <= max_inside]
@@ -106,6 +99,33 @@ def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float],
         if todo:
             todo, settled = _narrowed(values, names, todo, accuracy)
             found.update({(r.column, r.asked): float(x) for r, x in settled})
+    return found
+
+
+def _sized(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, list[str], list[int]]:
+    names = [f"v{i}" for i in range(len(columns))]
+    values = df.select(*[c.cast("double").alias(n) for n, c in zip(names, columns.values())])
+    return values, names, list(values.agg(*[F.count(n).alias(n) for n in names]).first())
+
+
+def smallest(df: DataFrame, columns: dict[str, Column], share: float, accuracy: int = ACCURACY,
+             max_inside: int = MAX_INSIDE) -> dict[str, tuple[int, float | None]]:
+    """For every column, how many of its values make up ``share`` (rounded) and the largest of these smallest values."""
+    values, names, sizes = _sized(df, columns)
+    counts = [math.floor(share * n + 0.5) for n in sizes]
+    found = _select(values, names, sizes, [{m - 1} if m else set() for m in counts], accuracy, max_inside)
+    return {name: (m, found.get((i, m - 1))) for i, (name, m) in enumerate(zip(columns, counts))}
+
+
+def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float], accuracy: int = ACCURACY,
+                max_inside: int = MAX_INSIDE) -> dict[str, list[float | None]]:
+    """Linear percentiles of every column, exact, nulls left out; None for a column without values.
+
+    ``df`` is read a few times: hand it over cut or persisted where it is costly.
+    """
+    values, names, sizes = _sized(df, columns)
+    ends = lambda s, n: (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))
+    found = _select(values, names, sizes, [{e for s in shares for e in ends(s, n)} if n else set() for n in sizes], accuracy, max_inside)
 
     def linear(i: int, share: float) -> float:
         low, high = ends(share, sizes[i])

@@ -172,6 +172,17 @@ def before_after(df: DataFrame, final_col: str | None = None) -> DataFrame:
     return _rates(counts.select(rows.alias("r")).select("r.*"))
 
 
+def improvement(stages: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of ``before_after`` side by side with their difference in percentage points,
+    one row per metric (metric, original, final, improvement_pp)."""
+    names = ["precision", "recall", "f1_score"]
+    at = lambda c, stage: F.max(F.when(F.col("stage") == stage, F.col(c)))
+    wide = stages.agg(*[at(c, s).alias(f"{s}_{c}") for c in names for s in ("original", "final")])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"original_{c}").alias("original"),
+                                        F.col(f"final_{c}").alias("final")) for c in names]))
+    return wide.select(rows.alias("r")).select("r.*", ((F.col("r.final") - F.col("r.original")) * 100.0).alias("improvement_pp"))
+
+
 def _rates(m: DataFrame) -> DataFrame:
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.quantiles import percentile
+from vigil.functions.quantiles import percentile, smallest
 from vigil.operators.knn import to_vectors
 from vigil.operators.lof import below, select_numeric, standardize
 from vigil.session import cut_lineage
@@ -163,11 +163,27 @@ def ensemble_agreement(merged: DataFrame, iso: DataFrame) -> DataFrame:
     return m.withColumn("ensemble_outlier", F.col(cur) & F.coalesce("iso_outlier", F.lit(False)))
 
 
+def stratified_split(df: DataFrame, label_col: str, labels: list, id_cols: list[str], train_share: float, seed: int = 42,
+                     name: str = "train") -> DataFrame:
+    """``df`` with a boolean ``name`` that holds for ``train_share`` of each label (to the nearest row), whatever the partitions.
+
+    Rows are ranked by a hash of their ids; the hash at each label's cut is found by a distributed selection, so no label is
+    gathered in one task.  The hash keeps 52 bits: rows of one label that share it fall on one side together."""
+    h = F.shiftrightunsigned(F.xxhash64(*id_cols, F.lit(seed)), 12).cast("double")
+    cuts = smallest(df, {str(i): F.when(F.col(label_col) == label, h) for i, label in enumerate(labels)}, train_share)
+    train = F.lit(False)
+    for i, label in enumerate(labels):
+        cut = cuts[str(i)][1]
+        if cut is not None:
+            train = train | ((F.col(label_col) == label) & (h <= F.lit(cut)))
+    return df.withColumn(name, F.coalesce(train, F.lit(False)))
+
+
 def supervised_rescoring(merged: DataFrame, feature_cols: list[str], test_share: float = 0.3,
                          n_trees: int = 100, max_depth: int = 10, prob_threshold: float = 0.3,
                          seed: int = 42):
     """Class-balanced random forest on features + anomaly_score; stratified
-    hash split; probability ≥ threshold flags ``supervised_outlier`` on all rows.
+    split; probability ≥ threshold flags ``supervised_outlier`` on all rows.
     Returns (scored frame, test metrics frame, feature importances frame)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -179,14 +195,13 @@ def supervised_rescoring(merged: DataFrame, feature_cols: list[str], test_share:
     x = merged
     for c in cols:
         x = x.withColumn(c, F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)))
-    counts = x.groupBy("true_label").count()
-    total = x.count()
-    n_classes = counts.count()
-    weights = counts.select("true_label", (F.lit(float(total)) / (F.lit(float(n_classes)) * F.col("count")))
-                            .alias("_w"))
-    x = x.join(F.broadcast(weights), "true_label", "left")   # ≤ 2 rows
-    split = F.pmod(F.xxhash64("user_id", "session_id", F.lit(seed)), F.lit(1000)) < F.lit(int((1 - test_share) * 1000))
-    x = x.withColumn("_train", split)
+    x = cut_lineage(x)
+    counts = {r["true_label"]: r["count"] for r in x.groupBy("true_label").count().collect()}    # two labels
+    weight = F.lit(None).cast("double")
+    for label, n in counts.items():
+        weight = F.when(F.col("true_label") == label, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
+    x = x.withColumn("_w", weight)
+    x = stratified_split(x, "true_label", list(counts), ["user_id", "session_id"], 1 - test_share, seed, "_train")
     safe = {c: f"f{i}" for i, c in enumerate(cols)}
     xv = VectorAssembler(inputCols=[safe[c] for c in cols], outputCol="_fv").transform(
         x.select("*", *[F.col(f"`{c}`").alias(safe[c]) for c in cols]))

@@ -31,18 +31,25 @@ def quality_report(raw: DataFrame, file_type: str, date_col: str | None = "date"
                    checks=("missing", "duplicates", "timestamp")) -> DataFrame:
     """Q1–Q4 as one row: missing (all columns < 10 %), exact duplicates
     (copies beyond the first, < 5 %), parseable timestamps (≥ 95 %), and the
-    overall score = passed / run × 100."""
-    n = F.count(F.lit(1))
+    overall score = passed / run × 100.
+
+    One scan: rows become a 128-bit hash with a mask of their nulls, equal
+    rows are counted together (before the shuffle too), and all checks are
+    sums over those counts.
+    """
     cols = raw.columns
-    aggs = [n.alias("total_records")]
-    aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m_{i}") for i, c in enumerate(cols)]
+    names = [F.col(f"`{c}`") for c in cols]
+    # Nulls take part in the hash by their mask; the copies of a row share all four fields.
+    mask = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in names]).alias("_mask")
+    valid = parse_timestamp(F.col(date_col)).isNotNull() if date_col and "timestamp" in checks else F.lit(False)
+    rows = raw.select(F.xxhash64(*names).alias("_h1"), F.xxhash64(F.lit(1), *names).alias("_h2"), mask, valid.alias("_valid"))
+    copies = rows.groupBy("_h1", "_h2", "_mask", "_valid").agg(F.count(F.lit(1)).alias("_n"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    aggs = [total("_n").alias("total_records")]
+    aggs += [total(F.when(F.substring("_mask", i + 1, 1) == "1", F.col("_n"))).alias(f"_m_{i}") for i in range(len(cols))]
     if date_col and "timestamp" in checks:
-        aggs.append(F.count_if(parse_timestamp(F.col(date_col)).isNotNull()).alias("valid_timestamps"))
-    base = raw.agg(*aggs)
-    # Duplicates: group on every column (null-safe), count copies beyond the first.
-    dups = (raw.groupBy(*[F.col(f"`{c}`") for c in cols]).count()
-               .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_count")))
-    r = base.select("*", dups.scalar().alias("duplicate_count"))
+        aggs.append(total(F.when(F.col("_valid"), F.col("_n"))).alias("valid_timestamps"))
+    r = copies.agg(*aggs, total(F.col("_n") - 1).alias("duplicate_count"))
     def pct(c):
         return F.try_divide(c * 100.0, F.col("total_records"))
     max_missing = F.greatest(*[pct(F.col(f"_m_{i}")) for i in range(len(cols))]) \
@@ -83,22 +90,40 @@ def add_quality_flags(df: DataFrame, quality_score: Column) -> DataFrame:
 
 def drop_duplicates(df: DataFrame, keys=("user_id", "pc_id", "timestamp", "activity_type"),
                     order_col: str = "event_id") -> DataFrame:
-    """Q7: exact duplicates, then keep the first row per key (nulls equal),
-    first = smallest ``order_col`` (deterministic)."""
-    d = df.dropDuplicates()
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
-    return d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Q7: the first row per key (nulls equal; exact duplicates share their key), first = smallest
+    ``order_col``, then a hash of the row.  Spark keeps one row per key and task before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def forward_fill(df: DataFrame, columns: list[str], key: str, ts_col: str = "timestamp", id_col: str = "event_id") -> DataFrame:
+    """Q8: every null of ``columns`` takes the last value before it in its key's rows by (time, id), null times last.
+
+    A segment scan: rows are filled inside (key, hour), the last value of each hour is one row, and those are
+    carried over the hours; no window holds all rows of a key.  Rows without a time go by the start of their id.
+    """
+    hour = F.date_trunc("hour", F.col(ts_col)).cast("timestamp_ntz")
+    part = F.struct(hour.isNull().alias("late"), F.coalesce(hour, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("hour"),
+                    F.when(hour.isNull(), F.substring(F.col(id_col), 1, 3)).otherwise("").alias("head"))
+    order = [F.col(ts_col).asc_nulls_last(), F.col(id_col)]
+    upto = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_part", part)
+    # The last value of a part: the greatest (time, id) among its rows with a value.
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(ts_col), F.col(id_col)))
+    last = rows.groupBy(key, "_part").agg(*[F.max_by(F.col(c), at(c)).alias(f"_l_{c}") for c in columns])
+    carried = last.select(F.col(key).alias("_key"), F.col("_part").alias("_p"),
+                          *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in columns])
+    out = rows.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+    for c in columns:
+        out = out.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_c_{c}")))
+    return out.select(*df.columns)
 
 
 def fill_missing(df: DataFrame, ffill_key: str | None = None, ts_col: str = "timestamp") -> DataFrame:
     """Q8: "Unknown" for three categoricals, 0 for two numerics, "" for four
     texts; forward fill of user/pc only within a caller-given key."""
-    out = df
-    if ffill_key:
-        w = (Window.partitionBy(ffill_key).orderBy(F.col(ts_col).asc_nulls_last(), "event_id")
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        for c in ("user_id", "pc_id"):
-            out = out.withColumn(c, F.last(c, ignorenulls=True).over(w))
+    out = forward_fill(df, [c for c in ("user_id", "pc_id") if c != ffill_key], ffill_key, ts_col) if ffill_key else df
     fills = {"activity_type": "Unknown", "activity_subtype": "Unknown", "source_file": "Unknown",
              "email_size": 0, "email_attachments": 0,
              "email_content": "", "file_name": "", "url": "", "validation_errors": ""}
@@ -144,8 +169,31 @@ def activity_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy("activity_type").agg(F.count(F.lit(1)).alias("count"))
 
 
+def dataset_schema(df: DataFrame) -> DataFrame:
+    """One row per column of a processed dataset: place, name, type."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, data_type string")
+
+
+def describe_dataset(df: DataFrame) -> DataFrame:
+    """The description written next to a processed dataset, nested as its JSON: records, columns, types, dates,
+    and quality with the records of every activity type."""
+    kinds = F.map_from_entries(F.sort_array(F.collect_list(F.struct("activity_type", "n"))))
+    per_type = df.where(F.col("activity_type").isNotNull()).groupBy("activity_type").agg(F.count(F.lit(1)).alias("n")).agg(kinds.alias("k"))
+    n = F.count(F.lit(1))
+    columns = [f.name for f in df.schema.fields]
+    types = [x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))]
+    return df.agg(
+        n.alias("total_records"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.create_map(*types).alias("data_types"),
+        F.struct(F.min("timestamp").alias("start"), F.max("timestamp").alias("end")).alias("date_range"),
+        F.avg("data_quality_score").alias("_q"), F.try_divide(F.count_if("is_valid") * 100.0, n).alias("_v")).select(
+        "total_records", "columns", "data_types", "date_range",
+        F.struct(F.col("_q").alias("avg_quality_score"), F.col("_v").alias("valid_records_percentage"),
+                 per_type.scalar().alias("records_by_activity_type")).alias("quality_metrics"))
+
+
 def dataset_description(df: DataFrame, types=ACTIVITY_TYPES) -> DataFrame:
-    """The description written next to a processed dataset, as one row."""
+    """S7 as one flat row: counts of the fixed activity types."""
     aggs = [F.count(F.lit(1)).alias("total_records"), F.lit(len(df.columns)).alias("n_columns"),
             F.min("timestamp").alias("date_start"), F.max("timestamp").alias("date_end"),
             F.avg("data_quality_score").alias("avg_quality_score"),

@@ -267,30 +267,37 @@ def q_run_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- forests (INV: no oracle)
 from vigil.operators import forest as FOREST  # noqa: E402
+from vigil.plans import runs as RUNS  # noqa: E402
 
 
 @register("isolation_forest_flags")
 def q_isolation_forest_flags(spark, sf_dir):
-    m, _ = scored_sessions(spark, sf_dir)
+    m = cut_lineage(session_matrix(spark, sf_dir))
     return round_doubles(FOREST.isolation_forest_flags(m, contamination=0.10))
 
 
-def fp_full(spark, sf_dir):
-    """Threshold → context → ensemble (M18) → supervised (M19) → metrics."""
+def fp_run(spark, sf_dir, **switches):
+    """E9 with its switches over one matrix and one set of scores."""
     m, sc = scored_sessions(spark, sf_dir)
-    merged = EVAL.with_labels(sc, m, insider_users(spark, sf_dir))
-    staged = EVAL.context_filter(EVAL.score_threshold(merged, 80))
-    iso = FOREST.isolation_forest_flags(m, contamination=0.10)
-    staged = FOREST.ensemble_agreement(staged, iso)
-    feats = L.select_numeric(m)
-    scored, test_metrics, importances = FOREST.supervised_rescoring(staged, feats)
-    return scored, test_metrics, importances
+    return RUNS.reduce_false_positives(cut_lineage(sc), m, insider_users(spark, sf_dir), **switches)
 
 
 @register("fp_full_pipeline")
 def q_fp_full_pipeline(spark, sf_dir):
-    scored, _, _ = fp_full(spark, sf_dir)
-    return round_doubles(EVAL.before_after(scored))
+    return round_doubles(fp_run(spark, sf_dir).metrics)
+
+
+@register("fp_improvement", f"""WITH {FP_CTE},
+met AS ({_metrics_sql('original', 'is_outlier')} UNION ALL {_metrics_sql('final', 'context_filtered_outlier')}),
+wide AS (SELECT a.precision AS p0, b.precision AS p1, a.recall AS r0, b.recall AS r1, a.f1_score AS f0, b.f1_score AS f1
+         FROM met a, met b WHERE a.stage = 'original' AND b.stage = 'final')
+SELECT 'precision' AS metric, p0 AS original, p1 AS final, {r6('(p1 - p0) * 100.0')} AS improvement_pp FROM wide
+UNION ALL SELECT 'recall', r0, r1, {r6('(r1 - r0) * 100.0')} FROM wide
+UNION ALL SELECT 'f1_score', f0, f1, {r6('(f1 - f0) * 100.0')} FROM wide""")
+def q_fp_improvement(spark, sf_dir):
+    """E8 + E9 without the two randomised stages: the difference in percentage points."""
+    rows = round_doubles(fp_run(spark, sf_dir, use_ensemble=False, use_supervised=False).metrics)
+    return round_doubles(EVAL.improvement(rows))
 
 
 # ---------------------------------------------------------------- ETL
@@ -375,6 +382,21 @@ def q_dataset_description(spark, sf_dir):
     return round_doubles(QUAL.dataset_description(unified_events(spark, sf_dir)))
 
 
+@register("etl_forward_fill", SE.ETL_CTE + """,
+gaps AS (SELECT event_id, user_id, "timestamp", CASE WHEN activity_type IN ('http', 'file') THEN NULL ELSE pc_id END AS pc_id,
+                CASE WHEN activity_type = 'logon' THEN activity_subtype END AS activity_subtype FROM unified)
+SELECT event_id, user_id, "timestamp",
+       last_value(pc_id IGNORE NULLS) OVER w AS pc_id, last_value(activity_subtype IGNORE NULLS) OVER w AS activity_subtype
+FROM gaps WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp" NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_etl_forward_fill(spark, sf_dir):
+    """Q8: the machine and the last logon kind of a user, carried to the events that do not say."""
+    kind = F.col("activity_type")
+    gaps = unified_events(spark, sf_dir).select(
+        "event_id", "user_id", "timestamp", F.when(~kind.isin("http", "file"), F.col("pc_id")).alias("pc_id"),
+        F.when(kind == "logon", F.col("activity_subtype")).alias("activity_subtype"))
+    return QUAL.forward_fill(gaps, ["pc_id", "activity_subtype"], "user_id")
+
+
 def _dates_sql(table: str, key: str, text: str) -> str:
     return rf"""
 WITH m AS (SELECT {key}, list_concat(regexp_extract_all({text}, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}'),
@@ -496,8 +518,8 @@ def q_user_context(spark, sf_dir):
     return C.user_context(users, user_dimension(spark, sf_dir))
 
 
-def intent_report(spark, sf_dir):
-    m, sc = scored_sessions(spark, sf_dir)
+def intent_report(spark, sf_dir, scored=None):
+    m, sc = scored or scored_sessions(spark, sf_dir)
     flagged = (sc.where(F.col("is_outlier")).select("user_id", "session_id")
                  .join(m.select("user_id", "session_id", "session_start"), ["user_id", "session_id"], "left"))
     ctx = C.user_context(flagged, user_dimension(spark, sf_dir))
@@ -1065,13 +1087,38 @@ def q_feature_variance(spark, sf_dir):
     return round_doubles(out)
 
 
-@register("ueba_scores")
+def _ueba_sql(contamination: float) -> str:
+    """Variant A in SQL: near-constant columns become 0 (as good as dropped), skewed ones log1p, gaps the median."""
+    n = range(len(MF))
+    x = [f"CAST({_q(c)} AS DOUBLE)" for c in MF]
+    point = ", ".join(f"CASE WHEN v{i} > 0.01 THEN (coalesce(x{i}, m{i}) - a{i}) / CASE WHEN s{i} = 0 THEN 1.0 ELSE s{i} END ELSE 0.0 END" for i in n)
+    pts = f"""mat AS ({S.matrix_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, rounded=False)}),
+spr AS (SELECT {", ".join(f"var_pop({x[i]}) AS v{i}, skewness({x[i]}) AS g{i}" for i in n)} FROM mat),
+lg AS (SELECT user_id, session_id, {", ".join(f"CASE WHEN abs(g{i}) > 1.0 THEN CASE WHEN {x[i]} > -1 THEN ln(1 + {x[i]}) END ELSE {x[i]} END AS x{i}" for i in n)}
+       FROM mat CROSS JOIN spr),
+med AS (SELECT {", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in n)} FROM lg),
+mom AS (SELECT {", ".join(f"avg(coalesce(x{i}, m{i})) AS a{i}, stddev_pop(coalesce(x{i}, m{i})) AS s{i}" for i in n)} FROM lg CROSS JOIN med),
+pts AS (SELECT user_id || chr(1) || session_id AS id, [{point}] AS v FROM lg CROSS JOIN med CROSS JOIN mom CROSS JOIN spr)"""
+    k = "(SELECT CAST(floor(least(greatest(sqrt(count(*)), 5), 50)) AS BIGINT) FROM mat)"
+    return f"""{S.knn_lof_sql(pts, k, contamination)},
+ueba AS (
+  SELECT m.user_id, m.session_id, -s.lof AS lof_factor, s.is_outlier,
+         100.0 * ((SELECT max(-lof) FROM scored) + s.lof) / nullif((SELECT max(-lof) - min(-lof) FROM scored), 0) AS anomaly_score
+  FROM scored s JOIN mat m ON m.user_id || chr(1) || m.session_id = s.id)"""
+
+
+@register("ueba_scores", f"""WITH {_ueba_sql(0.02)}
+SELECT user_id, session_id, {S.r6('lof_factor')} AS lof_factor, is_outlier, {S.r6('anomaly_score')} AS anomaly_score FROM ueba""")
 def q_ueba_scores(spark, sf_dir):
     """Variant A scoring (contamination .02 as in the analytics runner)."""
     return round_doubles(L.ueba_scores(session_matrix(spark, sf_dir), contamination=0.02))
 
 
-@register("ueba_user_risk")
+@register("ueba_user_risk", f"""WITH {_ueba_sql(0.02)}
+SELECT user_id, count(session_id) AS total_sessions, CAST(sum(CAST(is_outlier AS INT)) AS BIGINT) AS outlier_sessions,
+       {S.r6('avg(anomaly_score)')} AS avg_anomaly_score, {S.r6('max(anomaly_score)')} AS max_anomaly_score,
+       {S.r6('sum(CAST(is_outlier AS INT)) / count(session_id)')} AS outlier_rate
+FROM ueba GROUP BY user_id""")
 def q_ueba_user_risk(spark, sf_dir):
     """M17 variant A over the 0–100 scores."""
     return round_doubles(EVAL.user_risk_summary(L.ueba_scores(session_matrix(spark, sf_dir), 0.02),
@@ -1124,12 +1171,32 @@ def q_retrain_history(spark, sf_dir):
     return history
 
 
-@register("composite_risk")
+def _scored_once(spark, sf_dir):
+    m, sc = scored_sessions(spark, sf_dir)
+    return m, cut_lineage(sc)
+
+
+_WEIGHT = TIER.COMPOSITE_WEIGHTS
+_TIER_SQL = "CASE WHEN composite > 0.7 THEN 'high' WHEN composite > 0.4 THEN 'medium' ELSE 'low' END"
+ALERT_CTE = f"""WITH {DBLOF_CTE}, {GRAPH_SQL},
+ends AS (SELECT max(anomaly_score) AS hi, min(anomaly_score) AS lo FROM dblof),
+rep AS ({INTENT_SQL}),
+parts AS (
+  SELECT d.user_id, d.session_id, (d.anomaly_score - lo) / nullif(hi - lo, 0) AS score_0_1, rep.intent_score, cdp.overall_risk_score AS graph_risk,
+         rep.user_id IS NOT NULL AS reported
+  FROM dblof d CROSS JOIN ends LEFT JOIN rep ON rep.user_id = d.user_id AND rep.session_id = d.session_id
+  LEFT JOIN cdp ON cdp.user_id = d.user_id),
+comp AS (SELECT *, coalesce(score_0_1, 0.0) * {_WEIGHT['score']} + (1.0 - coalesce(intent_score, 1.0)) * {_WEIGHT['intent']}
+                + coalesce(graph_risk, 0.0) * {_WEIGHT['graph']} AS composite FROM parts)"""
+
+
+@register("composite_risk", f"""{ALERT_CTE}
+SELECT user_id, session_id, {S.r6('composite')} AS composite_risk, {_TIER_SQL} AS risk_tier FROM comp WHERE reported""")
 def q_composite_risk(spark, sf_dir):
     """R-2 (composite weights are ours, the reference leaves it undefined):
-    normalised DBLOF score, intent and graph risk → composite and tier."""
-    rep = intent_report(spark, sf_dir)
-    _, sc = scored_sessions(spark, sf_dir)
+    normalised DBLOF score, intent and graph risk → composite and tier of the flagged sessions."""
+    m, sc = _scored_once(spark, sf_dir)
+    rep = intent_report(spark, sf_dir, (m, sc))
     norm = L.lof_scores_0_100(sc.select("user_id", "session_id", F.col("anomaly_score").alias("lof")))
     out = rep.join(norm.select("user_id", "session_id", (F.col("score_0_100") / 100.0).alias("score_0_1")),
                    ["user_id", "session_id"], "left")
@@ -1138,6 +1205,32 @@ def q_composite_risk(spark, sf_dir):
                             .withColumn("risk_tier", TIER.risk_tier(F.col("composite_risk"))))
 
 
+@register("integrated_alerts", f"""{ALERT_CTE}
+SELECT user_id, session_id, {S.r6('score_0_1')} AS score_0_1, {S.r6('intent_score')} AS intent_score, {S.r6('graph_risk')} AS graph_risk_score,
+       {S.r6('composite')} AS composite_risk, {_TIER_SQL} AS risk_tier FROM comp""")
+def q_integrated_alerts(spark, sf_dir):
+    """R-2 with both stages on: every scored session, by composite risk."""
+    scored = _scored_once(spark, sf_dir)
+    events = processed_events(spark, sf_dir)
+
+    def graph():
+        *_, edges, verts = threat_graph(spark, sf_dir, events)
+        return G.cross_domain_patterns(verts, edges)
+
+    return round_doubles(RUNS.integrated(scored[1], lambda: intent_report(spark, sf_dir, scored), graph, True, True))
+
+
+@register("integrated_alerts_plain", f"""WITH {DBLOF_CTE},
+ends AS (SELECT max(anomaly_score) AS hi, min(anomaly_score) AS lo FROM dblof),
+comp AS (SELECT user_id, session_id, (anomaly_score - lo) / nullif(hi - lo, 0) AS score_0_1,
+                coalesce((anomaly_score - lo) / nullif(hi - lo, 0), 0.0) * {_WEIGHT['score']} AS composite FROM dblof CROSS JOIN ends)
+SELECT user_id, session_id, {S.r6('score_0_1')} AS score_0_1, CAST(NULL AS DOUBLE) AS intent_score, CAST(NULL AS DOUBLE) AS graph_risk_score,
+       {S.r6('composite')} AS composite_risk, {_TIER_SQL} AS risk_tier FROM comp""")
+def q_integrated_alerts_plain(spark, sf_dir):
+    """R-2 with both stages off: neither is planned."""
+    return round_doubles(RUNS.integrated(_scored_once(spark, sf_dir)[1]))
+
+
 @register("adaptive_drift")
 def q_adaptive_drift(spark, sf_dir):
     """Adaptive-window drift per user over the last-W sessions (rows-only:

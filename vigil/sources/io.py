@@ -5,7 +5,7 @@
 * S3 / S8 Kafka: option builders and value encoding (the connector jar is
   not on this machine, so only the DataFrame side is exercised here).
 * S4 watched directory as a file stream source.
-* S5 / S6 writers, S7 description (``quality.dataset_description``),
+* S5 / S6 writers, the ordered sink of N10, S7 description (``quality.describe_dataset``),
   S9 destinations, S10 knowledge-base persistence, S11 profile export.
 """
 
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.quality import describe_dataset
 from vigil.schema import RAW_COLUMNS, RAW_FILES, UNIFIED_SCHEMA
+from vigil.session import cut_lineage
 
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt"
 
@@ -76,7 +78,26 @@ def write_events_by_day(df: DataFrame, path: str) -> None:
     write_table(df.withColumn("event_date", F.to_date("timestamp")), path, partition_by=["event_date"])
 
 
+def write_ordered(df: DataFrame, path: str, by: tuple[str, ...] = ("timestamp", "event_id"), fmt: str = "parquet",
+                  files: int | None = None) -> None:
+    """N10 sink: files that are in order when read by name: rows by ``by``, nulls last.
+
+    Range partitions over all of ``by`` (a time that many rows share is split by the next column), each sorted."""
+    order = [F.col(c).asc_nulls_last() for c in by]
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    write_table(dealt.sortWithinPartitions(*order), path, fmt)
+
+
+def save_processed(df: DataFrame, base_path: str, by: tuple[str, ...] = ("timestamp", "event_id")) -> None:
+    """The processed dataset as ordered CSV and Parquet, and its description as JSON next to them."""
+    df = cut_lineage(df)
+    write_ordered(df, base_path + ".csv", by, "csv")
+    write_ordered(df, base_path + ".parquet", by)
+    describe_dataset(df).coalesce(1).write.mode("overwrite").json(base_path + ".json")
+
+
 # ------------------------------------------------------------ Kafka
+# The topics of the five feeds.
 TOPICS = ["cert-logon", "cert-file", "cert-email", "cert-device", "cert-http"]
 
 
@@ -116,6 +137,54 @@ def kafka_sink_options(bootstrap_servers: str, **producer) -> dict:
     return {"kafka.bootstrap.servers": bootstrap_servers, **{f"kafka.{k}": str(v) for k, v in producer.items()}}
 
 
+class Ledger:
+    """Epochs that a sink has finished: one empty file each in a folder that all drivers of the query share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self._path = lambda epoch: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/epoch={epoch}")
+        self._fs = self._path(0).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def done(self, epoch: int) -> bool:
+        return bool(self._fs.exists(self._path(epoch)))
+
+    def finish(self, epoch: int) -> None:
+        self._fs.create(self._path(epoch), True).close()
+
+
+def publish_writer(ledger_path: str, topic: str, key_col: str | None = None, folder: str | None = None, kafka: dict | None = None):
+    """A ``foreachBatch`` writer that publishes every epoch once.
+
+    An epoch in the ledger is skipped, so a batch that is run again after it was finished adds nothing.  To a
+    ``folder`` each epoch overwrites its own part, so a batch that broke off leaves no second copy either.  With
+    ``kafka`` (options of ``kafka_sink_options``) a break between sending and the ledger sends again, as any Kafka
+    sink does; messages then carry the epoch as a header, so that readers can drop the repeats."""
+    if (folder is None) == (kafka is None):
+        raise ValueError("publish either to a folder or to Kafka")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        ledger = Ledger(batch.sparkSession, ledger_path)
+        if ledger.done(epoch_id):
+            return
+        rows = encode_for_kafka(batch, topic, key_col)
+        if folder is not None:
+            rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/epoch_id={epoch_id}")
+        else:
+            header = F.array(F.struct(F.lit("epoch").alias("key"), F.lit(str(epoch_id)).cast("binary").alias("value")))
+            rows.withColumn("headers", header).write.format("kafka").options(**kafka).option("includeHeaders", "true").save()
+        ledger.finish(epoch_id)
+    return write
+
+
+def publish(stream: DataFrame, checkpoint: str, topic: str, key_col: str | None = None, folder: str | None = None,
+            kafka: dict | None = None, available_now: bool = False, flush_seconds: int = 5):
+    """Start publishing a stream of processed rows; the ledger lies in the query's checkpoint folder."""
+    writer = publish_writer(f"{checkpoint.rstrip('/')}/published", topic, key_col, folder, kafka)
+    w = stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{flush_seconds} seconds")
+    return w.start()
+
+
 # ------------------------------------------------------------ directories, destinations
 def watched_directory_stream(spark: SparkSession, directory: str, schema: T.StructType,
                              pattern: str = "*.csv", max_files_per_trigger: int = 1) -> DataFrame:

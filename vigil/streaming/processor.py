@@ -11,9 +11,14 @@ a batch that is run again leaves no second copy."""
 
 from __future__ import annotations
 
+import json
+from collections import deque
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from vigil.operators.normalize import union_all
 from vigil.plans.etl import process_type
@@ -24,9 +29,9 @@ ENVELOPE_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("data", T.StringType()), T.StructField("value", T.StringType()),
 ])
-# Alert thresholds of the monitoring template.
 #: Field that holds the text of a payload that did not parse.
 CORRUPT = "_corrupt_record"
+# Alert thresholds of the monitoring template.
 QUALITY_ALERT_BELOW, LAG_ALERT_ABOVE_S = 0.8, 300
 
 
@@ -95,30 +100,69 @@ def start_ingestion(stream: DataFrame, out_path: str, checkpoint: str, report_pa
     """Start the query: micro-batches every ``flush_seconds`` (or one
     availableNow pass that drains everything and stops — the final flush).
     Counts of rows and of malformed payloads are observed per batch (T4)."""
+    sent = F.try_to_timestamp(F.col("timestamp")) if "timestamp" in stream.columns else F.lit(None).cast("timestamp")
     obs = stream.observe("ingest", F.count(F.lit(1)).alias("events"),
                          F.count_if(F.col("data").isNull() & F.col("value").isNull()).alias("empty_payloads"),
-                         F.count_if(malformed()).alias("events_failed"))
+                         F.count_if(malformed()).alias("events_failed"), F.unix_millis(F.max(sent)).alias("newest_ms"))
     w = (obs.writeStream.foreachBatch(micro_batch_writer(out_path, report_path, reject_path))
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{flush_seconds} seconds")
     return w.start()
 
 
-def metrics(query) -> dict:
-    """T4: processed rows, rate, backlog and last batch time from progress."""
-    import json
-    p = query.lastProgress
-    if p is None:
-        p = {}
-    elif hasattr(p, "json"):
-        p = json.loads(p.json)
-    src = (p.get("sources") or [{}])[0]
-    obs = (p.get("observedMetrics") or {}).get("ingest", {})
+def metrics_row(progress: dict) -> dict:
+    """T4: one metrics row from a progress report: rows, rate, failures, quality (share of payloads that parse, null
+    without any), seconds between the newest envelope and the batch, backlog, batch time."""
+    src = (progress.get("sources") or [{}])[0]
+    obs = (progress.get("observedMetrics") or {}).get("ingest", {})
     if hasattr(obs, "asDict"):
         obs = obs.asDict()
-    return {"events_processed": p.get("numInputRows", 0), "processing_rate": p.get("processedRowsPerSecond", 0.0),
-            "empty_payloads": obs.get("empty_payloads", 0), "events_failed": obs.get("events_failed", 0), "batch_id": p.get("batchId"),
-            "last_flush_time": p.get("timestamp"), "backlog": src.get("latestOffset")}
+    events, failed, newest = obs.get("events") or 0, obs.get("events_failed") or 0, obs.get("newest_ms")
+    at = progress.get("timestamp")
+    lag = None
+    if at is not None and newest is not None:
+        lag = datetime.fromisoformat(at.replace("Z", "+00:00")).timestamp() - newest / 1000.0
+    return {"events_processed": progress.get("numInputRows", 0), "processing_rate": progress.get("processedRowsPerSecond", 0.0),
+            "empty_payloads": obs.get("empty_payloads") or 0, "events_failed": failed, "batch_id": progress.get("batchId"),
+            "quality_score": (events - failed) / events if events else None, "lag_seconds": lag,
+            "last_flush_time": at, "backlog": src.get("latestOffset")}
+
+
+def metrics(query) -> dict:
+    """T4: the metrics row of a query's last progress."""
+    p = query.lastProgress
+    return metrics_row({} if p is None else json.loads(p.json) if hasattr(p, "json") else p)
+
+
+class IngestionMonitor(StreamingQueryListener):
+    """T4 + T5: turns every progress report of a session's queries into a metrics row and raises the two alerts.
+
+    ``on_metrics`` and ``on_alert`` get each row (an alert's row with its alerts); the last ``keep`` rows stay in
+    ``rows`` and ``raised``.  Register with ``spark.streams.addListener(monitor)``."""
+
+    def __init__(self, on_metrics=None, on_alert=None, keep: int = 1000):
+        self.on_metrics, self.on_alert = on_metrics, on_alert
+        self.rows, self.raised = deque(maxlen=keep), deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = {"query": event.progress.name, **metrics_row(json.loads(event.progress.json))}
+        self.rows.append(row)
+        if self.on_metrics:
+            self.on_metrics(row)
+        found = alerts(row["quality_score"], row["lag_seconds"])
+        if any(found.values()):
+            self.raised.append(row | found)
+            if self.on_alert:
+                self.on_alert(row | found)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def alerts(quality_score: float | None, lag_seconds: float | None) -> dict:
