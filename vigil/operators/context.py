@@ -4,8 +4,8 @@ The reference loops over flagged sessions and scans all events per session;
 here it is one plan: user context (left join), the ±10 min event match (an
 equi-join on (user, 10-minute bucket) plus a range filter, then first event
 per session), action inference, rule checks against three small rule tables
-(broadcast: their size is the number of roles / projects, fixed by the rules
-the caller registers) and label / reasoning expressions."""
+(the number of roles / projects the caller registers) and label / reasoning
+expressions."""
 
 from __future__ import annotations
 
@@ -123,11 +123,10 @@ def infer_action(prefix: str = "ev_") -> Column:
 
 def rule_scores(acts: DataFrame, role_perms: DataFrame, temporal: DataFrame, lifecycles: DataFrame,
                 ts_col: str = "timestamp") -> DataFrame:
-    """Role, time and project checks (rule tables broadcast)."""
-    rp = F.broadcast(role_perms.select("role", F.col("actions").alias("_allowed")))
-    tr = F.broadcast(temporal.select("role", "start_hour", "end_hour"))
-    pl = F.broadcast(lifecycles.select("project", F.col("stage").alias("_stage"),
-                                       F.col("expected_actions").alias("_expected")))
+    """Role, time and project checks.  Spark broadcasts the rule tables where their size allows."""
+    rp = role_perms.select("role", F.col("actions").alias("_allowed"))
+    tr = temporal.select("role", "start_hour", "end_hour")
+    pl = lifecycles.select("project", F.col("stage").alias("_stage"), F.col("expected_actions").alias("_expected"))
     a = acts.join(rp, "role", "left").join(tr, "role", "left").join(pl, "project", "left")
     action = F.col("action")
     role_score = (F.when(F.col("_allowed").isNull(), 0.5)

@@ -39,6 +39,12 @@ def user_risk_summary(scores: DataFrame, with_density: bool = True) -> DataFrame
                   .withColumn("outlier_rate", F.col("outlier_sessions") / F.col("total_sessions")))
 
 
+def ordered_user_risk(summary: DataFrame) -> DataFrame:
+    """M17's order: with density by outlier rate, then highest score; without it by mean score; then by user."""
+    by = ["outlier_rate", "max_anomaly_score"] if "avg_local_density" in summary.columns else ["avg_anomaly_score"]
+    return summary.orderBy(*[F.col(c).desc_nulls_last() for c in by], "user_id")
+
+
 def contamination_grid_values(rate: float | None) -> list[float]:
     """M13 grid: base rates plus four around the insider rate, sorted, unique."""
     vals = list(BASE_CONTAMINATIONS)
@@ -87,12 +93,10 @@ def best_grid_params(grid: DataFrame) -> DataFrame:
                 .orderBy(F.col("combined_score").desc(), "contamination", "n_neighbors").limit(1))
 
 
-def grid_report(grid: DataFrame) -> DataFrame:
-    """Means per contamination over the k values."""
-    return grid.groupBy("contamination").agg(
-        F.avg("num_outliers").alias("num_outliers"),
-        F.avg("outlier_rate").alias("outlier_rate"),
-        F.avg("mean_outlier_score").alias("mean_outlier_score"))
+def grid_report(grid: DataFrame, digits: int | None = None) -> DataFrame:
+    """Means per contamination over the k values, rounded where ``digits`` are given (the printed report has 4)."""
+    mean = lambda c: (F.avg(c) if digits is None else F.round(F.avg(c), digits)).alias(c)
+    return grid.groupBy("contamination").agg(mean("num_outliers"), mean("outlier_rate"), mean("mean_outlier_score"))
 
 
 # ------------------------------------------------------------ FP reduction

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import keep
 from vigil.functions.expr import col
 from vigil.operators.sessions import DAY, day_window, sessionize, session_aggregates
 from vigil.schema import PEER_COLUMNS
@@ -154,14 +155,14 @@ def peer_zscores(sessions: DataFrame, peers: DataFrame, columns=PEER_COLUMNS,
         w = F.when(col(c).isNotNull(), F.col("event_cnt"))
         mean_aggs += [(F.sum(col(c) * w) / F.sum(w)).alias(f"_m_{c}"), F.sum(w).alias(f"_n_{c}")]
     means = s.where(F.col("peer_group").isNotNull()).groupBy("peer_group").agg(*mean_aggs)
-    s2 = s.join(F.broadcast(means), "peer_group", "left")
+    s2 = s.join(means, "peer_group", "left")              # no hint: groups are as many as the caller's peers
     var_aggs = []
     for c in columns:
         w = F.when(col(c).isNotNull(), F.col("event_cnt"))
         var_aggs.append((F.sum(w * F.pow(col(c) - F.col(f"_m_{c}"), 2))
                          / (F.first(f"_n_{c}") - 1)).alias(f"_v_{c}"))
     stds = (s2.where(F.col("peer_group").isNotNull()).groupBy("peer_group").agg(*var_aggs))
-    out = s2.join(F.broadcast(stds), "peer_group", "left")
+    out = s2.join(stds, "peer_group", "left")
     for c in columns:
         sd = F.sqrt(F.col(f"_v_{c}"))
         sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
@@ -178,15 +179,15 @@ def session_feature_matrix(events: DataFrame, gap_minutes: float = 10,
     """F1–F13 → one row per (user_id, session_id).
 
     ``peers``: a (user_id, peer_group) frame, ``"kmeans"`` for F11, or None
-    to leave out the ``_z_peer`` columns.
+    to leave out the ``_z_peer`` columns.  With ``persist`` the sessionised
+    events and the sessions are kept until ``session.release``.
     """
     sess = sessionize(events, gap_minutes).withColumn("hour", F.hour("timestamp"))
     if persist:
         # Five branches read the sessionised events (rare hours, bursts and
         # aggregates, transitions, n-grams); keep one copy (spills to disk,
         # recomputed from lineage if an executor is lost).
-        from pyspark import StorageLevel
-        sess = sess.persist(StorageLevel.MEMORY_AND_DISK)
+        sess = keep(sess)
     rare = F.broadcast(rare_logon_hours(sess, rare_hour_threshold))   # ≤ 24 rows
     sess = (sess.join(rare, "hour", "left")
                 .withColumn("rare_logon_hour",
@@ -212,8 +213,7 @@ def session_feature_matrix(events: DataFrame, gap_minutes: float = 10,
         # and the z-score projection.
         # Materialised before use: the broadcast sides below are built by
         # concurrent jobs that would each recompute the whole chain.
-        from pyspark import StorageLevel
-        m = m.persist(StorageLevel.MEMORY_AND_DISK)
+        m = keep(m)
         m.count()
     if peers is not None:
         if isinstance(peers, str):

@@ -42,7 +42,8 @@ def adaptive_thresholds(feedback: DataFrame, key: str, order_cols: list[str], ts
                     F.struct(_step(F.col(decision_col), F.col(score_col).cast("double"), rate).alias("c"),
                              F.lit(LO).alias("lo"), F.lit(HI).alias("hi")).alias("f"))
     day = F.coalesce(F.to_date(F.col(ts_col)), F.lit("9999-12-31").cast("date"))
-    per_day = (feedback.withColumn("_day", day).groupBy(key, "_day").agg(
+    hour = F.coalesce(F.hour(F.col(ts_col)), F.lit(0))
+    per_day = (feedback.withColumn("_day", F.struct(day.alias("day"), hour.alias("hour"))).groupBy(key, "_day").agg(
         F.sort_array(F.collect_list(item)).alias("_items"),
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col(decision_col) == "true_positive").alias("_tp"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.expr import round_doubles
 from vigil.operators.features import session_feature_matrix
-from vigil.session import cut_lineage
+from vigil.session import checkpoint_dir, cut_lineage, release
 from vigil.plans import sql_fragments as S
 from vigil.sources.tables import activity_events, user_dimension
 
@@ -93,9 +93,17 @@ def session_matrix(spark, sf_dir):
                                   unusual_threshold=UNUSUAL, peers=_role_peers(spark, sf_dir))
 
 
+def _matrix_ckpt(spark, sf_dir):
+    """The session matrix cut from its lineage; what its plan kept of the events is released."""
+    m = cut_lineage(session_matrix(spark, sf_dir))
+    if checkpoint_dir(spark):
+        release()
+    return m
+
+
 def scored_sessions(spark, sf_dir):
     """(session matrix cut into the checkpoint folder, DBLOF scores over it)."""
-    m = cut_lineage(session_matrix(spark, sf_dir))
+    m = _matrix_ckpt(spark, sf_dir)
     return m, L.dblof_scores(m, contamination=DBLOF_C, k=DBLOF_K, checkpoint=False)
 
 
@@ -142,7 +150,7 @@ def q_user_risk_summary(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     from vigil.operators.lof import standardize, insider_rate
-    m = cut_lineage(session_matrix(spark, sf_dir))
+    m = _matrix_ckpt(spark, sf_dir)
     feats = L.select_numeric(m)
     key = F.concat_ws("\u0001", "user_id", "session_id")
     pts = to_vectors(standardize(m.withColumn("_key", key), feats), "_key", feats)
@@ -170,6 +178,14 @@ def q_contamination_report(spark, sf_dir):
     return round_doubles(EVAL.grid_report(_grid(spark, sf_dir)))
 
 
+@register("contamination_summary", f"""WITH {GRID_CTE}
+SELECT contamination, round(avg(num_outliers), 4) AS num_outliers, round(avg(outlier_rate), 4) AS outlier_rate,
+       round(avg(mean_outlier_score), 4) AS mean_outlier_score FROM grid2 GROUP BY contamination""")
+def q_contamination_summary(spark, sf_dir):
+    """M14 as it is printed, to four digits."""
+    return EVAL.grid_report(_grid(spark, sf_dir), 4)
+
+
 @register("contamination_best", f"""WITH {GRID_CTE}
 SELECT contamination, n_neighbors, num_outliers, {r6('outlier_rate')} AS outlier_rate,
        {r6('mean_outlier_score')} AS mean_outlier_score, {r6('combined_score')} AS combined_score
@@ -272,7 +288,7 @@ from vigil.plans import runs as RUNS  # noqa: E402
 
 @register("isolation_forest_flags")
 def q_isolation_forest_flags(spark, sf_dir):
-    m = cut_lineage(session_matrix(spark, sf_dir))
+    m = _matrix_ckpt(spark, sf_dir)
     return round_doubles(FOREST.isolation_forest_flags(m, contamination=0.10))
 
 
@@ -415,6 +431,18 @@ def _dates(df, key: str, text):
     return found.select(key, (F.col("at") + 1).cast("bigint").alias("position"), "epoch")
 
 
+def _raw_dates_sql() -> str:
+    body = " UNION ALL ".join(f"SELECT id, date || ' / ' || date AS text FROM raw_{t}" for t in SE.TYPES)
+    return f"WITH {SE.RAW}, texts AS ({body}) SELECT id, position, epoch FROM ({_dates_sql('texts', 'id', 'text')})"
+
+
+@register("raw_log_dates", _raw_dates_sql())
+def q_raw_log_dates(spark, sf_dir):
+    """N11 over the date texts of all five raw logs: seven layouts and one without a date, twice in each text."""
+    texts = union_all([r.select("id", F.concat_ws(" / ", "date", "date").alias("text")) for r in raw_logs(spark, sf_dir).values()])
+    return _dates(texts, "id", F.col("text"))
+
+
 @register("text_dates", _dates_sql("events", "event_id", "CAST(ts AS VARCHAR)"))
 def q_text_dates(spark, sf_dir):
     return _dates(read_table(spark, sf_dir, "events"), "event_id", F.col("ts").cast("string"))
@@ -492,8 +520,20 @@ SELECT v.entity_id, v.entity_type,
 FROM verts v LEFT JOIN uv u ON u.entity_id = v.entity_id LEFT JOIN od ON od.entity_id = v.entity_id
 LEFT JOIN idg ON idg.entity_id = v.entity_id""")
 def q_graph_entity_features(spark, sf_dir):
-    users, _, _, edges, verts = threat_graph(spark, sf_dir)
-    return G.entity_features(verts, users, edges)
+    users, _, hrs, edges, verts = threat_graph(spark, sf_dir)
+    return G.entity_features(verts, users, edges, hrs)
+
+
+@register("graph_entity_features_hr", f"""WITH {GRAPH_SQL}
+SELECT 'hr_' || user_id AS entity_id, 'hr_record' AS entity_type,
+       [CAST(length(user_id) AS DOUBLE) / 10.0, CASE WHEN manager_level THEN 0.25 ELSE 0.0 END, 0.0, 0.0] AS features FROM dim""")
+def q_graph_entity_features_hr(spark, sf_dir):
+    """G6 for HR records that carry conflicts and a termination risk (here drawn from the user dimension)."""
+    hr = user_dimension(spark, sf_dir).withColumns({"conflicts": F.length("user_id"), "termination_risk": F.when(F.col("manager_level"), 0.25)})
+    ev = processed_events(spark, sf_dir)
+    users, assets, hrs = G.user_vertices(ev), G.asset_vertices(ev), G.hr_vertices(hr)
+    edges = G.simple_edges(G.relations(ev, hr))
+    return G.entity_features(G.vertices(users, assets, hrs, edges), users, edges, hrs).where(F.col("entity_type") == "hr_record")
 
 
 @register("cross_domain_patterns", f"WITH {GRAPH_SQL}\nSELECT * FROM cdp")
@@ -504,6 +544,24 @@ def q_cross_domain_patterns(spark, sf_dir):
                     F.array_join("connected_entities", ",").alias("connected_entities"), "overall_risk_score")
 
 
+@register("user_threat_patterns", f"""WITH {GRAPH_SQL},
+asked AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events UNION SELECT 'nobody_' || CAST(c_custkey AS VARCHAR) FROM customer),
+near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM nb),
+listed AS (SELECT src, string_agg(dst || ':' || entity_type || ':' || CAST(risk_score AS VARCHAR), ',' ORDER BY dst) AS connected
+           FROM near WHERE place <= {G.NEIGHBOUR_LIST} GROUP BY src)
+SELECT a.user_id, coalesce(pattern_count, 0) AS pattern_count, coalesce(overall_risk_score, 0.0) AS overall_risk_score,
+       coalesce(connected, '') AS connected
+FROM asked a LEFT JOIN cdp ON cdp.user_id = a.user_id LEFT JOIN listed ON listed.src = a.user_id""")
+def q_user_threat_patterns(spark, sf_dir):
+    """G7 with each neighbour's type and risk; users that are not in the graph have none."""
+    *_, edges, verts = threat_graph(spark, sf_dir)
+    asked = (activity_events(spark, sf_dir).select("user_id").distinct()
+             .unionByName(read_table(spark, sf_dir, "customer").select(F.concat(F.lit("nobody_"), F.col("c_custkey").cast("string")).alias("user_id"))))
+    p = G.patterns_of(asked, G.cross_domain_patterns(verts, edges))
+    one = F.transform("connected", lambda x: F.concat_ws(":", x["entity_id"], x["entity_type"], x["risk_score"].cast("string")))
+    return p.select("user_id", "pattern_count", "overall_risk_score", F.array_join(one, ",").alias("connected"))
+
+
 # ---------------------------------------------------------------- context
 from vigil.operators.knn import knn_query  # noqa: E402
 
@@ -667,6 +725,73 @@ def q_knowledge_history(spark, sf_dir):
     return round_doubles(C.history_share(n.select("id", "nbr", "dist"), kb))
 
 
+SPLIT_PTS = """pts AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+knn AS (SELECT * FROM (
+  SELECT a.id, b.id AS nbr, b.label, list_distance(a.v, b.v) AS dist,
+         row_number() OVER (PARTITION BY a.id ORDER BY {key}, b.id) AS rnk
+  FROM pts a JOIN pts b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE rnk <= {k})""".format(key=S.rk("list_distance(a.v, b.v)"), k=RETRIEVAL_K)
+
+
+def _past_and_new(spark, sf_dir):
+    """The odd rows as past activities with an outcome, and each even row's nearest ones among them."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    pts = to_vectors(emb, "vec_id", vector_col="embedding")
+    past = emb.where(F.pmod("vec_id", F.lit(2)) == 1).select(
+        F.col("vec_id").cast("string").alias("nbr"), F.when(F.col("label") == 0, "malicious").otherwise("benign").alias("outcome"))
+    number = F.pmod(F.col("id").cast("long"), F.lit(2))
+    return emb, past, knn_query(pts.where(number == 0), pts.where(number == 1), RETRIEVAL_K)
+
+
+@register("knowledge_retrieval_past", f"""WITH {SPLIT_PTS}
+SELECT id, nbr, CAST(rnk AS INTEGER) AS "rank", {S.r6('dist * dist')} AS sq_distance, {S.r6('1.0 / (1.0 + dist * dist)')} AS similarity,
+       CASE WHEN label = 0 THEN 'malicious' ELSE 'benign' END AS outcome FROM knn""")
+def q_knowledge_retrieval_past(spark, sf_dir):
+    """C2 of new activities against a knowledge base that does not hold them."""
+    _, past, n = _past_and_new(spark, sf_dir)
+    sq = F.col("dist") * F.col("dist")
+    return round_doubles(n.join(past, "nbr").select("id", "nbr", "rank", sq.alias("sq_distance"), (F.lit(1.0) / (F.lit(1.0) + sq)).alias("similarity"), "outcome"))
+
+
+_HIST_ROLES, _HIST_ACTIONS = list(C.ROLE_PERMISSIONS), ["file_access", "run_report", "email_send", "data_export", "logon"]
+
+
+@register("intent_with_history", f"""WITH {SPLIT_PTS}, {_rules_sql()},
+hist AS (SELECT id, sum((1.0 / (1.0 + dist * dist)) * CASE WHEN label = 0 THEN 0.0 ELSE 1.0 END) / sum(1.0 / (1.0 + dist * dist)) AS share,
+                sum(CASE WHEN label = 0 THEN 0 ELSE 1 END) AS benign, count(*) AS n FROM knn GROUP BY id),
+act AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, {_HIST_ROLES!r}[vec_id // 2 % 4 + 1] AS role, {_HIST_ACTIONS!r}[vec_id // 2 % 5 + 1] AS action
+        FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 5 = 0),
+sc AS (
+  SELECT a.id, a.role, a.action, CASE WHEN list_contains(rp.allowed, a.action) THEN 1.0
+              WHEN len(list_filter(rp.allowed, lambda x: contains(a.action, x))) > 0 THEN 0.7 ELSE 0.2 END AS role_score,
+         CAST(h.share AS DOUBLE) AS share, h.benign, h.n
+  FROM act a JOIN rp ON rp.role = a.role LEFT JOIN hist h ON h.id = a.id),
+s2 AS (SELECT *, least(greatest(CASE WHEN share IS NULL THEN 0.4 * role_score + 0.3 * 0.8 + 0.3 * 0.7
+                                     ELSE (0.4 * role_score + 0.3 * 0.8 + 0.3 * 0.7) * 0.7 + share * 0.3 END, 0.0), 1.0) AS s FROM sc)
+SELECT id, {S.r6('share')} AS history_score, {S.r6('s')} AS intent_score,
+       CASE WHEN s >= 0.7 THEN 'benign' WHEN s >= 0.4 THEN 'suspicious' ELSE 'malicious' END AS intent_label,
+       concat_ws('. ', CASE WHEN role_score < 0.5 THEN 'Action ''' || action || ''' is NOT typically permitted for role ''' || role || ''''
+              WHEN role_score >= 0.8 THEN 'Action aligns with expected permissions for role ''' || role || '''' END,
+         CASE WHEN n > 0 THEN 'Similar activities in history: ' || benign || '/' || n || ' were benign' END,
+         'Overall assessment: Activity ' || CASE WHEN s >= 0.7 THEN 'appears BENIGN and contextually justified'
+              WHEN s >= 0.4 THEN 'appears SUSPICIOUS and warrants review' ELSE 'appears MALICIOUS with high risk indicators' END) || '.' AS reasoning
+FROM s2""")
+def q_intent_with_history(spark, sf_dir):
+    """Rule scores and the outcomes of similar past activities, with the sentence that tells both.
+
+    Role and action of an activity stand in by its number; some odd rows are asked too, and have no history."""
+    emb, past, n = _past_and_new(spark, sf_dir)
+    turn = F.floor(F.col("vec_id") / 2)
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(turn, F.lit(len(names))) + 1).cast("int"))
+    acts = emb.where((F.pmod("vec_id", F.lit(2)) == 0) | (F.pmod("vec_id", F.lit(5)) == 0)).select(
+        F.col("vec_id").cast("string").alias("id"), pick(_HIST_ROLES).alias("role"), pick(_HIST_ACTIONS).alias("action"),
+        F.lit(None).cast("string").alias("project"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
+    acts = acts.join(C.history_share(n.select("id", "nbr", "dist"), past), "id", "left")
+    sc = C.rule_scores(acts, C.role_permissions_table(spark), C.temporal_rules_table(spark), C.project_lifecycles_table(spark))
+    sc = sc.withColumn("intent_score", C.intent_score(F.col("history_score")))
+    return round_doubles(sc.select("id", "history_score", "intent_score", C.intent_label(F.col("intent_score"))[0].alias("intent_label"),
+                                   C.reasoning(benign_col="benign_count", n_col="neighbour_count").alias("reasoning")))
+
+
 # ---------------------------------------------------------------- baselines
 from vigil.operators import baseline as BL  # noqa: E402
 
@@ -678,10 +803,6 @@ def _q(c):
     return f'"{c}"'
 
 
-def _matrix_ckpt(spark, sf_dir):
-    return cut_lineage(session_matrix(spark, sf_dir))
-
-
 MAT_CTE = f"mat AS ({S.matrix_sql(GAP, RARE, UNUSUAL, ROLE_PEERS_SQL, rounded=False)})"
 STATS_CTE = "gstats AS (SELECT " + ", ".join(
     f"stddev_samp(CAST({_q(c)} AS DOUBLE)) AS {_q('sd_' + c)}" for c in MF) + " FROM mat)"
@@ -972,6 +1093,16 @@ def q_text_scan_conversations(spark, sf_dir):
     return SCAN.scan_text(read_table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"], DOC_PATTERNS)
 
 
+LONG_WORD = {"long_word": r"[A-Za-z]{18,}"}
+
+
+@register("text_scan_conversations_words", f"""SELECT conv_id, turn, 'long_word' AS pattern_matched, 'medium' AS risk_level FROM conversations
+WHERE regexp_matches(text, {_sql_str(LONG_WORD["long_word"])})""")
+def q_text_scan_conversations_words(spark, sf_dir):
+    """D-2 with a caller's pattern, one that these conversations hold."""
+    return SCAN.scan_text(read_table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"], LONG_WORD)
+
+
 EXPLAIN_FEATS = S.MATRIX_FEATURES
 
 

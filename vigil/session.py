@@ -49,6 +49,32 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return folder
 
 
+_KEPT: list = []
+
+
+def keep(df):
+    """``df`` persisted in memory and on the executors' disks until ``release``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist every frame that the library keeps: call it once results that rest on them are written or cut."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster that does not have it installed; returns the archive sent."""
+    import shutil
+    from pathlib import Path
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="vigil-")) / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local).
 
@@ -57,4 +83,4 @@ def cut_lineage(df, eager: bool = True):
     """
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=eager)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(df)

@@ -22,9 +22,12 @@ from vigil.session import cut_lineage
 _OVERFLOW, _CORRUPT = "_overflow", "_corrupt"
 
 
-def load_raw_log(spark: SparkSession, path: str, file_type: str) -> DataFrame:
+def load_raw_log(spark: SparkSession, path: str, file_type: str, multi_line: bool = True) -> DataFrame:
     """Read one raw log CSV with the declared names.
 
+    Quoted fields may hold line breaks, which makes a file one task; for files
+    without them ``multi_line=False`` lets Spark split each file over tasks.
+
     The schema has one sentinel column past the declared ones plus the
     corrupt-record column.  A line is too long iff it has at least n
     delimiters outside quotes; those are dropped (DROPMALFORMED would also
@@ -33,15 +36,17 @@ def load_raw_log(spark: SparkSession, path: str, file_type: str) -> DataFrame:
     n = len(cols)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] +
                           [T.StructField(_OVERFLOW, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
           .option("escape", '"').option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+          .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", False).csv(path))
     # Every row whose token count differs from n+1 is kept as corrupt text, so
     # a null corrupt column means exactly n+1 fields (too long, even when the
     # extra field is empty); otherwise count the delimiters outside quotes.
-    delimiters = F.length(F.regexp_replace(F.col(_CORRUPT), '"[^"]*"|[^,]', ""))
-    too_long = F.col(_CORRUPT).isNull() | (delimiters >= n)
-    return df.where(~too_long).select(*cols)
+    # One expression that a CSV reader does not take for a filter of its own (it would test the column before filling it),
+    # and that names a second column (a scan of the corrupt text alone is refused).
+    extra = F.coalesce(F.length(F.col(_OVERFLOW)), F.lit(0))
+    delimiters = F.coalesce(F.length(F.regexp_replace(F.col(_CORRUPT), '"[^"]*"|[^,]', "")), F.lit(n) + extra)
+    return df.where(delimiters < n).select(*cols)
 
 
 def raw_log_exists(spark: SparkSession, data_dir: str, file_type: str) -> bool:
