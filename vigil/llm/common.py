@@ -97,8 +97,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Settings of the session that the operators run under.  Kinds of Python nodes that shorten their tracebacks get workers
+#: of their own beside those that do not: with that off, all nodes share the workers of an executor, which then holds half
+#: as many.  Batches of texts are held several times over (by the JVM, on the way, by the worker): 10,000 rows are too many.
+SETTINGS = {"spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def _schemas(spark: SparkSession, schema: str) -> tuple[StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     out = spark.createDataFrame([], schema).schema
     return out, to_arrow_schema(out)
 
