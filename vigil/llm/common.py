@@ -7,6 +7,7 @@ the same way.  Both are computed for whole texts with numpy prefix sums.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,6 +63,37 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def _trim() -> None:
+    """Hand memory that this worker no longer uses back to the system; a worker that waits for its next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:                   # a C library without it
+        pass
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over the batches of a task that ends with its worker's memory trimmed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def lean_group(fn: Callable[[pa.Table], pa.Table]):
+    """A function over the table of a group that ends with its worker's memory trimmed."""
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            _trim()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Replace the columns: ``fn(*columns)`` gets lists per slice of an Arrow batch and returns output rows."""
     out, arrow = _schemas(df.sparkSession, schema)
@@ -70,7 +102,7 @@ def map_batches(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> D
         for batch in slices(batches):
             yield _to_batch(fn(*(c.to_pylist() for c in batch.columns)), arrow)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lean(run), out)
 
 
 def add_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[..., list[tuple]]) -> DataFrame:
@@ -86,7 +118,7 @@ def add_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[...,
             new = _to_batch(fn(*(batch.column(i).to_pylist() for i in at)), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.columns], names=[*batch.schema.names, *arrow.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *out.fields]))
+    return df.mapInArrow(lean(run), StructType([*df.schema.fields, *out.fields]))
 
 
 def free_name(df: DataFrame, name: str) -> str:

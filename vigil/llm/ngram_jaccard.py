@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SLICE, U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, joined, map_batches, mix, runs, slices,
+from .common import (SLICE, U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, joined, lean, lean_group, map_batches, mix, runs, slices,
                      split, text_bytes, to_table, window_hashes, word_hashes)
 from .components import components
 
@@ -156,7 +156,7 @@ def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int],
             out += [(1, s, int(k)) for s, k in enumerate(np.frombuffer(sizes, np.int64)) if k]
         return to_table(out, found_arrow)
 
-    counted = checkpoint(sampled.mapInArrow(send, rows).groupBy("bucket").applyInArrow(count, found))
+    counted = checkpoint(sampled.mapInArrow(lean(send), rows).groupBy("bucket").applyInArrow(lean_group(count), found))
     top = (counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key", "n").toArrow())
     order = np.lexsort((top["key"].to_numpy(), top["n"].to_numpy())) if top.num_rows else []
     frequent = top["key"].to_numpy()[order].view(np.uint64) if top.num_rows else _EMPTY
@@ -301,7 +301,7 @@ def postings(docs: DataFrame, n: int, percent: int, small: int, order: Order, bu
                 out += [(b, 1, *x, None) for b, *x in split(mix(key), buckets, key, sid, side)]
             yield _to_batch(out, arrow)
 
-    return docs.mapInArrow(run, rows)
+    return docs.mapInArrow(lean(run), rows)
 
 
 def candidates(sent: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +319,7 @@ def candidates(sent: DataFrame, percent: int) -> DataFrame:
                     out += make(*cols)
         return to_table(out, arrow)
 
-    return sent.groupBy("bucket").applyInArrow(run, found)
+    return sent.groupBy("bucket").applyInArrow(lean_group(run), found)
 
 
 def _pairs(blobs: DataFrame, kind: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _pairs(blobs: DataFrame, kind: int) -> DataFrame:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], schema=arrow)
 
-    return blobs.where(F.col("kind") == kind).select("a", "b").mapInArrow(run, out).distinct()
+    return blobs.where(F.col("kind") == kind).select("a", "b").mapInArrow(lean(run), out).distinct()
 
 
 def _members(blobs: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def _members(blobs: DataFrame) -> DataFrame:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], schema=arrow)
 
-    return blobs.where("kind = 1").select("a", "b", "c", "d").mapInArrow(run, out)
+    return blobs.where("kind = 1").select("a", "b", "c", "d").mapInArrow(lean(run), out)
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _check(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
                     rows.append((a[i].as_py(), b[i].as_py()))
             yield _to_batch(rows, arrow)
 
-    return both.select("a", "b", "x", "y").mapInArrow(similar, out)
+    return both.select("a", "b", "x", "y").mapInArrow(lean(similar), out)
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def _residual(members: DataFrame, comp: DataFrame, classes: DataFrame, percent:
         return pa.table([pa.array(a), pa.array(b)], schema=arrow)
 
     return c.select("bucket", "sketch", "key", "low", "high", "mine", "sid", "size", "place", "component").groupBy("bucket").applyInArrow(
-        run, out).distinct()
+        lean_group(run), out).distinct()
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

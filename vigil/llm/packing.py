@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _schemas, _to_batch
+from .common import lean, _schemas, _to_batch
 
 LENGTH = 2048
 END_ID = 1
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         if held:
             yield flush(held, window)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), out)
 
 
 def result(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
