@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,14 +66,63 @@ _KEEPS_P = _INLINE | frozenset("area base link meta script style noscript templa
                                "svg object canvas embed option param title".split())
 
 _TAG = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*>", re.S)
+    r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*>", re.S)
+#: The alternatives of ``_TAG`` without quoted attributes.
+_PLAIN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|</?[A-Za-z][^>]*>", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"</?[A-Za-z][^\s/>]*+")
+_QUOTED = re.compile(r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 
 
 HELD = 2
 
 
+class _Tags:
+    """Tags of a page one after the other, in time that grows with its length whatever its quotes.
+
+    A tag whose quotes leave no ``>`` outside is read again as plain text up to the next one.  Where such a reading
+    has failed, so does every other that is outside quotes at the same place; that is kept, so that each of the
+    few possible readings runs to the end of the page once.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.failed = source, source.rfind(">"), []
+
+    def next(self, pos: int) -> re.Match | None:
+        """The first tag, comment or declaration from ``pos`` on."""
+        while True:
+            at = self.source.find("<", pos)
+            if at < 0:
+                return None
+            if at > self.last:                   # only an open comment can still match
+                at = self.source.find("<!--", at)
+                return None if at < 0 else _PLAIN.match(self.source, at)
+            name = _NAME.match(self.source, at) if self.failed else None
+            fails = name is not None and any(self._outside(name.end(), starts, ends) for starts, ends in self.failed)
+            m = (_PLAIN if fails else _TAG).match(self.source, at)
+            if m is not None:
+                if not fails and m.re is _TAG and m[2] is None and self.source[at + 1] not in "!?":
+                    self._remember(at)
+                return m
+            pos = at + 1
+
+    @staticmethod
+    def _outside(at: int, starts: list[int], ends: list[int]) -> bool:
+        """Whether a failed reading (first the end of its name, then its quotes) was outside quotes at ``at``."""
+        k = bisect_right(starts, at)
+        return k > 0 and at >= ends[k - 1]
+
+    def _remember(self, at: int) -> None:
+        pos = _NAME.match(self.source, at).end()
+        starts, ends = [pos], [pos]
+        while (m := _QUOTED.search(self.source, pos)) is not None:
+            starts.append(m.start())
+            ends.append(m.end())
+            pos = m.end()
+        self.failed.append((starts, ends))
+
+
 class Page:
     """Folded tree and text blocks of one page.
 
@@ -121,15 +172,22 @@ class Page:
                 if in_link:
                     linked += len(piece)
 
-        pos, size = 0, len(source)
+        pos, size, tags = 0, len(source), _Tags(source)
+        opened: Counter = Counter()              # open elements by tag: a search for one that is not open is left out
+
+        def close(k: int) -> None:
+            for name, *_ in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+
         while True:
-            m = _TAG.search(source, pos)
+            m = tags.next(pos)
             if m is None:
                 add(source[at:])
                 break
             add(source[at:m.start()])
             at = pos = m.end()
-            tag = m[2]
+            tag = m[2] if m.re is _TAG else None
             if tag is None:
                 continue
             tag = tag.lower()
@@ -140,13 +198,13 @@ class Page:
                     if stack[-1][0] != "." + tag:
                         continue
                     flush()
-                    stack.pop()
+                    close(len(stack) - 1)
                     continue
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                     if stack[k][0] == tag:
                         flush()
                         in_link = False
-                        del stack[k:]
+                        close(k)
                         break
                 continue
             names = [[w.lower() for w in _TOKEN.findall(x)] for _, v in _ATTR.findall(m[3]) for x in v.split()] if m[3] else ()
@@ -161,14 +219,14 @@ class Page:
                 continue
             flush()
             if tag not in _KEEPS_P and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in _ENDS:
-                closes, stops = _ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stops.split():
+                closes, stops = (x.split() for x in _ENDS[tag])
+                for k in range(len(stack) - 1 if any(opened[x] for x in closes) else 0, 0, -1):
+                    if stack[k][0] in stops:
                         break
-                    if stack[k][0] in closes.split():
-                        del stack[k:]
+                    if stack[k][0] in closes:
+                        close(k)
                         break
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
@@ -189,16 +247,17 @@ class Page:
             label = tag + ("." + "-".join(sorted(words)) if words else "")
             name = "." + tag if tag in _INLINE else tag
             stack.append((name, self._node(parent, label), boiler, content, by_class))
+            opened[name] += 1
         flush()
 
     def skeleton(self) -> str:
-        """The folded tree as text: parent and label of each node."""
-        return ";".join(f"{p}:{x}" for p, x in zip(self.parents[1:], self.labels[1:]))
+        """The folded tree as text: parent and label of each node, a line each (labels hold no white space)."""
+        return "\n".join(f"{p}:{x}" for p, x in zip(self.parents[1:], self.labels[1:]))
 
 
 def _tree(skeleton: str) -> tuple[list[str], list[list[int]], list[int]]:
     labels, children, parents = ["#"], [[]], [-1]
-    for part in skeleton.split(";") if skeleton else ():
+    for part in skeleton.split("\n") if skeleton else ():
         p, label = part.split(":", 1)
         labels.append(label)
         children.append([])
@@ -207,6 +266,9 @@ def _tree(skeleton: str) -> tuple[list[str], list[list[int]], list[int]]:
     return labels, children, parents
 
 
+_NO_MATCH = (0, [])
+
+
 @lru_cache(maxsize=4096)
 def align(wrapper: str, page: str) -> tuple[int, ...]:
     """Slot of every node of ``page``: the matched wrapper node, or -1.
@@ -215,22 +277,26 @@ def align(wrapper: str, page: str) -> tuple[int, ...]:
     equal), and children match in order with the greatest total.
     """
     if wrapper == page:
-        return tuple(range(page.count(";") + 2 if page else 1))
+        return tuple(range(page.count("\n") + 2 if page else 1))
     a_labels, a_children, _ = _tree(wrapper)
     b_labels, b_children, _ = _tree(page)
     tags_a, tags_b = [x.split(".")[0] for x in a_labels], [x.split(".")[0] for x in b_labels]
     best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def match(i: int, j: int) -> int:
-        if tags_a[i] != tags_b[j]:
-            return 0
-        if (i, j) in best:
-            return best[i, j][0]
+    todo = [(0, 0)]
+    while todo:                                  # children first: trees may be deeper than calls can nest
+        i, j = todo[-1]
         left, right = a_children[i], b_children[j]
+        ahead = [] if (i, j) in best else [(c, d) for c in left for d in right if tags_a[c] == tags_b[d] and (c, d) not in best]
+        if ahead or (i, j) in best:
+            if ahead:
+                todo += ahead
+            else:
+                todo.pop()
+            continue
         table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
         for x, c in enumerate(left, 1):
             for y, d in enumerate(right, 1):
-                table[x][y] = max(table[x - 1][y], table[x][y - 1], table[x - 1][y - 1] + match(c, d))
+                table[x][y] = max(table[x - 1][y], table[x][y - 1], table[x - 1][y - 1] + best.get((c, d), _NO_MATCH)[0])
         x, y, pairs = len(left), len(right), []
         while x and y:
             if table[x][y] == table[x - 1][y]:
@@ -241,9 +307,7 @@ def align(wrapper: str, page: str) -> tuple[int, ...]:
                 x, y = x - 1, y - 1
                 pairs.append((left[x], right[y]))
         best[i, j] = (table[-1][-1] + 1 + (a_labels[i] == b_labels[j]), pairs)
-        return best[i, j][0]
-
-    match(0, 0)
+        todo.pop()
     slots, todo = [-1] * len(b_labels), [(0, 0)]
     while todo:
         i, j = todo.pop()
