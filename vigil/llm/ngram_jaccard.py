@@ -29,10 +29,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (SLICE, U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, joined, lean, lean_group, map_batches, mix, runs, slices,
+from .common import (SLICE, U64, _schemas, _to_batch, add_columns, broadcast_if_small, bucket_count, checkpoint, free_name, joined, lean, lean_group, map_batches, mix, runs, slices,
                      split, text_bytes, to_table, window_hashes, word_hashes)
 from .components import components
 
@@ -369,8 +369,15 @@ def _check(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid").select("rep", "sid")
     need = broadcast_if_small(need)
     texts = docs.join(need, docs["doc_id"] == need["rep"]).select("sid", "text")
-    sets = map_batches(texts, lambda s, t: [(k, element_hashes(x, n).tobytes()) for k, x in zip(s, t)], "sid long, e binary")
-    sets = sets.where(F.length("e") > 0)
+    def own(sids: list, found: list) -> list[tuple]:
+        """The sets of the texts whose set it is: other texts of the same document have others."""
+        out = []
+        for k, x in zip(sids, found):
+            e = element_hashes(x, n)
+            out.append((k, e.tobytes() if len(e) and set_id(e) == k else b""))
+        return out
+
+    sets = map_batches(texts, own, "sid long, e binary").where(F.length("e") > 0).dropDuplicates(["sid"])
     both = (pairs.select("a", "b").join(sets.withColumnsRenamed({"sid": "a", "e": "x"}), "a")
             .join(sets.withColumnsRenamed({"sid": "b", "e": "y"}), "b"))
 
@@ -446,6 +453,13 @@ def _residual(members: DataFrame, comp: DataFrame, classes: DataFrame, percent:
         lean_group(run), out).distinct()
 
 
+def _same_document(rows: DataFrame) -> DataFrame:
+    """Links between the different sets of one document id: its smallest with each other."""
+    known = rows.where("doc_id is not null and sid is not null").select("doc_id", "sid").distinct()
+    low = known.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("top")).where("a < top")
+    return known.join(low.select("doc_id", "a"), "doc_id").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+
+
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, components): (doc_id, sid, n_shingles) rows and (node, component) of linked set ids."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -462,6 +476,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     blobs = checkpoint(candidates(postings(docs_known, n, percent, small, Order(frequent), buckets), percent))
     near = checkpoint(_near(_pairs(blobs, 0), classes))
     certain = _pairs(blobs, 2)
+    certain = certain.union(_same_document(rows))
     best = (near.select(F.col("a").alias("s"), "a", "b", "near").union(near.select("b", "a", "b", "near"))
             .groupBy("s").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.*").distinct())
     links = checkpoint(_check(best, docs_known, classes, n, percent).union(certain))
@@ -476,20 +491,59 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     return rows.select("doc_id", "sid", "n_shingles"), comp
 
 
-def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the component is its smallest document id."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, sid, n_shingles, component_id) of ``docs``, and the component id of every set that a document has."""
     rows, comp = link(docs, n, percent)
     known = rows.where("doc_id is not null").groupBy("doc_id", "sid").agg(F.max("n_shingles").alias("n_shingles"))
     node = F.coalesce("component", "sid")
     first = (known.where("sid is not null").join(comp, known["sid"] == comp["node"], "left").groupBy(node.alias("c"))
              .agg(F.min("doc_id").alias("component_id")))
-    lead = (known.select("sid").where("sid is not null").distinct().join(comp, F.col("sid") == F.col("node"), "left")
-            .select("sid", node.alias("c")).join(first, "c").select("sid", "component_id"))
-    return (rows.join(lead, "sid", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    lead = checkpoint(known.select("sid").where("sid is not null").distinct().join(comp, F.col("sid") == F.col("node"), "left")
+                      .select("sid", node.alias("c")).join(first, "c").select("sid", "component_id"))
+    out = rows.join(lead, "sid", "left").select("doc_id", "sid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # A document's rows without a set follow its other rows, if it has any.
+    empty = rows.where("sid is null and doc_id is not null").select("doc_id").distinct()
+    if empty.join(known.where("sid is not null").select("doc_id"), "doc_id", "left_semi").isEmpty():
+        return out, lead
+    other = (known.where("sid is not null").join(empty, "doc_id", "left_semi").join(lead, "sid")
+             .groupBy("doc_id").agg(F.min("component_id").alias("c")))
+    out = out.join(other, "doc_id", "left").select(
+        "doc_id", "sid", "n_shingles", F.when(F.col("sid").isNull(), F.coalesce("c", "component_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out, lead
+
+
+def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the component is its smallest document id."""
+    return _grouped(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _one_of_each(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each value of ``by``, chosen by a hash of the row; Spark keeps one a task before it shuffles."""
+    name = free_name(rows, "place")
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in by]).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id; null ids stay."""
-    gone = broadcast_if_small(groups(docs, n, percent).where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group: of the document with the smallest id, one row if it has several.
+
+    Rows without an id go if a document has an equal set; of the others one of each equal set stays, and one of
+    each text without words.
+    """
+    rows, lead = _grouped(docs, n, percent)
+    rows = checkpoint(rows)
+    known = rows.where("doc_id is not null")
+    gone = broadcast_if_small(known.where("component_id < doc_id").select("doc_id").distinct())
+    several = broadcast_if_small(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not several.isEmpty():
+        again = _one_of_each(kept.join(several, "doc_id", "left_semi").select(kept.columns), ["doc_id"])
+        kept = kept.join(several, "doc_id", "left_anti").select(kept.columns).union(again)
+    if rows.where("doc_id is null").isEmpty():
+        return kept
+    name = free_name(docs, "sid")
+    nameless = add_columns(docs.where(F.col("doc_id").isNull()), ["text"], f"`{name}` long",
+                           lambda texts: [(set_id(e) if len(e) else None,) for e in (element_hashes(t, n) for t in texts)])
+    nameless = nameless.join(lead.select(F.col("sid").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in (*docs.columns, name)])
+    whole, empty = _one_of_each(nameless.where(F.col(name).isNotNull()), [name]), _one_of_each(nameless.where(F.col(name).isNull()), ["text"])
+    return kept.union(whole.select(kept.columns)).union(empty.select(kept.columns))
