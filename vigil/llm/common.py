@@ -8,7 +8,9 @@ the same way.  Both are computed for whole texts with numpy prefix sums.
 from __future__ import annotations
 
 import ctypes
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +150,18 @@ def _to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
 
+def covered(span: tuple[int, int], starts: list[int], reach: list[int]) -> bool:
+    """Whether one of some spans holds ``span``: ``starts`` in order, ``reach`` the furthest end up to each."""
+    k = bisect_right(starts, span[0])
+    return k > 0 and reach[k - 1] >= span[1]
+
+
+def cover(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and furthest ends of ``spans`` for ``covered``."""
+    spans = sorted(spans)
+    return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+
 # ---------------------------------------------------------------- hashing
 
 def _table(seed: int, n: int) -> np.ndarray:

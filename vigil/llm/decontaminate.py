@@ -197,7 +197,7 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wor
     df = docs.withColumns({spans: F.array().cast("array<int>"), found: F.array().cast("array<string>")})
     for automaton in blocks(items, window, block_words):
         shared = sc.broadcast(automaton)
-        last = [f"{c}__before" for c in (n, spans, found)]
+        last = [free_name(df, f"{c}__before") for c in (n, spans, found)]
         df = df.withColumnsRenamed(dict(zip((n, spans, found), last)))
         df = add_columns(df, ["text", *last[1:]], fields, lambda t, s, i, shared=shared: _step(shared, t, s, i)).drop(*last)
     return df

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cover, covered, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -231,8 +231,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             while text[end - 1].isspace():
                 end -= 1
         added.append((start, end, kind))
-    added = [s for s in added if not any(s[2] == k and a <= s[0] and s[1] <= b for a, b, k in base)]
-    return base, added
+    known = {kind: cover([(a, b) for a, b, k in base if k == kind]) for kind in KINDS}
+    return base, [s for s in added if not covered(s[:2], *known[s[2]])]
 
 
 def _join(spans: list[Span]) -> str:

@@ -6,6 +6,9 @@ segmented at minimum guess cost into common words, word-like runs, dates,
 repeats, keyboard walks and brute-force spans; a value whose cost reaches the
 threshold is a secret of kind ``password``.
 
+A value that a base span holds wholly is no span of its own; one that reaches
+beyond it stands beside it.
+
 Defined results: null or empty text has no spans; repeated rows get one result
 each; an empty table gives an empty result.  Extra columns are ignored by
 ``scan`` and kept by ``redact``.  Offsets are code points, end exclusive.
@@ -21,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, free_name, map_batches
+from .common import add_columns, cover, covered, free_name, map_batches
 
 KINDS = ("assign", "access", "hex", "password")
 #: log10 of the guesses from which a credential value counts as a secret.
@@ -188,13 +191,13 @@ def find(text: str | None, min_cost: float = MIN_LOG10_GUESSES) -> tuple[list[tu
     raw = text.encode("utf-8", "surrogatepass")
     order = lambda s: (s[0], KINDS.index(s[2]))
     base = sorted(base_spans(text, raw), key=order)
-    added = []
+    added, known = [], cover([(a, b) for a, b, _ in base])
     low = raw.lower()
     if any(h in low for h in _HINTS):
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base) and guess_cost(value, min_cost) >= min_cost:
+            if len(value) >= 6 and not covered((start, end), *known) and guess_cost(value, min_cost) >= min_cost:
                 added.append((start, end, "password"))
     return base, added
 
