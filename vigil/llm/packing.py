@@ -38,7 +38,7 @@ WINDOW_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words (and word parts) in each of the two generations of a Python worker's caches.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def default_tokenizer() -> str:
