@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, fill_middle, html_text, ngram_jaccard, packing, pii, pu_quality, quality_rules, secrets, spelling_variants, substring_dedup,
+from . import (decontaminate, fill_middle, html_text, ngram_jaccard, oracles, packing, pii, pu_quality, quality_rules, secrets, spelling_variants, substring_dedup,
                training_order, url_reputation)
 from .common import read_table
 
@@ -85,6 +85,9 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.result(read_table(spark, sf_dir, "documents"))
 
 
+ORACLE["op1_decontamination"] = oracles.DECONTAMINATION
+ORACLE["op4_substring_dedup"] = oracles.SUBSTRING_DEDUP
+ORACLE["op6_ngram_jaccard"] = oracles.NGRAM_JACCARD
 ORACLE["op11_fill_middle"] = fill_middle.ORACLE
 ORACLE["op12_url_reputation"] = url_reputation.ORACLE
 ORACLE["op13_spelling_variants"] = spelling_variants.ORACLE
