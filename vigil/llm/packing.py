@@ -37,8 +37,8 @@ END_ID = 1
 WINDOW_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words (and word parts) in each of the two generations of a Python worker's caches.
-CACHE = 150_000
+#: Words and word parts that a Python worker's caches hold; a full one starts anew.
+WORDS, PARTS = 400_000, 250_000
 
 
 def default_tokenizer() -> str:
@@ -76,8 +76,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}          # young generation; a full one becomes the old one
-        self.old_words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
@@ -88,7 +87,7 @@ class Encoder:
         if got is None:
             raw = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             got = _pack([t.id for t in self.model.tokenize(raw)])
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             self.parts[part] = got
         return got
@@ -113,11 +112,9 @@ class Encoder:
     def _learn(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.old_words.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(self.words) >= CACHE:
-                self.old_words, self.words = self.words, {}
+            ids = self._word(word)
+            if len(self.words) >= WORDS:
+                self.words.clear()
             if len(word) < 64:
                 self.words[word] = ids
         return ids
