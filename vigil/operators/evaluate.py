@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.quantiles import percentile as exact_percentile, percentiles
-from vigil.operators.knn import CELL_ROWS, knn, rank_key_col, to_vectors
-from vigil.operators.lof import below, lof_from_neighbours, standardize, select_numeric, LRD_EPS
+from vigil.operators.knn import CELL_ROWS, neighbour_lists, rank_key_col, to_vectors
+from vigil.operators.lof import below, lof_by_vector, standardize, select_numeric, LRD_EPS
 from vigil.session import cut_lineage
 
 # Grid of the contamination search and its utility.
@@ -59,12 +59,12 @@ def contamination_grid(points: DataFrame, contaminations: list[float], n: int,
     all thresholds of one k by one selection.
     → (contamination, n_neighbors, num_outliers, outlier_rate,
        mean_outlier_score, combined_score)."""
-    kmax = min(max(ks), n - 1)
+    kmax = max(1, min(max(ks), n - 1))
     # One kNN at the largest k, cut once; every k reads its rank prefix.
-    nbrs = cut_lineage(knn(points, kmax, block_rows=block_rows, n=n))
+    found = neighbour_lists(points, kmax + 1, block_rows)
     grids = []
     for k in ks:
-        lof = cut_lineage(lof_from_neighbours(nbrs, min(k, n - 1)))
+        lof = cut_lineage(lof_by_vector(found, max(1, min(k, n - 1))).select("lof"))
         thr = percentiles(lof, {"t": -F.col("lof")}, contaminations)["t"]
         per_c = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).cast("double").alias("t"))
                                     for c, t in zip(contaminations, thr)]))
