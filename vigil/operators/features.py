@@ -9,6 +9,8 @@ data is already partitioned by.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from vigil.functions.expr import col
 from vigil.operators.sessions import DAY, day_window, sessionize, session_aggregates
 from vigil.schema import PEER_COLUMNS
 
+#: Users that one task of a k-means step reads.
+USERS_PER_TASK = 20_000
+
 MATRIX_COLUMNS = [
     "user_id", "session_id", "session_start", "session_end", "session_duration_s",
     "event_cnt", "file_rate", "logon_rate", "device_rate", "http_rate",
@@ -123,9 +128,14 @@ def kmeans_peer_groups(behaviour: DataFrame, k: int | None = None, n_init: int =
     from pyspark.ml.feature import VectorAssembler
 
     feats = ["file_rate", "logon_rate", "device_rate", "http_rate"]
+    # Every step of every fit reads the users: their sessions are made once, and a step has as many tasks as the
+    # users fill, not as many as the shuffle before it left.
+    behaviour = keep(behaviour)
+    users = behaviour.count()
+    behaviour = behaviour.repartition(max(1, math.ceil(users / USERS_PER_TASK)), user_col)
+    vec = keep(VectorAssembler(inputCols=feats, outputCol="_features").transform(behaviour))
     if k is None:
-        k = max(4, min(15, behaviour.count() // 25))
-    vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(behaviour)
+        k = max(4, min(15, users // 25))
     best = None
     for i in range(n_init):
         model = KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="_cluster",
