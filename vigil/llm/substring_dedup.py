@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, _schemas, _to_batch, bucket_count, joined, runs, split, text_bytes, to_table,
+from .common import (U64, _schemas, _to_batch, bucket_count, joined, lean, lean_cogroup, lean_group, runs, split, text_bytes, to_table,
                      window_hashes, word_hashes)
 
 MIN_WORDS = 20
@@ -95,8 +95,10 @@ def _candidates(keys: list, texts: list, allowed: dict | None, previous: int, le
     if not hashes:
         return []
     h, d = np.concatenate(hashes), np.concatenate(docs)
+    del hashes, docs
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
+    del order
     number = runs(h)
     many = np.bincount(number)[number] > 1
     if twice:
@@ -259,7 +261,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, start_words: int = START_
                                         min_words, buckets, parts), exchange_arrow)
 
     def settle(sent: DataFrame, fn) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(lambda t: fn(t, parts, answer_arrow), answer)
+        return sent.groupBy("bucket").applyInArrow(lean_group(lambda t: fn(t, parts, answer_arrow)), answer)
 
     def extend(rows):
         """Cogroup function: exchange rows from the documents of a bucket and the hashes answered for them."""
@@ -273,10 +275,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, start_words: int = START_
         return extend(lambda p, d, k, t, ok: _candidates(k, t, ok, low, 2 * low, min_words, buckets, parts))
 
     def meet(answers: DataFrame, fn, schema) -> DataFrame:
-        return keyed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(fn, schema)
+        return keyed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lean_cogroup(fn), schema)
 
     level = start_words
-    answers = settle(docs.mapInArrow(first_level, exchange), _answers)
+    answers = settle(docs.mapInArrow(lean(first_level), exchange), _answers)
     while 2 * level < min_words:
         answers = settle(meet(answers, doubled(level), exchange), _answers)
         level *= 2
