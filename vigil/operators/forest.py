@@ -7,7 +7,7 @@ Isolation forest on Spark:
     ~T·max_samples rows ever leave the scan;
   * trees are grown in ``applyInPandas`` grouped by tree id;
   * the forest (≤ T·(2·max_samples − 1) nodes, a size fixed by parameters,
-    not by the data) is shipped to a vectorised ``mapInPandas`` scorer;
+    not by the data) is shipped to a vectorised ``mapInArrow`` scorer;
   * labels use the same percentile rule as LOF (strict, contamination share).
 """
 
@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,35 +107,38 @@ def score_isolation_forest(points: DataFrame, nodes: DataFrame, sample_size: int
     nd = nodes.orderBy("tree", "node").toPandas()
     trees = []
     for _, g in nd.groupby("tree"):
-        trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left_child"].to_numpy(),
-                      g["right_child"].to_numpy(), g["size"].to_numpy()))
+        left, right, size = (g[c].to_numpy() for c in ("left_child", "right_child", "size"))
+        depth = np.zeros(len(left))
+        for i in np.flatnonzero(left >= 0):              # children come after their parent
+            depth[left[i]] = depth[right[i]] = depth[i] + 1
+        # A leaf is its own child, so that all rows take the same number of steps.
+        here, leaf = np.arange(len(left)), left < 0
+        children = np.stack([np.where(leaf, here, left), np.where(leaf, here, right)], axis=1).ravel()
+        trees.append((np.where(leaf, 0, g["feature"].to_numpy()), g["threshold"].to_numpy(), children.astype(np.int64),
+                      depth + average_path_length(size), int(depth.max())))
     c_psi = float(average_path_length([sample_size])[0]) or 1.0
     spark = points.sparkSession
     bc = spark.sparkContext.broadcast(trees)
 
-    def run(it):
+    def run(batches):
         forest = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = np.vstack(pdf["vec"].to_numpy())
-            total = np.zeros(len(x))
-            for feat, thr, left, right, size in forest:
-                node = np.zeros(len(x), dtype=np.int64)
-                depth = np.zeros(len(x))
-                active = left[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = x[np.nonzero(active)[0], f] <= thr[node[active]]
-                    nxt = np.where(go_left, left[node[active]], right[node[active]])
-                    node[active] = nxt
-                    depth[active] += 1
-                    active = left[node] >= 0
-                total += depth + average_path_length(size[node])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            start, x = np.arange(n) * x.shape[1], x.ravel()
+            total = np.zeros(n)
+            for feat, thr, children, path, steps in forest:
+                node = np.zeros(n, dtype=np.int64)
+                for _ in range(steps):
+                    right = ~(x.take(start + feat.take(node)) <= thr.take(node))
+                    node = children.take(2 * node + right)
+                total += path.take(node)
             mean_path = total / len(forest)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "if_score": np.power(2.0, -mean_path / c_psi)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.power(2.0, -mean_path / c_psi))], names=["id", "if_score"])
 
-    return points.mapInPandas(run, "id string, if_score double")
+    return points.select("id", "vec").mapInArrow(run, "id string, if_score double")
 
 
 def isolation_forest_flags(df: DataFrame, feature_cols: list[str] | None = None,
