@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of one length."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES = [

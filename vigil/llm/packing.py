@@ -97,6 +97,11 @@ class Encoder:
             return self._plain(word)
         return b"".join(map(self._part, self._PARTS.findall(word.lower())))
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.words.clear()
+        self.parts.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self._CONTROLS.search(text):
@@ -173,8 +178,12 @@ FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID,
-         window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """Pieces of all documents with their ids (little-endian unsigned 32-bit) and places."""
+         window_tokens: int = WINDOW_TOKENS, keep_words: bool = True) -> DataFrame:
+    """Pieces of all documents with their ids (little-endian unsigned 32-bit) and places.
+
+    Without ``keep_words`` a task's end empties its worker's caches.  An executor gives its tasks to all its waiting workers
+    in turn; where other steps have left more of them than it has cores, each would come to hold full caches.
+    """
     path = tokenizer or default_tokenizer()
     out, arrow = _schemas(docs.sparkSession, FIELDS)
     if length & (length - 1):
@@ -190,16 +199,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         held, size, window = [], 0, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py() or "") + end
-                held.append((doc_id, ids))
-                size += len(ids) // 4
-                if size >= window_tokens:
-                    yield flush(held, window)
-                    held, size, window = [], 0, window + 1
-        if held:
-            yield flush(held, window)
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = enc.encode(text.as_py() or "") + end
+                    held.append((doc_id, ids))
+                    size += len(ids) // 4
+                    if size >= window_tokens:
+                        yield flush(held, window)
+                        held, size, window = [], 0, window + 1
+            if held:
+                yield flush(held, window)
+        finally:
+            if not keep_words:
+                enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), out)
 
