@@ -6,7 +6,7 @@ exactly if they share a subset of the required overlap's size, so equal subset
 keys are links without a further check.  Large sets go into inverted lists of
 their prefixes (rare n-grams first) and candidates from a list are checked on
 the whole sets.  The boundary is the size up to which enumeration costs less
-than scanning, from the size histogram and list lengths of a document sample.
+than scanning, from the size histogram and list lengths of all documents.
 
 Lists never emit all their pairs: each set of a list meets its next ``SHORT - 1``
 by size (in short lists that is all), in longer ones also the list's first; after the links found so far are joined to
@@ -40,10 +40,8 @@ N = 5
 PERCENT = 75
 #: Lists up to this length give all their pairs.
 SHORT = 16
-#: One document in so many is sampled for list lengths and sizes (they steer cost, not results).
-SAMPLE = 8
-#: Bound on the n-grams ordered as frequent, and the sample count from which one is.
-MAX_FREQUENT, FREQUENT_AT = 500_000, 2
+#: Bound on the n-grams ordered as frequent (they are broadcast), and the count from which one is: lists of fewer give all their pairs.
+MAX_FREQUENT, FREQUENT_AT = 500_000, SHORT
 #: Members of a long list that meet in one block pair.
 BLOCK = 2048
 #: Largest size ever enumerated.
@@ -121,13 +119,21 @@ def sketch(elements: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-# ------------------------------------------------------------ sample
+# ------------------------------------------------------------ counts
 
-def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], dict[int, float]]:
-    """(frequent n-grams by rising count, size histogram of small sets, their mean list length)."""
+def count_keys(elements: np.ndarray) -> np.ndarray:
+    """What n-grams are counted by: the first 40 bits of their hashes, in the order of the hashes."""
+    return elements >> U64(24)
+
+
+def ngram_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], dict[int, float]]:
+    """(count keys of the frequent n-grams by rising count, size histogram of small sets, their mean list length).
+
+    All documents are counted; equal sets of a batch once.  N-grams that share a key (one in thousands over a billion) are
+    counted as one, which moves them in the order.
+    """
     spark = docs.sparkSession
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    buckets = bucket_count(spark, text_bytes(docs) // SAMPLE, 32 << 20)
+    buckets = bucket_count(spark, text_bytes(docs))
     rows, rows_arrow = _schemas(spark, _ROWS)
     found, found_arrow = _schemas(spark, "kind int, key long, n long")
 
@@ -136,33 +142,34 @@ def sample_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int],
             sets = [element_hashes(t, n) for t in batch.column(1).to_pylist()]
             seen: dict[int, np.ndarray] = {set_id(e): e for e in sets if len(e)}
             sizes = np.bincount([len(e) for e in seen.values() if len(e) <= MAX_SMALL] or [0], minlength=MAX_SMALL + 1)
-            h, c = np.unique(np.concatenate(list(seen.values()) or [_EMPTY]), return_counts=True)
-            out = [(b, 0, x, y, None, None) for b, x, y in split(h, buckets, h, c.astype(np.uint32))]
+            k, c = np.unique(count_keys(np.concatenate(list(seen.values()) or [_EMPTY])), return_counts=True)
+            # In order, the first bytes are long runs that the shuffle's compression takes out.
+            out = [(b, 0, *x, None) for b, *x in split(k, buckets, (k >> U64(32)).astype(np.uint8), k.astype(np.uint32), c.astype(np.uint32))]
             yield _to_batch([*out, (0, 1, sizes.astype(np.int64).tobytes(), None, None, None)], rows_arrow)
 
     def count(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
         out = []
         part = table.filter(pa.array(kind == 0))
-        h, c = joined(part["a"], np.uint64), joined(part["b"], np.uint32).astype(np.int64)
-        if len(h):
-            order = np.argsort(h)
-            h, number = h[order], runs(h[order])
-            total = np.bincount(number, weights=c[order]).astype(np.int64)
-            keys = h[np.flatnonzero(np.diff(number, prepend=-1))]
+        k = joined(part["a"], np.uint8).astype(np.int64) << 32 | joined(part["b"], np.uint32)
+        if len(k):
+            order = np.argsort(k)
+            k, c = k[order], joined(part["c"], np.uint32)[order]
+            start = np.flatnonzero(np.diff(k, prepend=-1))
+            total = np.add.reduceat(c, start, dtype=np.int64)
             often = total >= FREQUENT_AT
-            out += [(0, k, t) for k, t in zip(keys[often].view(np.int64).tolist(), total[often].tolist())]
+            out += [(0, key, t) for key, t in zip(k[start[often]].tolist(), total[often].tolist())]
         for sizes in table.filter(pa.array(kind == 1))["a"].to_pylist():
             out += [(1, s, int(k)) for s, k in enumerate(np.frombuffer(sizes, np.int64)) if k]
         return to_table(out, found_arrow)
 
-    counted = checkpoint(sampled.mapInArrow(lean(send), rows).groupBy("bucket").applyInArrow(lean_group(count), found))
+    counted = checkpoint(docs.mapInArrow(lean(send), rows).groupBy("bucket").applyInArrow(lean_group(count), found))
     top = (counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key", "n").toArrow())
     order = np.lexsort((top["key"].to_numpy(), top["n"].to_numpy())) if top.num_rows else []
-    frequent = top["key"].to_numpy()[order].view(np.uint64) if top.num_rows else _EMPTY
-    histogram = {r.key: r.n * SAMPLE for r in counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    frequent = top["key"].to_numpy()[order].astype(np.uint64) if top.num_rows else _EMPTY
+    histogram = {r.key: r.n for r in counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     spread = counted.where("kind = 0").agg(F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("n").alias("n")).first()
-    mean = SAMPLE * spread.s / spread.n if spread.n else 1.0
+    mean = spread.s / spread.n if spread.n else 1.0
     return frequent, histogram, {s: min(mean, 1000.0) for s in histogram}
 
 
@@ -170,7 +177,7 @@ _EMPTY = np.zeros(0, dtype=np.uint64)
 
 
 class Order:
-    """Global order of n-grams: others by hash, then the frequent ones from rarer to commoner."""
+    """Global order of n-grams: others by hash, then the frequent ones (by count key) from rarer to commoner, then by hash."""
 
     def __init__(self, frequent: np.ndarray):
         self.by_hash = np.argsort(frequent)
@@ -179,12 +186,13 @@ class Order:
     def prefix(self, elements: np.ndarray, size: int) -> np.ndarray:
         if not len(self.keys):
             return elements[:size]
-        at = np.minimum(np.searchsorted(self.keys, elements), len(self.keys) - 1)
-        often = self.keys[at] == elements
+        key = count_keys(elements)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        often = self.keys[at] == key
         rare = elements[~often][:size]
         if len(rare) == size:
             return rare
-        common = elements[often][np.argsort(self.by_hash[at[often]])]
+        common = elements[often][np.argsort(self.by_hash[at[often]], kind="stable")]
         return np.concatenate([rare, common[:size - len(rare)]])
 
 
@@ -470,7 +478,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     classes = checkpoint(rows.where("sid is not null").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
     docs_known = docs.where("doc_id is not null")
-    frequent, histogram, lengths = sample_counts(docs_known, n)
+    frequent, histogram, lengths = ngram_counts(docs_known, n)
     small = boundary(histogram, lengths, percent)
     buckets = bucket_count(docs.sparkSession, text_bytes(docs))
     blobs = checkpoint(candidates(postings(docs_known, n, percent, small, Order(frequent), buckets), percent))
