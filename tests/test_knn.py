@@ -98,3 +98,19 @@ def test_comparison_key_keeps_the_order(spark):
     assert [r.k for r in got.orderBy("d").collect()] == key.tolist()
     negative = [r.m for r in got.orderBy(F.col("d").desc()).collect()]
     assert (np.diff(negative) >= 0).all()
+
+
+def test_vectors_are_sent_in_few_bytes(spark):
+    """Vectors of single precision take four bytes a value on their way, others eight; nothing is rounded."""
+    x = np.random.default_rng(3).normal(size=(900, 16))
+    single = x.astype(np.float32).astype(np.float64)
+    mixed = np.where(np.arange(900)[:, None] % 2, single, x)
+    for v, size in ((single, 4), (x, 8), (mixed, 8)):
+        assert len(K._packed(v)) == size * v.size and (K._unpacked(K._packed(v), *v.shape) == v).all()
+    ids = [f"{i:04d}" for i in range(900)]
+    found, cells, _ = K.search_plan(None, K.distinct_points(frame(spark, ids, single), 5), 5, cell_rows=64)
+    sent = found.where("ids is not null").agg(F.sum(F.length("vecs")), F.sum(F.size("ids"))).first()
+    assert sent[0] == 4 * 16 * sent[1]
+    assert K._packed_cells(cells).agg(F.sum(F.length("vecs"))).first()[0] == 4 * 900 * 16
+    far = np.array([[1e300, -0.0], [np.pi, 1.0]])
+    assert (K._unpacked(K._packed(far), 2, 2) == far).all()
