@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.quantiles import percentile as exact_percentile, percentiles
 from vigil.operators.knn import CELL_ROWS, neighbour_lists, rank_key_col, to_vectors
-from vigil.operators.lof import below, lof_by_vector, standardize, select_numeric, LRD_EPS
+from vigil.operators.lof import below, lof_by_vectors, standardize, select_numeric, LRD_EPS
 from vigil.session import cut_lineage
 
 # Grid of the contamination search and its utility.
@@ -55,17 +55,18 @@ def contamination_grid_values(rate: float | None) -> list[float]:
 
 def contamination_grid(points: DataFrame, contaminations: list[float], n: int,
                        ks=GRID_NEIGHBOURS, block_rows: int = CELL_ROWS) -> DataFrame:
-    """One kNN at max(k); LOF for every k from the neighbour-rank prefix;
-    all thresholds of one k by one selection.
+    """One kNN at max(k); LOF for every k from the neighbour-rank prefix, all in one pass;
+    all thresholds by one selection.
     → (contamination, n_neighbors, num_outliers, outlier_rate,
        mean_outlier_score, combined_score)."""
     kmax = max(1, min(max(ks), n - 1))
     # One kNN at the largest k, cut once; every k reads its rank prefix.
     found = neighbour_lists(points, kmax + 1, block_rows)
+    lofs = cut_lineage(lof_by_vectors(found, [max(1, min(k, n - 1)) for k in ks]).select(*[f"lof{i}" for i in range(len(ks))]))
+    thresholds = percentiles(lofs, {i: -F.col(f"lof{i}") for i in range(len(ks))}, contaminations)
     grids = []
-    for k in ks:
-        lof = cut_lineage(lof_by_vector(found, max(1, min(k, n - 1))).select("lof"))
-        thr = percentiles(lof, {"t": -F.col("lof")}, contaminations)["t"]
+    for i, k in enumerate(ks):
+        lof, thr = lofs.select(F.col(f"lof{i}").alias("lof")), thresholds[i]
         per_c = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).cast("double").alias("t"))
                                     for c, t in zip(contaminations, thr)]))
         g = (lof.select("lof", per_c.alias("ct"))
