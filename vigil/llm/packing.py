@@ -74,8 +74,11 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(_byte_letters()))
+        self.packed = [_pack([i]) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.letters_only = not any(x.isalpha() for x in special)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -85,15 +88,20 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            raw = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            got = _pack([t.id for t in self.model.tokenize(raw)])
+            raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            tokens = self.model.tokenize(raw)
+            got = self.packed[tokens[0].id] if len(tokens) == 1 else b"".join([self.packed[t.id] for t in tokens])
             if len(self.parts) >= PARTS:
                 self.parts.clear()
             self.parts[part] = got
         return got
 
     def _word(self, word: str) -> bytes:
-        if (not word.isascii() and max(word) > "\xff") or any(s in word for s in self.special):
+        if not word.isascii() and max(word) > "\xff":
+            return self._plain(word)
+        if self.letters_only and word.isalpha():             # one part, and no added token
+            return self._part(word.lower())
+        if self.special.search(word):
             return self._plain(word)
         return b"".join(map(self._part, self._PARTS.findall(word.lower())))
 
