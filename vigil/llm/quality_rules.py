@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, add_columns, free_name, map_batches, mix, word_hashes
+from .common import SPACES, U64, add_columns, free_name, map_batches, mix, trim, word_hashes
 
 #: Hash slots per feature family.
 SLOTS = 512
@@ -31,6 +31,8 @@ SHAPES = 3
 DIM = FAMILIES * SLOTS + SHAPES
 #: Bound on the labelled rows the classifier is fitted on.
 MAX_LABELLED = 4000
+#: Rows of the training sample that are weighed at a time.
+FIT_ROWS = 256
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -138,8 +140,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     """Ridge logistic regression by accelerated gradient descent on standardised columns."""
     mean, std = x.mean(0), x.std(0)
     scale = 1 / np.sqrt(std ** 2 + 1e-8) * (std > 1e-7)
-    z = (x - mean) * scale
+    z = x - mean
+    z *= scale
     n, d = z.shape
+
+    def weighed(g: np.ndarray) -> np.ndarray:
+        """The rows' sum weighed by ``g``, in double precision a few rows at a time: a product of both would copy all of ``z``."""
+        return sum(z[at:at + FIT_ROWS].T @ g[at:at + FIT_ROWS] for at in range(0, n, FIT_ROWS))
+
     v = np.random.RandomState(3).rand(d).astype(z.dtype)
     for _ in range(12):                       # largest eigenvalue by power iteration
         v = z.T @ (z @ v)
@@ -153,7 +161,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
         ew, eb = w + m * (w - pw), b + m * (b - pb)
         g = 1 / (1 + np.exp(-np.clip(z @ ew + eb, -30, 30))) - y
         pw, pb = w, b
-        w = (ew - step * (z.T @ g / n + ridge * ew)).astype(z.dtype)
+        w = (ew - step * (weighed(g) / n + ridge * ew)).astype(z.dtype)
         b = eb - min(step, 4.0) * float(g.mean())
     w = w * scale
     return w, b - float(w @ mean)
@@ -205,7 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
     y = rows["y"].to_numpy().astype(np.float64)
     if y.min() == y.max():
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
+    x = np.empty((len(y), DIM), dtype=np.float32)
+    for i, row in enumerate(rows["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), dtype=np.float16)
+    del rows
     fold = np.arange(len(y)) % 3
     margin = np.zeros(len(y))
     for f in range(3):
@@ -215,6 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
         margin[fold == f] = x[fold == f] @ w + b
     slope, offset = fit_calibration(margin, y)
     w, b = fit_logistic(x, y)
+    del x
+    trim()                                   # the driver goes on to other steps
     return Model(w, b, slope, offset)
 
 
