@@ -138,6 +138,9 @@ def context_filter(merged: DataFrame) -> DataFrame:
 
 STAGES = ["supervised_outlier", "ensemble_outlier", "context_filtered_outlier",
           "high_confidence_outlier", "is_outlier"]
+# Stages between the raw and the final flag, in their order; the last is what all of them together left.
+BETWEEN = [("threshold", "high_confidence_outlier"), ("context", "context_filtered_outlier"),
+           ("ensemble", "ensemble_outlier"), ("narrowed", "narrowed_outlier")]
 
 
 def final_flag_column(df: DataFrame) -> str:
@@ -157,11 +160,13 @@ def confusion_metrics(df: DataFrame, pred_col: str, label_col: str = "true_label
     return _rates(m)
 
 
-def before_after(df: DataFrame, final_col: str | None = None) -> DataFrame:
+def before_after(df: DataFrame, final_col: str | None = None, every_stage: bool = False) -> DataFrame:
     """E7 + E8: metrics of the raw flag and of the final stage in one pass,
-    one row per stage (the difference of the two rows is the improvement)."""
+    one row per stage (the difference of the two rows is the improvement);
+    with ``every_stage`` a row for each stage between them too."""
     final_col = final_col or final_flag_column(df)
-    stages = [("original", "is_outlier"), ("final", final_col)]
+    between = [(name, c) for name, c in BETWEEN if c in df.columns] if every_stage else []
+    stages = [("original", "is_outlier"), *between, ("final", final_col)]
     y = F.col("true_label") == 1
     aggs = []
     for i, (_, c) in enumerate(stages):

@@ -187,14 +187,16 @@ def supervised_rescoring(merged: DataFrame, feature_cols: list[str], test_share:
                          n_trees: int = 100, max_depth: int = 10, prob_threshold: float = 0.3,
                          seed: int = 42):
     """Class-balanced random forest on features + anomaly_score; stratified
-    split; probability ≥ threshold flags ``supervised_outlier`` on all rows.
+    split; probability ≥ threshold flags ``supervised_outlier`` on all rows, and
+    ``narrowed_outlier`` on those that the stages before it left.
     Returns (scored frame, test metrics frame, feature importances frame)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from vigil.operators.evaluate import confusion_metrics
+    from vigil.operators.evaluate import confusion_metrics, final_flag_column
 
+    before = final_flag_column(merged)
     cols = list(feature_cols) + ["anomaly_score"]
     x = merged
     for c in cols:
@@ -215,6 +217,7 @@ def supervised_rescoring(merged: DataFrame, feature_cols: list[str], test_share:
     scored = (model.transform(xv)
                    .withColumn("supervised_insider_prob", vector_to_array("probability")[1])
                    .withColumn("supervised_outlier", F.col("supervised_insider_prob") >= F.lit(prob_threshold))
+                   .withColumn("narrowed_outlier", F.col(before) & F.col("supervised_outlier"))
                    .drop("_fv", "rawPrediction", "probability", "prediction", "_w", *safe.values()))
     test_metrics = confusion_metrics(scored.where(~F.col("_train")), "supervised_outlier")
     imp = model.featureImportances.toArray().tolist()

@@ -18,13 +18,15 @@ from vigil.session import cut_lineage
 
 
 class Reduction(NamedTuple):
-    """Rows with all stage flags, metrics before and after, the difference in points, and (supervised stage) held-out metrics and importances."""
+    """Rows with all stage flags, metrics before and after and of every stage, the difference in points, and (supervised stage)
+    held-out metrics and importances."""
 
     rows: DataFrame
     metrics: DataFrame
     improvement: DataFrame
     test_metrics: DataFrame | None
     importances: DataFrame | None
+    stages: DataFrame
 
 
 def reduce_false_positives(scores: DataFrame, matrix: DataFrame, insiders: DataFrame, score_percentile: float = 80,
@@ -38,8 +40,8 @@ def reduce_false_positives(scores: DataFrame, matrix: DataFrame, insiders: DataF
     if use_supervised:
         rows, test_metrics, importances = FOREST.supervised_rescoring(rows, select_numeric(matrix))
     rows = cut_lineage(rows)
-    stages = EVAL.before_after(rows)
-    return Reduction(rows, stages, EVAL.improvement(stages), test_metrics, importances)
+    metrics = EVAL.before_after(rows)
+    return Reduction(rows, metrics, EVAL.improvement(metrics), test_metrics, importances, EVAL.before_after(rows, every_stage=True))
 
 
 def integrated(scores: DataFrame, intent=None, graph=None, cre_enabled: bool = False, utcg_enabled: bool = False) -> DataFrame:
