@@ -31,3 +31,21 @@ def test_nulls_nan_and_empty(spark):
     assert got["a"][:2] == [1.0, 2.0] and math.isnan(got["a"][2]) and got["b"] == [None, None, None]
     assert percentile(df.limit(0), F.col("a"), 0.5) is None
     assert percentile(spark.createDataFrame([(3,)], "x int"), F.col("x"), 0.3) == 3.0
+
+
+def test_ranks_of_a_column_share_its_sketch(spark, monkeypatch):
+    """Many shares of a column cost one sketch, and a value meets the brackets once; NaN stays the largest value."""
+    from vigil.functions import quantiles as Q
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(3000) < 0.3, np.nan, rng.normal(size=3000).round(2))
+    df = spark.createDataFrame([(float(v), float(w)) for v, w in zip(x, rng.normal(size=3000))], "a double, b double").persist()
+    sketches, approx = [], F.percentile_approx
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: sketches.append(1) or approx(*a))
+    shares = [0.05, 0.1, 0.11, 0.2, 0.5, 0.65, 0.69, 0.9, 0.95]
+    got = Q.percentiles(df, {"a": F.col("a"), "b": F.col("b")}, shares, 1000, 100)
+    assert len(sketches) <= 2 * 2                             # there were two for every share of every column
+    for c in ("a", "b"):
+        v = np.sort([r[c] for r in df.collect()])
+        want = [(1 - (s * 2999) % 1) * v[math.floor(s * 2999)] + ((s * 2999) % 1) * v[math.ceil(s * 2999)] for s in shares]
+        assert np.allclose(got[c], want, rtol=1e-9, equal_nan=True)
+    df.unpersist()
