@@ -49,3 +49,16 @@ def test_points_are_dealt_once(spark, monkeypatch):
     for i in range(0, len(x), 7):
         key = K.rank_key(np.sqrt(((x - x[i]) ** 2).sum(axis=1)))
         assert lists[ids[i]] == [ids[j] for j in np.lexsort((ids, key))[:4]]
+
+
+def test_lists_of_one_block_are_not_sorted_again(spark):
+    """Most queries look into one block; theirs is taken as it is, and lists of several blocks are merged."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2))
+    base = K.distinct_points(spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>"), 4)
+    lists = K._search(None, base, 4, 50)
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "(size(parts" in plan.replace("isnotnull", "")
+    for r in lists.collect():
+        key = K.rank_key(np.sqrt(((x - x[int(r.id)]) ** 2).sum(axis=1)))
+        assert r.nbrs == [f"{j:04d}" for j in np.lexsort((np.arange(900), key))[:4]]
